@@ -18,11 +18,9 @@ class Words:
     bounds: np.ndarray
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
+def split_words(texts: pa.Array) -> Words:
     """Words between runs of space and U+0009 to U+000D; a null text has none."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
