@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, language_id, minhash_dedup, packing, secret_scan
+from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, secret_scan
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_packing,
         op2_exact_dedup,
+        op3_embedding_dedup,
         op4_minhash_dedup,
         op5_secret_scan,
         op6_chat_format,
@@ -59,6 +64,7 @@ ORACLE_SQL: dict[str, str] = {
           count(*) OVER (PARTITION BY h) AS group_size,
           doc_id = first_value(doc_id) OVER (PARTITION BY h ORDER BY chars DESC, doc_id) AS kept, h AS text_sha256
         FROM n""",
+    "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
 }
