@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, secret_scan
+from . import bpe, chat_format, embedding_dedup, exact_dedup, html_text, language_id, minhash_dedup, packing, secret_scan, substring_dedup
 from .common import table
 
 
@@ -39,6 +39,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_secret_scan,
         op6_chat_format,
         op7_language_id,
+        op8_html_text,
+        op9_substring_dedup,
         op10_byte_bpe,
     )
 }
