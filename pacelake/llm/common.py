@@ -61,6 +61,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids up to this number are broadcast (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def if_few(ids: DataFrame) -> DataFrame:
+    """A saved table of ids, with a broadcast hint only if its counted size allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among ids; rows without an id stay."""
+    gone = scratch.save(ids.where(F.col(id_col).isNotNull()).select(id_col).distinct(), "gone")
+    return docs.join(if_few(gone), id_col, "left_anti").select(*docs.columns)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -32,14 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, slices
+from .common import Scratch, if_few, mix64, slices
 from .components import components
 from .words import split_words
 
 COORDINATES = 64
 MISS = 1e-5
-#: Ids up to this number are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def match_threshold(similarity: float, k: int = COORDINATES, miss: float = MISS) -> int:
@@ -120,8 +118,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sets = [s.astype(np.int64) for s in shingle_sets(piece.column(1), width)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.join(if_few(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

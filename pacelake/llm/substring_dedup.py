@@ -92,9 +92,9 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each repeated passage of each document: doc_id, start, stop (code points), n_words, n_docs, first_doc_id, first.
+    """A row for each repeated passage of each document: doc_id, start, stop (code points), n_words, n_rows, first_doc_id, first.
 
-    n_docs: in how many documents its most common chunk is, as counted by rows of distinct ids; first_doc_id: the smallest document that has one of its chunks."""
+    n_rows: how often its most common chunk is in the corpus; first_doc_id: the smallest document that has one of its chunks."""
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = scratch.save(chunks(texts), "chunks")
