@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pacelake.llm import exact_dedup, language_id, secret_scan
-from pacelake.llm.common import Scratch
+from pacelake.llm import exact_dedup, language_id, minhash_dedup, packing, secret_scan
+from pacelake.llm.common import Scratch, without_ids
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,8 +16,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return without_ids(docs, exact_dedup.exact_dedup(docs).where("not kept"), Scratch(spark, "exact"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return without_ids(docs, minhash_dedup.near_dedup(docs).where("not kept"), Scratch(spark, "near"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +29,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redact(docs)
 
 
-STAGES = [("language", language), ("exact", exact), ("secrets", secrets)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in training windows, with their ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("secrets", secrets), ("packed", packed)]
 
 #: No SQL can say what the language, near-duplicate and packing stages do.
 ORACLE_SQL = None
