@@ -187,7 +187,8 @@ def render(node: Node, hidden: set[str]) -> list[str]:
             flow.text(x, pre > 0)
             continue
         tag = x.tag
-        gap = 2 if tag in SPACED and not (tag in ("ul", "ol", "p") and lists) else 1
+        inside = len(lists) > (leave and tag in ("ul", "ol", "menu"))  # of a list item
+        gap = 2 if tag in SPACED and not (tag in ("ul", "ol", "p") and inside) else 1
         if leave:
             if tag in BLOCK:
                 flow.block(gap)

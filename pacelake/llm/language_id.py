@@ -163,9 +163,10 @@ def language_report(docs: DataFrame) -> DataFrame:
     return predict(rows, langs, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.02) -> DataFrame:
+def keep_known(docs: DataFrame, text_col: str = "text", min_score: float = 0.02) -> DataFrame:
     """Rows whose language is known: texts without letters, and those like no language, go."""
-    langs, prototypes = learn(docs)
+    langs, prototypes = learn(docs, text_col=text_col)
     if not langs:
         return docs
-    return predict(docs, langs, prototypes).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("original"), F.col(text_col).alias("text"))
+    return predict(rows, langs, prototypes).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("original.*")

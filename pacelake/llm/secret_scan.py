@@ -128,22 +128,29 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[SECRET]", owner_col: str = "source", repo_col: str = "source") -> DataFrame:
     """The table with every base and owned span replaced by mask; overlapping spans are masked as one. No row goes."""
-    columns = docs.columns
-    scratch = Scratch(docs.sparkSession, "redact")
-    found = scan(docs, scratch, keep=tuple(c for c in columns if c != "doc_id"))
+    has = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("original"), "doc_id", "text", has(owner_col).alias("owner"), has(repo_col).alias("repo"))
+    found = scan(rows, Scratch(docs.sparkSession, "redact"), owner_col="owner", repo_col="repo", keep=("original",))
     spans = F.array_sort(F.concat("base", "added"))
+    text = F.col("original.text")
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
-        before = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+        before = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], before, F.lit(mask))).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.size(spans) > 0, masked).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    masked = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    hit = F.size(spans) > 0
+    out = found.select("original", F.when(hit, masked).otherwise(text).alias("clean"), hit.alias("hit"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("clean").alias("text")
+        if c == "n_chars":
+            return F.when(F.col("hit"), F.length("clean").cast("long")).otherwise(F.col("original.n_chars")).alias("n_chars")
+        return F.col(f"original.`{c}`")
+
+    return out.select(*(column(c) for c in docs.columns))

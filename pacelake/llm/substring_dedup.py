@@ -131,9 +131,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The table with repeated passages cut out of every document but the first that has them. No row goes."""
     gone = repeats(docs, id_col, text_col, min_words).where(~F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone_"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", id_col), id_col, "left")
-    text = F.col(text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("original"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    joined = rows.join(gone, "doc_id", "left")
+    text = F.col("text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda s, g: F.struct(g["stop"].alias("at"), F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (g["start"] - s["at"]).cast("int"))).alias("out"))
     left = F.aggregate("gone_", start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("gone_").isNotNull(), left).otherwise(text)).select(*docs.columns)
+    cut = F.when(F.col("gone_").isNotNull(), left).otherwise(text)
+    return joined.select(F.col("original").withField(f"`{text_col}`", cut).alias("original")).select("original.*")
