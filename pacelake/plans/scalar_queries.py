@@ -12,13 +12,13 @@ from ..sources import metadata
 from ..sources.tables import FPS, pose, series, table
 from .registry import query, rounded
 
-LINE = "SELECT l_orderkey, l_linenumber, 160e0 + l_quantity AS cad, 100e0 + 1500e0 * l_tax AS gct, 2e0 + 20e0 * l_discount AS stride, l_extendedprice / 1e4 AS osc FROM lineitem"
+LINE = "SELECT l_orderkey, l_linenumber, 160e0 + l_quantity AS cad, 100e0 + 1500e0 * l_tax AS gct, 2e0 + 20e0 * l_discount AS stride, l_extendedprice / 9999e0 AS osc FROM lineitem"
 
 
 def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", (num(160) + c("l_quantity")).alias("cad"), (num(100) + num(1500) * c("l_tax")).alias("gct"), (num(2) + num(20) * c("l_discount")).alias("stride"), (c("l_extendedprice") / num(1e4)).alias("osc")
+        "l_orderkey", "l_linenumber", (num(160) + c("l_quantity")).alias("cad"), (num(100) + num(1500) * c("l_tax")).alias("gct"), (num(2) + num(20) * c("l_discount")).alias("stride"), (c("l_extendedprice") / num(9999)).alias("osc")
     )
 
 
