@@ -3,11 +3,11 @@
 Tier one: a minimal perfect hash over the vocabulary (hash and displace) resolves a pre-token that is
 itself a vocabulary entry, with one probe and one comparison. Tier two: a heap of candidate merges over
 linked bytes encodes the rest, lowest rank first and leftmost among equals. The hash is built once on
-the driver and broadcast; its size is bounded by the vocabulary. Pre-tokens seen before are remembered
-in each Python worker, up to a fixed number, so a text costs about one dictionary lookup a pre-token.
+the driver and broadcast; its size is bounded by the vocabulary. Words seen before are remembered in
+each Python worker, up to a fixed number, so a text costs about one dictionary lookup a word.
 
 Defined results: a null text counts as empty (no ids, empty bytes); texts of any length are encoded
-whole, in blocks of pre-tokens; other columns are ignored; repeated rows are encoded each; an empty
+whole, in blocks; other columns are ignored; repeated rows are encoded each; an empty
 table gives an empty result.
 """
 
@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-from collections.abc import Iterator
-from itertools import chain, islice
+import re
+from collections.abc import Iterator, Sequence
+from heapq import heapify, heappop, heappush
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pre-tokens a worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
-#: Pre-tokens of a text that are held at once.
-BLOCK = 200_000
+#: Words a worker remembers in each of two generations.
+REMEMBERED = 400_000
+#: Characters of a text that are encoded at once.
+BLOCK = 1_000_000
+#: Finds a space next to other white space, or at either end.
+UNEVEN = re.compile(r" \s|\s |^ | $").search
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -45,7 +48,7 @@ def read_ranks(path: str) -> list[bytes]:
 class PerfectHash:
     """Minimal perfect hash: buckets by one half of a 64-bit hash, each with the first displacement under which its keys find free slots."""
 
-    def __init__(self, keys: list[bytes], per_bucket: int = 4):
+    def __init__(self, keys: list[bytes], per_bucket: int = 2):
         self.n = n = max(1, len(keys))
         self.m = max(1, n // per_bucket)
         buckets: list[list[int]] = [[] for _ in range(self.m)]
@@ -55,9 +58,9 @@ class PerfectHash:
         self.shift = np.zeros(self.m, dtype=np.int64)
         self.slot = np.full(n, -1, dtype=np.int64)
         free = bytearray(b"\x01") * n
-        for b in sorted(range(self.m), key=lambda b: -len(buckets[b])):
-            if not buckets[b]:
-                break
+        by_size = sorted((b for b in range(self.m) if buckets[b]), key=lambda b: -len(buckets[b]))
+        many = [b for b in by_size if len(buckets[b]) > 1]
+        for b in many:
             d = 0
             while True:
                 at = [self._at(hashes[i], d) for i in buckets[b]]
@@ -68,6 +71,11 @@ class PerfectHash:
             for i, x in zip(buckets[b], at):
                 free[x] = 0
                 self.slot[x] = i
+        # a bucket of one key names its slot outright, as -1 - slot
+        for b, x in zip(by_size[len(many) :], (x for x in range(n) if free[x])):
+            self.shift[b] = -1 - x
+            self.slot[x] = buckets[b][0]
+        self.shift, self.slot = self.shift.tolist(), self.slot.tolist()
 
     def _at(self, h: int, d: int) -> int:
         x = (h ^ (d * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
@@ -77,69 +85,122 @@ class PerfectHash:
     def get(self, key: bytes) -> int:
         """Index of the key if it is one of the keys; else that of another key, so compare."""
         h = xxhash.xxh3_64_intdigest(key)
-        return int(self.slot[self._at(h, int(self.shift[h % self.m]))])
+        d = self.shift[h % self.m]
+        return self.slot[self._at(h, d) if d >= 0 else -1 - d]
 
 
 class Encoder(dict):
-    """Maps a pre-token to its ids; unseen ones are encoded and remembered."""
+    """Maps what follows a space up to the next one to the ids of space and word; unseen ones are encoded and remembered.
+
+    The pattern's matches end before a single space that stands between two characters that are no white
+    space, and none looks further, so the text may be cut there and each cut encoded by itself."""
 
     def __init__(self, vocabulary: list[bytes], perfect: PerfectHash, pattern: str):
         super().__init__()
         self.vocabulary, self.perfect = vocabulary, perfect
-        self.find = regex.compile(pattern).finditer
-        self.byte_id = {v[0]: i for i, v in enumerate(vocabulary) if len(v) == 1}
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.decimal = [str(i) for i in range(len(vocabulary))]
+        self.findall, self.finditer = regex.compile(pattern).findall, regex.compile(pattern).finditer
+        self.byte_id = [0] * 256
+        self.merges: list[dict[int, int]] = [{} for _ in vocabulary]  # rank of left and right, if they merge
+        for i, v in enumerate(vocabulary):
+            if len(v) == 1:
+                self.byte_id[v[0]] = i
+            for k in range(1, len(v)):
+                left, right = self.lookup(v[:k]), self.lookup(v[k:])
+                if left >= 0 and right >= 0:
+                    self.merges[left][right] = i
+        self.ints = list(range(len(vocabulary)))
+        self.decimal = [str(i) for i in self.ints]
+        self.known: dict[str, Sequence[int]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def lookup(self, token: bytes) -> int:
         i = self.perfect.get(token)
-        return i if i >= 0 and self.vocabulary[i] == token else -1
+        return i if self.vocabulary[i] == token else -1
 
-    def __missing__(self, pre: str) -> tuple[int, ...]:
-        data = pre.encode("utf-8")
-        whole = self.lookup(data)
-        ids = (whole,) if whole >= 0 else tuple(self.merge(data))
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = tuple(self.pieces(" " + word))
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        self[pre] = ids
+        self[word] = ids
         return ids
 
-    def pair(self, a: int, b: int) -> int:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.lookup(self.vocabulary[a] + self.vocabulary[b])
-        return found
+    def pieces(self, text: str) -> list[int]:
+        out: list[int] = []
+        known = self.known
+        for pre in self.findall(text):
+            ids = known.get(pre)
+            if ids is None:
+                data = pre.encode("utf-8")
+                whole = self.lookup(data)
+                ids = (self.ints[whole],) if whole >= 0 else self.merge(data)
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[pre] = ids
+            out.extend(ids)
+        return out
 
     def merge(self, data: bytes) -> list[int]:
         n = len(data)
-        ids = [self.byte_id[x] for x in data]
+        byte_id, merges = self.byte_id, self.merges
+        ids = [byte_id[x] for x in data]
+        heap = []
+        left = ids[0]
+        for i in range(1, n):
+            right = ids[i]
+            rank = merges[left].get(right)
+            if rank is not None:
+                heap.append((rank, i - 1, right))
+            left = right
+        if not heap:
+            return ids
+        heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = self.pair
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair(ids[i], ids[i + 1])) >= 0]
-        heapq.heapify(heap)
         while heap:
-            rank, i, a, b = heapq.heappop(heap)
+            rank, i, right = heappop(heap)
+            left = ids[i]
+            if left < 0:
+                continue  # merged into what is before it
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # a neighbour has merged since
+            if j >= n or ids[j] != right or merges[left].get(right) != rank:
+                continue  # one of both has merged since
             ids[i], ids[j] = rank, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := pair(rank, ids[k])) >= 0:
-                    heapq.heappush(heap, (r, i, rank, ids[k]))
+                r = merges[rank].get(ids[k])
+                if r is not None:
+                    heappush(heap, (r, i, ids[k]))
             h = before[i]
-            if h >= 0 and (r := pair(ids[h], rank)) >= 0:
-                heapq.heappush(heap, (r, h, ids[h], rank))
+            if h >= 0:
+                r = merges[ids[h]].get(rank)
+                if r is not None:
+                    heappush(heap, (r, h, rank))
         return [x for x in ids if x >= 0]
 
     def blocks(self, text: str) -> Iterator[list[int]]:
-        """Ids of a text, a block of pre-tokens at a time."""
-        found = (m.group() for m in self.find(text))
-        while pres := list(islice(found, BLOCK)):
-            yield list(chain.from_iterable(map(self.__getitem__, pres)))
+        """Ids of a text, a block of it at a time."""
+        at = 0
+        while at < len(text):
+            cut = len(text) if len(text) - at <= BLOCK else text.rfind(" ", at, at + BLOCK)
+            # a block may end before a single space only
+            while at < cut < len(text) and (text[cut - 1].isspace() or text[cut + 1 : cut + 2].isspace() or cut + 1 == len(text)):
+                cut = text.rfind(" ", at, cut)
+            if cut <= at:  # no such space: the rest, by the pattern's own steps
+                for m in batched(self.finditer(text, at), BLOCK):
+                    yield list(chain.from_iterable(self.pieces(x.group()) for x in m))
+                return
+            part = text[at:cut]
+            if UNEVEN(part, 1 if at else 0):
+                yield self.pieces(part)
+            else:
+                words = part.split(" ")
+                first = [] if at else self.pieces(words[0])  # a later block begins with its space
+                first.extend(chain.from_iterable(map(self.__getitem__, words[1:])))
+                yield first
+            at = cut
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))

@@ -7,11 +7,12 @@ so
 - a class with fewer than T values that any other class holds has no partner and is skipped (skip);
 - two partners share a value among the K - T + 1 rarest of each (prefix), so only those lists are joined.
 
-Long lists are not expanded into pairs at first: in star rounds each class is compared with the first
-class of a list, linked ones are merged, and only classes of different components go on. The last round
-joins what is left of the prefix lists: pairs of different components, counted on the full signatures
-(at least T equal coordinates) and confirmed on the full shingle sets. Links inside one component would
-not change it, so components are those of all links.
+Lists are not expanded into pairs. In two star rounds each class is compared with the first class of a
+list, and linked ones are merged. Lists that then still hold more than one component are dealt to tasks,
+long ones as pairs of blocks. A task counts equal coordinates for the pairs of different components that
+meet first in its list, confirms those with T or more on the full shingle sets, merges as it goes, and
+emits a spanning forest. Links inside one component would not change it, so components are those of all
+links.
 
 T is calibrated: at the similarity threshold s, matches are binomial (K, s), and T is the largest count
 that such a pair misses with a probability below MISS.
@@ -121,6 +122,86 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return docs.join(if_few(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+#: Members of a list in one block.
+BLOCK = 1_024
+
+
+class _Merged:
+    """Union-find over the numbers of the components in a task."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+
+def _block_links(g: pd.DataFrame, threshold: int, percent: int) -> list[tuple[int, int]]:
+    """Links between components of the members of one list (or pair of its blocks) that complete a spanning forest."""
+    key, i, j = int(g["key"].iloc[0]), int(g["i"].iloc[0]), int(g["j"].iloc[0])
+    coordinate = key >> 32
+    keys = np.stack(g["keys"].to_numpy())
+    low = (keys & 0xFFFFFFFF).astype(np.uint32)
+    listed = np.stack([np.isin(k, p) for k, p in zip(keys, g["prefix"])])
+    rep, sets = g["rep"].to_numpy(), g["shingles"].to_numpy()
+    sizes = np.array([len(x) for x in sets])
+    component = np.unique(g["component"].to_numpy(), return_inverse=True)[1]
+    merged = _Merged(int(component.max()) + 1)
+    block = g["block"].to_numpy()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    out = []
+    for s in range(0, len(left), 128):
+        a = left[s : s + 128]
+        for t in range(0, len(right), 512):
+            b = right[t : t + 512]
+            may = component[a][:, None] != component[b][None, :]
+            if i == j:
+                may &= a[:, None] < b[None, :]
+            may &= 100 * np.minimum(sizes[a][:, None], sizes[b][None, :]) >= percent * np.maximum(sizes[a][:, None], sizes[b][None, :])
+            x, y = np.nonzero(may)
+            for c in range(0, len(x), 20_000):
+                u, v = a[x[c : c + 20_000]], b[y[c : c + 20_000]]
+                equal = low[u] == low[v]
+                first = (equal & listed[u] & listed[v]).argmax(1) == coordinate  # in no other list before
+                use = first & (equal.sum(1) >= threshold)
+                for m, n in zip(u[use].tolist(), v[use].tolist()):
+                    r, q = merged.root(int(component[m])), merged.root(int(component[n]))
+                    if r == q:
+                        continue
+                    both = len(np.intersect1d(sets[m], sets[n], assume_unique=True))
+                    if 100 * both >= percent * (sizes[m] + sizes[n] - both):
+                        merged.parent[r] = q
+                        out.append((int(rep[m]), int(rep[n])))
+    return out
+
+
+def list_links(members: DataFrame, threshold: int, percent: int) -> DataFrame:
+    """a, b: a spanning forest of the links between components. members: key, n (of the list), rep, component, keys, prefix, shingles."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = rows.select("key", "i", "j", "block", "rep", "component", "keys", "prefix", "shingles")
+
+    def run(frames):
+        held: pd.DataFrame | None = None
+        for pdf in frames:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            new = np.flatnonzero((pdf[["key", "i", "j"]] != pdf[["key", "i", "j"]].shift()).any(axis=1).to_numpy())
+            out = [x for a, b in zip(new[:-1], new[1:]) for x in _block_links(pdf.iloc[a:b], threshold, percent)]
+            held = pdf.iloc[new[-1] :]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if held is not None and len(held):
+            yield pd.DataFrame(_block_links(held, threshold, percent), columns=["a", "b"], dtype="int64")
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -169,11 +250,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # lists that still hold more than one component
     label = merged.select(F.col("node").alias("rep"), F.col("component"))
     left = scratch.save(prefix.join(label, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "left")
-    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = left.join(mixed, "key")
-    other = left.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    pairs = left.withColumnRenamed("rep", "a").join(other, "key").where("a < b and component <> cb").select("a", "b").distinct()
-    last = confirmed(pairs, "rest")
+    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    known = keys.join(able.select("rep", F.col("prefix")["key"].alias("prefix")), "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    members = left.join(mixed, "key").join(known, "rep")
+    last = scratch.save(list_links(members, threshold, percent), "last")
     if not last.isEmpty():
         merged = components(links.unionByName(last), scratch)
 

@@ -36,7 +36,9 @@ CLOSING_ID = 1
 SHARD_PIECES = 512
 #: A shard of very short pieces grows until it fills so many windows.
 SHARD_WINDOWS = 8
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
+#: Words that are encoded in one call, with a bar between them; a word with a bar in it is encoded alone.
+TOGETHER, BAR = 1_000, "|"
 K1, B = 1.2, 0.75
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -52,6 +54,23 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {}
+        bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        alone = [w for w in words if BAR in w] if self.bar is not None else words
+        out = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))}
+        many = [w for w in words if BAR not in w] if self.bar is not None else []
+        runs = [many[i : i + TOGETHER] for i in range(0, len(many), TOGETHER)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([f" {BAR} ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            bars = np.flatnonzero(ids == self.bar)
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(run, [*bars.tolist(), len(ids)], strict=True):
+                out[w] = data[4 * begin : 4 * end]
+                begin = end + 1
+        return [out[w] for w in words]
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -62,17 +81,15 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and where each text's ids start, with one more at the end; every text has the closing id."""
         words = split_words(texts)
-        distinct = words.distinct.to_pylist()
+        # the tokenizer lowers all letters; lowering those of ASCII here makes fewer words
+        distinct = [w.lower() if w.isascii() else w for w in words.distinct.to_pylist()]
         known = self.known
-        new = [w for w in distinct if w not in known]
+        new = list({w: None for w in distinct if w not in known})
         if new:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = distinct
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                new = list(dict.fromkeys(distinct))
+            known.update(zip(new, self.words(new)))
         pieces = [known[w] for w in distinct]
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
         blob = np.frombuffer(b"".join(pieces), dtype="<u4")
@@ -101,7 +118,7 @@ def _tokenize(rows: DataFrame, tokenizer_path: str, window: int, with_ids: bool)
         order = [mix64(np.arange(tok.size, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(40) for s in (1, 2)]
         docs = rest_tokens = 0
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 8 << 20):  # the more text, the rarer a new word
                 ids, at = tok.encode(piece.column(1))
                 sizes = np.diff(at)
                 rest = sizes % window
