@@ -80,6 +80,17 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+#: Rows of an Arrow batch between the JVM and Python; texts of some KB make that a few MB.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS where more are set: both sides hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):
     """Cut an Arrow batch so that the text of each piece stays near max_bytes; one row is never split."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -90,6 +101,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20):
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], len(sizes)]):
         yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

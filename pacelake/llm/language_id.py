@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import mix64, slices, small_batches
 
 DIMENSIONS = 1024
 SYMBOLS = 128  # 0 is the space
 PER_LANGUAGE = 3_000
 MAX_LANGUAGES = 1_000
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -52,15 +54,15 @@ def _letters() -> np.ndarray:
 
 
 class GramVectors:
-    """Vectors of trigrams, made when first met; bounded by the number of trigrams, cleared beyond a limit."""
+    """Vectors of trigrams, made when first met and kept as bytes (1 KB each); cleared beyond a limit."""
 
     def __init__(self, limit: int = 40_000):
         self.limit = limit
         self.codes = np.empty(0, dtype=np.int64)
-        self.vectors = np.empty((0, DIMENSIONS), dtype=np.float32)
+        self.vectors = np.empty((0, DIMENSIONS), dtype=np.int8)
 
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        """codes: sorted, distinct."""
+    def bundle(self, counts: np.ndarray, codes: np.ndarray, block: int = 4_096) -> np.ndarray:
+        """counts (texts by codes) times the vectors of codes, a block of codes at a time. codes: sorted, distinct."""
         if len(self.codes) + len(codes) > self.limit:
             self.__init__(self.limit)
         new = np.setdiff1d(codes, self.codes, assume_unique=True)
@@ -68,10 +70,14 @@ class GramVectors:
             a, b, c = new // SYMBOLS**2, new // SYMBOLS % SYMBOLS, new % SYMBOLS
             letters = _letters()
             made = np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
-            codes_, vectors = np.r_[self.codes, new], np.vstack([self.vectors, made.astype(np.float32)])
+            codes_, vectors = np.r_[self.codes, new], np.vstack([self.vectors, made])
             order = np.argsort(codes_)
             self.codes, self.vectors = codes_[order], vectors[order]
-        return self.vectors[np.searchsorted(self.codes, codes)]
+        at = np.searchsorted(self.codes, codes)
+        out = np.zeros((len(counts), DIMENSIONS), dtype=np.float32)
+        for s in range(0, len(at), block):
+            out += counts[:, s : s + block].astype(np.float32) @ self.vectors[at[s : s + block]].astype(np.float32)
+        return out
 
 
 _grams = GramVectors()
@@ -96,8 +102,7 @@ def profiles(texts: list[str | None]) -> np.ndarray:
     place = np.zeros(SYMBOLS**3, dtype=np.int32)
     place[seen] = np.arange(len(seen), dtype=np.int32)
     counts = np.bincount(doc.astype(np.int64) * len(seen) + place[code], minlength=len(texts) * len(seen))
-    counts = counts.reshape(len(texts), len(seen)).astype(np.float32)
-    return counts @ _grams.of(seen)
+    return _grams.bundle(counts.reshape(len(texts), len(seen)), seen)
 
 
 def train_row(id_col: str = "doc_id") -> Column:
@@ -106,6 +111,7 @@ def train_row(id_col: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in sorted order and their prototypes, from rows of train_row with a label."""
+    small_batches(docs.sparkSession)
     rows = docs.where(train_row(id_col) & F.col(lang_col).isNotNull())
     sizes = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()}
     if not sizes:
@@ -118,7 +124,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for part in slices(b, "text", 1 << 20):
+            for part in slices(b, "text", SLICE):
                 vectors, langs = profiles(part.column(0).to_pylist()), np.array(part.column(1).to_pylist(), dtype=object)
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
                 vectors = vectors / np.maximum(norms, 1e-9)
@@ -144,7 +150,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: s
     def judge(text: pd.Series) -> pd.DataFrame:
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
         best, score = [], []
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text", SLICE):
             vectors = profiles(part.column(0).to_pylist())
             norms = np.linalg.norm(vectors, axis=1)
             cosines = np.c_[(vectors @ units.T) / np.maximum(norms, 1e-9)[:, None], np.full(len(vectors), -2.0)]

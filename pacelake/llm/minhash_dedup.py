@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, if_few, mix64, slices
+from .common import Scratch, if_few, mix64, slices, small_batches
 from .components import components
 from .words import split_words
 
@@ -204,6 +204,7 @@ def list_links(members: DataFrame, threshold: int, percent: int) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "minhash")
     threshold = match_threshold(percent / 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
