@@ -20,15 +20,17 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, slices
+from .common import Scratch, mix64, slices, small_batches
 from .words import split_words
 
 WINDOW = 2048
@@ -36,9 +38,12 @@ CLOSING_ID = 1
 SHARD_PIECES = 512
 #: A shard of very short pieces grows until it fills so many windows.
 SHARD_WINDOWS = 8
-REMEMBERED = 1_500_000
+#: Words that a worker remembers; some 150 bytes each.
+REMEMBERED = 300_000
 #: Words that are encoded in one call, with a bar between them; a word with a bar in it is encoded alone.
 TOGETHER, BAR = 1_000, "|"
+#: Calls that are made at once; their results take some 100 bytes a token.
+CALLS = 8
 K1, B = 1.2, 0.75
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -63,7 +68,8 @@ class WordTokenizer:
         out = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))}
         many = [w for w in words if BAR not in w] if self.bar is not None else []
         runs = [many[i : i + TOGETHER] for i in range(0, len(many), TOGETHER)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([f" {BAR} ".join(r) for r in runs], add_special_tokens=False)):
+        encoded = (e for k in range(0, len(runs), CALLS) for e in self.tokenizer.encode_batch_fast([f" {BAR} ".join(r) for r in runs[k : k + CALLS]], add_special_tokens=False))
+        for run, e in zip(runs, encoded):
             ids = np.array(e.ids, dtype="<u4")
             bars = np.flatnonzero(ids == self.bar)
             data, begin = ids.tobytes(), 0
@@ -81,27 +87,35 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and where each text's ids start, with one more at the end; every text has the closing id."""
         words = split_words(texts)
-        # the tokenizer lowers all letters; lowering those of ASCII here makes fewer words
-        distinct = [w.lower() if w.isascii() else w for w in words.distinct.to_pylist()]
+        # the tokenizer lowers all letters and cuts between a letter or digit and marks; doing so here
+        # for ASCII makes fewer words: each is a bare word and the marks at its end
+        lower = pc.ascii_lower(words.distinct)
+        bare = pc.ascii_rtrim(lower, characters=string.punctuation)
+        bare = pc.if_else(pc.match_substring_regex(bare, r"[a-z0-9]\z"), bare, lower)
+        cut = pc.binary_length(bare).to_numpy(zero_copy_only=False)
+        marks = pa.array([m[c:] for m, c in zip(lower.cast(pa.large_binary()).to_pylist(), cut.tolist())], pa.binary()).dictionary_encode()
+        bare = bare.dictionary_encode()
+        parts = bare.dictionary.to_pylist() + [m.decode() for m in marks.dictionary.to_pylist()]
         known = self.known
-        new = list({w: None for w in distinct if w not in known})
+        new = list({w: None for w in parts if w not in known})
         if new:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = list(dict.fromkeys(distinct))
+                new = list(dict.fromkeys(parts))
             known.update(zip(new, self.words(new)))
-        pieces = [known[w] for w in distinct]
+        pieces = [known[w] for w in parts]
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
         blob = np.frombuffer(b"".join(pieces), dtype="<u4")
         starts = np.cumsum(sizes) - sizes
-        # each text gets one more word, whose only id is the closing one
-        n, docs = len(words.code), len(words.bounds) - 1
-        code = np.insert(words.code, words.bounds[1:], len(distinct))
+        # two parts for each word; each text gets one part more, whose only id is the closing one
+        n, docs = 2 * len(words.code), len(words.bounds) - 1
+        of_word = np.c_[bare.indices.to_numpy(zero_copy_only=False), marks.indices.to_numpy(zero_copy_only=False) + len(bare.dictionary)].astype(np.int32)
+        code = np.insert(of_word[words.code].reshape(-1), 2 * words.bounds[1:], len(pieces))
         blob, sizes, starts = np.r_[blob, np.uint32(CLOSING_ID)], np.r_[sizes, 1], np.r_[starts, len(blob)]
         each = sizes[code]
         ends = np.cumsum(each)
         ids = blob[np.repeat(starts[code] - ends + each, each) + np.arange(int(ends[-1]) if n + docs else 0)]
-        return ids, np.r_[0, ends][words.bounds + np.arange(docs + 1)]
+        return ids, np.r_[0, ends][2 * words.bounds + np.arange(docs + 1)]
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -118,7 +132,7 @@ def _tokenize(rows: DataFrame, tokenizer_path: str, window: int, with_ids: bool)
         order = [mix64(np.arange(tok.size, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(40) for s in (1, 2)]
         docs = rest_tokens = 0
         for batch in batches:
-            for piece in slices(batch, "text", 8 << 20):  # the more text, the rarer a new word
+            for piece in slices(batch, "text", 4 << 20):  # the more text, the rarer a new word
                 ids, at = tok.encode(piece.column(1))
                 sizes = np.diff(at)
                 rest = sizes % window
@@ -272,6 +286,7 @@ def _pack(rests: DataFrame, idf, mean_length: float, window: int, wide: bool, wi
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids (little-endian 32-bit) if asked for."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tokens = scratch.save(_tokenize(rows, tokenizer_path, window, with_ids), "tokens")
