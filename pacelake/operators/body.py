@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.scalar import num
-from ..functions.windows import rolling_max, velocity
+from ..functions.windows import longest_run, rolling_max, velocity
 
 #: Fixed landmark numbers.
 NOSE = 0
@@ -207,3 +207,27 @@ def windowed_index(df: DataFrame, length: int = 120, least: int = 108) -> DataFr
 
 def first_of_windows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rank_", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("rank_ = 1").drop("rank_")
+
+
+def likeliest_candidate(candidates: DataFrame, body: int = 17) -> DataFrame:
+    """Of each frame's candidates the one with the highest mean score over the body's keypoints; of equals, the first. candidates: clip_id, frame, cand, kp, score."""
+    means = candidates.where(F.col("kp") < body).groupBy("clip_id", "frame", "cand").agg(F.avg("score").alias("mean"))
+    return means.groupBy("clip_id", "frame").agg(F.max_by("cand", F.struct(F.bround("mean", 9), -F.col("cand"))).alias("cand"))
+
+
+def anchor_frames(seen: DataFrame, present: float = 0.3, reach: int = 5) -> DataFrame:
+    """clip_id, anchor: the frame to seed a clip from. seen: clip_id, frame (from 0), quality of the near hip.
+
+    The middle between the first and last present frame of the clip's middle 60 %, else its best frame. If
+    that one is not present: the best frame around the middle of the longest present run."""
+    df = seen.withColumn("n", F.count("*").over(W.partitionBy("clip_id")))
+    lo, hi = F.floor(num(0.2) * F.col("n")), F.floor(num(0.8) * F.col("n"))
+    inside = (F.col("frame") >= lo) & (F.col("frame") < hi)
+    found = F.when(inside & (F.col("quality") >= present), F.col("frame"))
+    best = lambda where: F.max_by("frame", F.when(where, F.struct("quality", -F.col("frame"))))
+    per = df.groupBy("clip_id", "n").agg(F.min(found).alias("a"), F.max(found).alias("b"), best(inside).alias("best"))
+    first = F.when(lo >= hi, F.floor(F.col("n") / 2)).when(F.col("a").isNotNull(), lo + F.floor((F.col("a") + F.col("b") - lo - lo) / 2)).otherwise(F.col("best"))
+    run = longest_run(seen, ["clip_id"], F.col("quality") >= present).select("clip_id", (F.col("start") + F.floor(F.col("length") / 2)).alias("mid"))
+    both_ = seen.join(per.select("clip_id", first.alias("first")), "clip_id").join(run, "clip_id", "left")
+    out = both_.groupBy("clip_id", "first", "mid").agg(F.max(F.when(F.col("frame") == F.col("first"), F.col("quality"))).alias("q"), best(F.col("frame").between(F.col("mid") - reach, F.col("mid") + reach)).alias("again"))
+    return out.select("clip_id", F.when((F.col("q") < present) & F.col("mid").isNotNull(), F.col("again")).otherwise(F.col("first")).alias("anchor"))

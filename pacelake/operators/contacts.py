@@ -217,3 +217,17 @@ def pattern_check(contacts: DataFrame) -> DataFrame:
 def detection_summary(contacts: DataFrame) -> DataFrame:
     """Counts and refined share of each clip, in all and by leg."""
     return contacts.cube("clip_id", "leg").agg(F.count("*").alias("n"), F.count_if(F.col("detection_method") == "refined").alias("n_refined"), F.grouping_id().alias("g")).where("g < 2").drop("g")
+
+
+def toe_off_by_speed(contacts: DataFrame, speeds: DataFrame, threshold: float, fps: float) -> DataFrame:
+    """Adds speed_toe_off: the first falling crossing of the toe's speed within six frames of the expected end, else the coarse toe-off.
+
+    contacts: clip_id, leg, frame, last, toe_off, ic (may be NULL). With ic, the end is expected a default
+    stance after it, and no toe-off lies within 120 ms of it."""
+    ic = F.col("ic").cast("int")
+    end = F.coalesce(ic + int(0.18 * fps), F.col("toe_off"), F.col("frame") + 12)
+    low = F.greatest(F.lit(1), F.col("end") - 6, ic + int(0.12 * fps))
+    around = near_frames(contacts.withColumn("end", end), speeds, low, F.least(F.col("last"), F.col("end") + 6) - 1)
+    at = F.col("t") - num(1) + (num(threshold) - F.col("pv")) / (F.col("v") - F.col("pv"))
+    hit = around.where((F.col("pv") > threshold) & (F.col("v") <= threshold)).groupBy(*LEG, "frame").agg(F.min_by(at, F.col("t")).alias("hit"))
+    return contacts.join(hit, [*LEG, "frame"], "left").withColumn("speed_toe_off", F.coalesce("hit", F.col("toe_off").cast("double"))).drop("hit")

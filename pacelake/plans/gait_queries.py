@@ -360,6 +360,26 @@ def a8_hip_velocity(spark, sf_dir):
     return rounded(metrics.hip_velocity(_path(spark, sf_dir), FPS, 500.0))
 
 
+@query(
+    f"""RECURSIVE {REFINED}, ee AS (SELECT clip_id, leg, frame, last, toe_off, trunc(CASE WHEN ms > 80 AND ms < 400 THEN ic ELSE frame::DOUBLE END)::BIGINT AS i FROM rm)
+SELECT e.clip_id, e.leg, e.frame, round(coalesce(arg_min(t - 1e0 + (-2e0 - pv) / (v - pv), t) FILTER (t BETWEEN greatest(1, i + 4, i + 7) AND least(e.last, i + 16) - 1 AND pv > -2e0 AND v <= -2e0), e.toe_off)::DOUBLE, 6) AS speed_toe_off
+FROM ee e JOIN tp ON tp.clip_id = e.clip_id AND tp.leg = e.leg GROUP BY e.clip_id, e.leg, e.frame, e.toe_off"""
+)
+def x3_toe_off_by_speed(spark, sf_dir):
+    v = N.gradient(N.savgol5(gait(spark, sf_dir), LEG, "toe_y", "ty"), LEG, "ty", "v")
+    v = v.select(*LEG, "frame", "v", F.lag("v").over(W.partitionBy(*LEG).orderBy("frame")).alias("pv"))
+    c = _refined(spark, sf_dir).select(*LEG, "frame", "last", "toe_off", F.col("contact_frame").alias("ic"))
+    return rounded(contacts.toe_off_by_speed(c, v, -2.0, FPS).select(*LEG, "frame", "speed_toe_off"))
+
+
+@query(
+    f"WITH {FLAT}, r AS (SELECT clip_id % 50 AS batch, row_number() OVER (PARTITION BY clip_id % 50 ORDER BY clip_id) AS run, count(*) OVER (PARTITION BY clip_id % 50) AS k, clip_id, cadence_spm, gct_ms, stride_length_m, oscillation_cm FROM m) SELECT * EXCLUDE (k) FROM r WHERE k > 1"
+)
+def r3_compare_runs(spark, sf_dir):
+    m = _flat_metrics(spark, sf_dir).withColumn("batch", F.col("clip_id") % 50)
+    return metrics.compare_runs(m, "batch", ["cadence_spm", "gct_ms", "stride_length_m", "oscillation_cm"])
+
+
 # body ----------------------------------------------------------------------------------------------
 
 
@@ -425,6 +445,33 @@ def a2_a3_a4_near_sides(spark, sf_dir):
     return rounded(body.near_sides(pose(spark, sf_dir)))
 
 
+@query(
+    f"""{SIDES}, nq AS (SELECT clip_id, frame, vis AS vq, count(*) OVER (PARTITION BY clip_id) AS n FROM pose JOIN sides USING (clip_id) WHERE lm = CASE footage_side WHEN 'left' THEN 23 ELSE 24 END),
+nw AS (SELECT *, floor(2e-1 * n)::BIGINT AS lo, floor(8e-1 * n)::BIGINT AS hi FROM nq),
+na AS (SELECT clip_id, n, lo, hi, min(frame) FILTER (frame >= lo AND frame < hi AND vq >= 3e-1) AS f, max(frame) FILTER (frame >= lo AND frame < hi AND vq >= 3e-1) AS l, first(frame ORDER BY vq DESC, frame) FILTER (frame >= lo AND frame < hi) AS b FROM nw GROUP BY ALL),
+nc AS (SELECT *, CASE WHEN lo >= hi THEN n // 2 WHEN f IS NOT NULL THEN lo + (f + l - 2 * lo) // 2 ELSE b END AS anchor FROM na),
+ng AS (SELECT clip_id, frame, vq >= 3e-1 AS p, frame - row_number() OVER (PARTITION BY clip_id, vq >= 3e-1 ORDER BY frame) AS g FROM nq),
+nr AS (SELECT clip_id, g, min(frame) AS s, count(*) AS k FROM ng WHERE p GROUP BY clip_id, g QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY k DESC, s) = 1),
+nd AS (SELECT nc.clip_id, anchor, s + k // 2 AS mid FROM nc LEFT JOIN nr USING (clip_id)),
+nz AS (SELECT nd.clip_id, anchor, mid, max(vq) FILTER (nq.frame = anchor) AS qa, first(nq.frame ORDER BY vq DESC, nq.frame) FILTER (nq.frame BETWEEN mid - 5 AND mid + 5) AS again FROM nd JOIN nq USING (clip_id) GROUP BY ALL)
+SELECT clip_id, CASE WHEN qa < 3e-1 AND mid IS NOT NULL THEN again ELSE anchor END AS anchor FROM nz"""
+)
+def n6_anchor_frames(spark, sf_dir):
+    p = pose(spark, sf_dir)
+    near = p.where("lm in (23, 24)").join(body.near_sides(p), "clip_id").where(F.col("lm") == F.when(F.col("footage_side") == "left", 23).otherwise(24))
+    return body.anchor_frames(near.select("clip_id", "frame", F.col("vis").alias("quality")))
+
+
+@query(
+    """s AS (SELECT clip_id, frame, k AS cand, avg(vis * (1e0 - (frame + k) % 3 / 1e1)) AS m FROM pose, (SELECT unnest([0, 1, 2]) AS k) WHERE lm < 17 GROUP BY ALL)
+SELECT clip_id, frame, cand FROM s QUALIFY row_number() OVER (PARTITION BY clip_id, frame ORDER BY round_even(m, 9) DESC, cand) = 1"""
+)
+def s6_likeliest_candidate(spark, sf_dir):
+    c = pose(spark, sf_dir).select("clip_id", "frame", F.col("lm").alias("kp"), "vis", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("cand"))
+    score = F.col("vis") * (num(1) - ((F.col("frame") + F.col("cand")) % 3).cast("double") / num(10))
+    return body.likeliest_candidate(c.select("clip_id", "frame", "cand", "kp", score.alias("score")))
+
+
 @query()
 def a5_a6_a7_f9_calibration(spark, sf_dir):
     p = pose(spark, sf_dir)
