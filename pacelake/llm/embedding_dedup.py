@@ -7,8 +7,11 @@ into blocks of equal size; a block is the queries of one window, and only blocks
 brought together, each pair of them once. Inside a pair of blocks collisions are counted for all pairs,
 projection after projection; pairs with a passing count are verified by cosine in double precision.
 
-Half-widths and the passing count are calibrated: vectors of the sample are turned by random directions
-to exactly the wanted cosine, and the largest count is taken that at least RECALL of those pairs reach.
+No link is lost, whatever the vectors: unit vectors at the wanted cosine or above are at most reach apart,
+reach^2 = 2 - 2 cosine, and the squares of their distances along the lines add up to no more. So they meet in
+a first window of that half-width, and with half-widths of reach / sqrt(m) fewer than m lines can miss; the
+length of what the directions leave out is one more such line. The sample only chooses the m that passes
+the fewest unlike pairs.
 
 Equal vectors are one class, worked on once and weighted by its size. No pair leaves a task: each emits
 for its vectors the number of links it found and, of the links, a spanning forest. Work grows with the
@@ -35,34 +38,49 @@ PROJECTIONS = 24
 SAMPLE = 8_192
 BLOCK = 4_096
 TILE = 256
-#: Half-width of a window in standard deviations of a pair at the wanted cosine; the first is the sort's.
-WIDTH, FIRST_WIDTH = 1.75, 2.75
-RECALL = 0.99
+#: Added to half-widths for rounding: projections are compared in single precision.
+ROUNDING = 1e-5
+#: Where more of a tile's pairs than one in so many pass, all their cosines are taken in one product.
+DENSE = 64
 
 
 class Calibration:
     """Directions, half-widths and the passing count for one vector length."""
 
-    def __init__(self, sample: np.ndarray, cosine: float, recall: float = RECALL):
+    def __init__(self, sample: np.ndarray, cosine: float):
         n, dim = sample.shape
         rng = np.random.default_rng(7)
         centred = sample - sample.mean(0)
         _, vectors = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(dim))
         self.directions = np.ascontiguousarray(vectors[:, ::-1][:, :PROJECTIONS])
-        # pairs at the wanted cosine: x and cos x + sin u with u at right angles to x
+        reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+        self.first_width = reach + ROUNDING
+        # unlike pairs say how many misses to allow; any number is safe
+        lines = self.lines(sample)
+        unlike = np.sort(np.abs(lines[rng.integers(0, n, 20_000)] - lines[rng.integers(0, n, 20_000)]), axis=1)[:, ::-1]
+        n_lines = lines.shape[1]
+        passed = [(unlike[:, m - 1] <= reach / np.sqrt(m) + ROUNDING).mean() for m in range(1, n_lines + 1)]
+        misses = int(np.argmin(passed)) + 1
+        self.width = np.float32(reach / np.sqrt(misses) + ROUNDING)
+        self.passing = n_lines - misses + 1
+        # measured on pairs at the wanted cosine, x and cos x + sin u with u at right angles to x and like the data
         x = sample[rng.integers(0, n, 20_000)]
-        u = rng.standard_normal(x.shape)
+        u = centred[rng.integers(0, n, 20_000)] + 1e-3 * rng.standard_normal(x.shape)
         u -= (u * x).sum(1, keepdims=True) * x
         u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
-        y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * u
-        apart = np.abs((x - y) @ self.directions)
-        spread = np.sqrt((apart**2).mean(0)) + 1e-9
-        self.widths = (WIDTH * spread).astype(np.float32)
-        self.first_width = float(FIRST_WIDTH * spread[0])
-        counts = np.where(apart[:, 0] <= self.first_width, (apart <= self.widths).sum(1), -1)
-        wanted = np.sort(counts)[int((1 - recall) * len(counts))]
-        self.passing = max(1, int(wanted))
-        self.recall = float((counts >= self.passing).mean())
+        self.recall = float(self.passes(x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * u).mean())
+
+    def lines(self, unit: np.ndarray) -> np.ndarray:
+        """Places of unit vectors on the lines: the projections, and the length of the rest where there is one."""
+        p = unit @ self.directions
+        if p.shape[1] == unit.shape[1]:
+            return p.astype(np.float32)
+        return np.c_[p, np.sqrt(np.maximum(0.0, 1 - (p * p).sum(1)))].astype(np.float32)
+
+    def passes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether pairs of unit vectors collide often enough to be verified."""
+        apart = np.abs(self.lines(x) - self.lines(y))
+        return (apart[:, 0] <= self.first_width) & ((apart <= self.width).sum(1) >= self.passing)
 
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -83,7 +101,7 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def compare(vectors: np.ndarray, weights: np.ndarray, a: np.ndarray, b: np.ndarray, cal: Calibration, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Links between rows a and rows b of unit vectors (the same rows: each pair once): weighted link counts, and a forest (parent of each row)."""
     same = len(a) == len(b) and bool((a == b).all())
-    p = (vectors @ cal.directions).astype(np.float32)
+    p = cal.lines(vectors)
     found, parent = np.zeros(len(vectors), dtype=np.int64), np.arange(len(vectors))
     pb = np.ascontiguousarray(p[b].T)
     n_lines = p.shape[1]
@@ -98,19 +116,20 @@ def compare(vectors: np.ndarray, weights: np.ndarray, a: np.ndarray, b: np.ndarr
         count = np.zeros((len(rows), hi - lo), dtype=np.uint8)
         first = np.abs(p[rows, 0][:, None] - pb[0, lo:hi]) <= cal.first_width
         for j in range(half):
-            count += np.abs(p[rows, j][:, None] - pb[j, lo:hi]) <= cal.widths[j]
+            count += np.abs(p[rows, j][:, None] - pb[j, lo:hi]) <= cal.width
         i, k = np.nonzero(first & (count + n_lines - half >= cal.passing))  # the rest could still pass
         total = count[i, k].astype(np.int64)
         for j in range(half, n_lines):
-            total += np.abs(p[rows, j][i] - pb[j, lo:hi][k]) <= cal.widths[j]
+            total += np.abs(p[rows, j][i] - pb[j, lo:hi][k]) <= cal.width
         passed = total >= cal.passing
-        i, k = rows[i[passed]], b[lo:hi][k[passed]]
-        if same:
-            once = i < k
-            i, k = i[once], k[once]
+        i, k = i[passed], k[passed]
+        dense = vectors[rows] @ vectors[b[lo:hi]].T if DENSE * len(i) > count.size else None
         for c in range(0, len(i), 65_536):
-            x, y = i[c : c + 65_536], k[c : c + 65_536]
-            linked = np.einsum("ij,ij->i", vectors[x], vectors[y]) >= cosine
+            ti, tk = i[c : c + 65_536], k[c : c + 65_536]
+            x, y = rows[ti], b[lo:hi][tk]
+            linked = (dense[ti, tk] if dense is not None else np.einsum("ij,ij->i", vectors[x], vectors[y])) >= cosine
+            if same:
+                linked &= x < y
             x, y = x[linked], y[linked]
             np.add.at(found, x, weights[y])
             np.add.at(found, y, weights[x])
@@ -182,13 +201,16 @@ def _links_of(classes: DataFrame, n: int, cosine: float, scratch: Scratch) -> Da
         block.append(blocks)
     ends["block"] = block
     span = ends.groupby("block").agg(lo=("lo", "min"), hi=("hi", "max"))
-    meet = [(i, j) for i in span.index for j in range(i, len(span)) if span.lo[j] <= span.hi[i] + cal.value.first_width]
     of = spark.createDataFrame([(int(r.part), int(r.run), int(r.block)) for r in ends.itertuples()], "part int, run long, block int")
-    pairs = spark.createDataFrame([(int(b), f"{i}-{j}") for i, j in meet for b in {i, j}], "block int, pair string")
+    spans = spark.createDataFrame([(int(r.Index), float(r.lo), float(r.hi)) for r in span.itertuples()], "block int, lo double, hi double")
+    left = spans.select(F.col("block").alias("i"), F.col("hi").alias("reach"))
+    right = spans.select(F.col("block").alias("j"), F.col("lo").alias("from"))
+    meet = left.join(right, (F.col("j") >= F.col("i")) & (F.col("from") <= F.col("reach") + F.lit(cal.value.first_width)))
+    pairs = meet.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["p", "rep"], kind="stable")
-        i, j = (int(x) for x in pdf["pair"].iloc[0].split("-"))
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         at = pdf["block"].to_numpy()
         unit = _unit(np.array(pdf["v"].tolist(), dtype=np.float64))
         rep = pdf["rep"].to_numpy()
@@ -199,7 +221,7 @@ def _links_of(classes: DataFrame, n: int, cosine: float, scratch: Scratch) -> Da
         return pd.DataFrame({"rep": rep[some], "found": found[some], "root": rep[parent[some]]})
 
     dealt = runs.join(of, ["part", "run"]).join(pairs, "block")
-    return scratch.save(dealt.groupBy("pair").applyInPandas(links, FOUND), "found")
+    return scratch.save(dealt.groupBy("i", "j").applyInPandas(links, FOUND), "found")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -144,6 +144,35 @@ def test_calibrated_recall_at_the_angle():
     assert cal.recall >= 0.98
 
 
+@pytest.mark.parametrize(("dim", "rank", "power"), [(64, 16, 0), (64, 64, 0.7), (384, 384, 0.7), (384, 32, 0), (20, 20, 0)])
+def test_no_link_is_lost_in_the_subspace_of_the_data(dim, rank, power):
+    rng = np.random.default_rng(dim + rank)
+    axes = np.linalg.qr(rng.normal(size=(dim, rank)))[0].T * (1 + np.arange(rank))[:, None] ** -power
+    base = rng.normal(size=(1500, rank))
+    # near copies differ where the data does; those at just the wanted cosine count as well
+    x = np.vstack([base, base[:700] + rng.normal(size=(700, rank)) * rng.uniform(0.2, 0.5, (700, 1))]) @ axes
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cal = embedding_dedup.Calibration(x, 0.9)
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    at = np.arange(len(x))
+    found, _ = embedding_dedup.compare(x, np.ones(len(x), dtype=np.int64), at, at, cal, 0.9)
+    assert link.sum() > 300 and cal.recall == 1
+    assert (found == link.sum(1)).all()
+
+
+def test_embeddings_in_many_blocks_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(400, 8))
+    x = np.vstack([base, base + rng.normal(size=base.shape) * 0.3]) @ rng.normal(size=(8, 64))
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = dict(rows_of(embedding_dedup.near_vectors(df), "vec_id", "n_links"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert want.sum() > 300 and [got[i] for i in range(len(x))] == want.tolist()
+
+
 def shingles(text, width):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if x]
     if not w:
