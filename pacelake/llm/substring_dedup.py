@@ -4,8 +4,10 @@ A gear hash rolls over the bytes of a text; where its upper bits are all zero a
 start of a character. The hash of a place depends on the 16 bytes before it, so an insertion moves only
 the cuts around it. Chunks of every document are counted by digest over the whole corpus; neighbouring
 chunks that occur again form a passage, and a passage of at least MIN_WORDS words that another document
-has too is reported for every document that has it. The first occurrence (smallest document and place)
-is the one that stays when texts are cut.
+has too is reported for every document that has it; WORD_CHARS code points count as a word as well, for
+text without spaces. Each chunk belongs to its first occurrence (smallest document, then place), and a
+passage is reported in parts, cut where the owning document or the first occurrence changes. First
+occurrences stay when texts are cut, so one occurrence of every chunk does.
 
 A chunk has 32 bytes on average, so a passage of 50 words holds several whole chunks wherever it stands.
 Only digests and places are shuffled. Counts are summed before the shuffle, and rows of a very common
@@ -31,6 +33,7 @@ from .common import Scratch, mix64, slices
 CUT = np.uint32(0b11111 << 11)
 SHORTEST, LONGEST = 8, 256
 MIN_WORDS = 14
+WORD_CHARS = 10
 
 _GEAR = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
 
@@ -65,16 +68,16 @@ def cuts(data: np.ndarray, h: np.ndarray) -> list[int]:
     return out
 
 
-_CHUNKS = "doc_id long, digests array<long>, chars array<int>, words array<int>"
+_CHUNKS = "doc_id long, digests array<long>, chars array<int>, words array<int>, again array<int>"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, and for its chunks in order: digest, code points, words that start there."""
+    """doc_id, and for its chunks in order: digest, code points, words that start there; again: places of chunks that stand before in the document."""
 
     def run(batches):
         for batch in batches:
             for piece in slices(batch, "text"):
-                lists: list[list] = [[], [], []]
+                lists: list[list] = [[], [], [], []]
                 for text in piece.column(1):
                     raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                     data = np.frombuffer(raw, dtype=np.uint8)
@@ -83,18 +86,22 @@ def chunks(docs: DataFrame) -> DataFrame:
                     space = (data == 32) | ((data >= 9) & (data <= 13))
                     first = ~space
                     first[1:] &= space[:-1]
-                    lists[0].append([xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip(starts, ends)])
+                    digests = [xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip(starts, ends)]
+                    seen: set[int] = set()
+                    lists[0].append(digests)
+                    lists[3].append([i for i, d in enumerate(digests) if d in seen or seen.add(d)])
                     lists[1].append(np.add.reduceat((data & 0xC0) != 0x80, starts, dtype=np.int32) if ends else [])
                     lists[2].append(np.add.reduceat(first, starts, dtype=np.int32) if ends else [])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int32())), pa.array(lists[2], pa.list_(pa.int32()))], ["doc_id", "digests", "chars", "words"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(lists[0], pa.list_(pa.int64())), pa.array(lists[1], pa.list_(pa.int32())), pa.array(lists[2], pa.list_(pa.int32())), pa.array(lists[3], pa.list_(pa.int32()))], ["doc_id", "digests", "chars", "words", "again"])
 
     return docs.mapInArrow(run, _CHUNKS)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row for each repeated passage of each document: doc_id, start, stop (code points), n_words, n_rows, first_doc_id, first.
+    """A row for each part of a repeated passage of each document: doc_id, start, stop (code points), n_words, n_rows, first_doc_id, first.
 
-    n_rows: how often its most common chunk is in the corpus; first_doc_id: the smallest document that has one of its chunks."""
+    n_rows: how often its most common chunk is in the corpus; first_doc_id: the smallest document that has its chunks, each of them;
+    first: whether these are the chunks' first occurrences. A part may be shorter than min_words, the passage is not."""
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = scratch.save(chunks(texts), "chunks")
@@ -106,30 +113,34 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     # back to their documents: repeated places in order, then runs of neighbours
     marked = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "first_doc_id", "n_rows"))).alias("hits"))
 
-    schema = "doc_id long, start long, stop long, n_words long, n_rows long, first_doc_id long"
+    schema = "doc_id long, start long, stop long, n_words long, n_rows long, first_doc_id long, first boolean"
 
     def runs(frames):
         for pdf in frames:
             out = []
-            for key, hits, chars, words in zip(pdf["doc_id"], pdf["hits"], pdf["chars"], pdf["words"]):
+            for key, hits, chars, words, again in zip(pdf["doc_id"], pdf["hits"], pdf["chars"], pdf["words"], pdf["again"]):
                 at = np.array([h["at"] for h in hits])
                 if len(np.unique(at)) < len(at):  # rows that repeat an id
                     at, pick = np.unique(at, return_index=True)
                     hits = [hits[i] for i in pick]
                 stop = np.cumsum(chars)
-                for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
-                    a, b = at[part[0]], at[part[-1]]
-                    n = int(np.sum(words[a : b + 1])) if b < len(words) else 0
-                    if n >= min_words:
-                        out.append((key, int(stop[a] - chars[a]), int(stop[b]), n, max(hits[i]["n_rows"] for i in part), min(hits[i]["first_doc_id"] for i in part)))
+                owner = np.array([h["first_doc_id"] for h in hits])
+                first = (owner == key) & ~np.isin(at, again)
+                new = (np.diff(owner) != 0) | np.diff(first)
+                for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+                    a, b = at[run[0]], at[run[-1]]
+                    if b >= len(words) or max(int(np.sum(words[a : b + 1])), int(stop[b] - stop[a] + chars[a]) // WORD_CHARS) < min_words:
+                        continue
+                    for part in np.split(run, np.flatnonzero(new[run[:-1]]) + 1):
+                        a, b = at[part[0]], at[part[-1]]
+                        out.append((key, int(stop[a] - chars[a]), int(stop[b]), int(np.sum(words[a : b + 1])), max(hits[i]["n_rows"] for i in part), int(owner[part[0]]), bool(first[part[0]])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    passages = marked.join(table.select("doc_id", "chars", "words").dropDuplicates(["doc_id"]), "doc_id").mapInPandas(runs, schema)
-    return passages.withColumn("first", F.col("doc_id") == F.col("first_doc_id"))
+    return marked.join(table.select("doc_id", "chars", "words", "again").dropDuplicates(["doc_id"]), "doc_id").mapInPandas(runs, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The table with repeated passages cut out of every document but the first that has them. No row goes."""
+    """The table with repeated passages cut out wherever they are not the first occurrence. No row goes."""
     gone = repeats(docs, id_col, text_col, min_words).where(~F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone_"))
     rows = docs.select(F.struct(*docs.columns).alias("original"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     joined = rows.join(gone, "doc_id", "left")

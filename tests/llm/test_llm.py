@@ -326,6 +326,27 @@ def test_substring_repeats(spark, docs, nothing):
     assert {9, 10} <= {r["doc_id"] for r in substring_dedup.repeats(docs).collect()}
 
 
+def test_cut_passages_stay_once(spark):
+    def words(seed, n):
+        return " ".join(np.random.default_rng(seed).choice([f"w{seed}x{i}" for i in range(400)], n))
+
+    shared, body, line = words(1, 40), words(2, 120), words(3, 60)
+    bare = "".join(chr(0x4E00 + int(i)) for i in np.random.default_rng(4).integers(0, 5000, 400))
+    texts = {1: f"{shared} {words(5, 80)}", 2: f"{shared} {body}", 3: f"{shared} {body}", 4: f"{line} {words(6, 50)} {line}", 5: f"{words(7, 30)} {line}", 6: f"{words(8, 30)} {bare}", 7: f"{words(9, 30)} {bare}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(df).collect()}
+    assert got[1] == texts[1] and got[6] == texts[6]
+    for passage, most in ((shared, 1), (body, 1), (line, 1)):
+        middle = passage[len(passage) // 3 : len(passage) // 3 + 30]
+        assert sum(t.count(middle) for t in got.values()) == most, passage
+    # all but some characters at the ends is there once
+    assert body[200:-200] in got[2] and len(got[3]) < 300
+    assert got[4].startswith(line) and len(got[4]) < len(texts[4]) - len(line) + 300 and line[100:-100] not in got[5]
+    assert bare[100:300] not in got[7]
+    rows = [r for r in substring_dedup.repeats(df).collect() if r["doc_id"] == 2]
+    assert {(r["first_doc_id"], r["first"]) for r in rows} == {(1, False), (2, True)}
+
+
 def test_cuts_resist_insertions():
     a = np.frombuffer(prose(3, 4000).encode(), dtype=np.uint8)
     b = np.concatenate([a[:500], np.frombuffer(b"inserted ", dtype=np.uint8), a[500:]])
