@@ -284,6 +284,29 @@ def test_language(spark, docs, nothing):
     assert language_id.language_report(nothing).count() == 0
 
 
+def test_junk_and_unknown_scripts_go_and_documents_stay(spark):
+    import base64
+
+    rng = np.random.default_rng(12)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    junk = []
+    for _ in range(20):
+        junk += [draw("abcdefghijklmnopqrstuvwxyz    ", 1200), base64.b64encode(rng.bytes(900)).decode(), draw("абвгдежзиклмнопрстуфхцчшщыьэюя     ", 1200), "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 5000, 500))]
+    d = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language_id.keep_known(d.unionByName(planted)).select("doc_id").collect()}
+    with_letters = {r["doc_id"] for r in d.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert not [i for i in kept if i < 0] and kept == with_letters
+
+
+def test_every_label_is_learned(spark):
+    n = 1100
+    rows = [(i, " ".join(np.random.default_rng(i % n).choice(list("abcdefghijklmnopqrstuvwxyz"), 60).tolist()).replace(" ", "", 40), f"l{i % n:04}") for i in range(3 * n)]
+    langs, prototypes = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(learned) > 1000 and langs == sorted(learned) and prototypes.shape == (len(learned), language_id.DIMENSIONS)
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet(f"{DIR}/documents.parquet")
     got = language_id.language_report(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
