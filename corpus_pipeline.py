@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pacelake.llm import exact_dedup, language_id, minhash_dedup, packing, secret_scan
-from pacelake.llm.common import Scratch, without_ids
+from pacelake.llm.common import Scratch, without_rows
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,12 +16,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return without_ids(docs, exact_dedup.exact_dedup(docs).where("not kept"), Scratch(spark, "exact"))
+    return without_rows(docs, exact_dedup.exact_dedup, Scratch(spark, "exact"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    return without_ids(docs, minhash_dedup.near_dedup(docs).where("not kept"), Scratch(spark, "near"))
+    return without_rows(docs, minhash_dedup.near_dedup, Scratch(spark, "near"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,36 @@ def without_ids(docs: DataFrame, ids: DataFrame, scratch: Scratch, id_col: str =
     return docs.join(if_few(gone), id_col, "left_anti").select(*docs.columns)
 
 
+def with_row_key(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """The table with a key (long) of its own for every row, and the key's name.
+
+    A row's id is its key where no other row has it. Rows without an id, or whose id comes again, are
+    written with keys beyond the largest id, as keys made while reading could change when a task runs again."""
+    key = "row_key_"
+    while key in docs.columns:
+        key += "_"
+    own = F.col(id_col).cast("long")
+    ids = docs.select(own.alias("id_"))
+    again = scratch.save(ids.where("id_ is not null").groupBy("id_").count().where("count > 1").select("id_"), "again")
+    known = ids.agg(F.max("id_").alias("top"), F.coalesce(F.bool_or(F.col("id_").isNull()), F.lit(False)).alias("lacks")).first()
+    if not known["lacks"] and again.isEmpty():
+        return docs.withColumn(key, own), key
+    top = -1 if known["top"] is None else max(-1, known["top"])
+    if top >= 1 << 62:  # no room beyond it: every row is written
+        return scratch.save(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    again = if_few(again)
+    odd = docs.where(own.isNull()).unionByName(docs.join(again, own == F.col("id_"), "left_semi"))
+    odd = scratch.save(odd.withColumn(key, F.lit(top + 1) + F.monotonically_increasing_id()), "keyed")
+    return docs.where(own.isNotNull()).join(again, own == F.col("id_"), "left_anti").withColumn(key, own).unionByName(odd), key
+
+
+def without_rows(docs: DataFrame, decide, scratch: Scratch) -> DataFrame:
+    """The rows that decide(table, key column) keeps: it gives doc_id (the key) and kept for every row."""
+    keyed, key = with_row_key(docs, scratch)
+    gone = decide(keyed, key).where("not kept").select(F.col("doc_id").alias(key))
+    return without_ids(keyed, gone, scratch, key).select(*docs.columns)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

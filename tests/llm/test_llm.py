@@ -424,3 +424,23 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, DIR).select("doc_id").distinct().count()
     assert 0 < got <= docs.count()
     assert len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.parametrize("top", [20, (1 << 63) - 1])
+def test_stages_remove_rows_and_not_ids(spark, top):
+    import corpus_pipeline
+
+    one, two, three, four = (prose(200 + i, 400) for i in range(4))
+    near = three.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, one), (1, one), (2, one), (3, two), (3, four), (4, two), (None, one), (None, two), (None, three), (5, three), (6, near), (6, near), (None, near), (top, "last words of another kind")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC).withColumn("row_key_", F.lit("clash")).repartition(3)
+    exact = corpus_pipeline.exact(spark, df, DIR)
+    assert exact.columns == df.columns
+    assert sorted(r["text"] for r in exact.collect()) == sorted({t for _, t in rows})
+    close = corpus_pipeline.near(spark, exact, DIR)
+    left = [r["text"] for r in close.collect()]
+    assert len(left) == 5 and {one, two, four} <= set(left) and len({three, near} & set(left)) == 1
+    # the near stage alone, on copies
+    assert len(corpus_pipeline.near(spark, df, DIR).collect()) == 5
+    plain = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(1, one), (2, one), (3, two)]], DOC)
+    assert rows_of(corpus_pipeline.exact(spark, plain, DIR), "doc_id") == [(1,), (3,)]
