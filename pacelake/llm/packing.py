@@ -20,6 +20,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import string
 import zlib
 
@@ -61,12 +62,22 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {}
         bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
+        # the tokenizer finds added tokens in the raw text; whatever could be one in some case is left as it is
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added), re.I) if added else None
+
+    def holds_added(self, words: pa.Array) -> pa.Array:
+        """Whether a word holds the content of an added token, in any case."""
+        if self.added is None:
+            return pa.array([False] * len(words), pa.bool_())
+        return pc.match_substring_regex(words, self.added.pattern, ignore_case=True)
 
     def words(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
-        alone = [w for w in words if BAR in w] if self.bar is not None else words
+        special = self.added.search if self.added else lambda w: None
+        alone = [w for w in words if BAR in w or special(w)] if self.bar is not None else words
         out = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))}
-        many = [w for w in words if BAR not in w] if self.bar is not None else []
+        many = [w for w in words if w not in out]
         runs = [many[i : i + TOGETHER] for i in range(0, len(many), TOGETHER)]
         encoded = (e for k in range(0, len(runs), CALLS) for e in self.tokenizer.encode_batch_fast([f" {BAR} ".join(r) for r in runs[k : k + CALLS]], add_special_tokens=False))
         for run, e in zip(runs, encoded):
@@ -92,6 +103,9 @@ class WordTokenizer:
         lower = pc.ascii_lower(words.distinct)
         bare = pc.ascii_rtrim(lower, characters=string.punctuation)
         bare = pc.if_else(pc.match_substring_regex(bare, r"[a-z0-9]\z"), bare, lower)
+        # a word with an added token in it is encoded whole, as it stands
+        whole = self.holds_added(words.distinct)
+        lower, bare = pc.if_else(whole, words.distinct, lower), pc.if_else(whole, words.distinct, bare)
         cut = pc.binary_length(bare).to_numpy(zero_copy_only=False)
         marks = pa.array([m[c:] for m, c in zip(lower.cast(pa.large_binary()).to_pylist(), cut.tolist())], pa.binary()).dictionary_encode()
         bare = bare.dictionary_encode()

@@ -112,6 +112,21 @@ def test_packing_cuts_every_document_once(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_words_with_added_tokens_are_encoded_as_texts_are():
+    import pyarrow as pa
+
+    tok = packing.WordTokenizer.of(P.path("word_bpe_49k.json"))
+    texts = []
+    for t in sorted(a.content for a in tok.tokenizer.get_added_tokens_decoder().values()):
+        for w in (t, t.upper(), f"x{t}", f"{t}Y.", f"a{t.upper()}b", f"({t}),", f"{t}{t}", t[:-1], f"it's{t}|"):
+            texts += [w, f"foo {w} bar", f"Foo\n{w}"]
+    assert len(texts) > 20
+    for some in (texts, texts[::-1]):
+        ids, at = tok.encode(pa.array(some))
+        for k, t in enumerate(some):
+            assert ids[at[k] : at[k + 1]].tolist() == [*tok.tokenizer.encode(t, add_special_tokens=False).ids, packing.CLOSING_ID], t
+
+
 def test_packing_puts_neighbours_together():
     pieces = [np.array(x) for x in ([1, 2, 3], [7, 8, 9], [1, 2, 4], [7, 8, 5])]
     shard = packing.Shard(pieces, np.ones(10), 3.0)
