@@ -3,7 +3,9 @@
 The page is cut into tags, text and raw text. The tree builder closes what a start tag implies the end
 of (paragraphs before blocks, list items, table rows and cells, ...), ignores end tags without a start,
 and closes all at the end. Not rendered: head matter, scripts, styles, templates, hidden elements, and
-what display:none or visibility:hidden hides, inline or by a style sheet's plain tag, class or id rule.
+what display:none or visibility:hidden hides, inline or by a style sheet's plain tag, class or id rule, unless a
+later rule for the same selector shows it again. Of at-rules only @media screen or all, and @layer, count. The
+text of formulas, drawings (text elements) and options is kept, and an object's content where it names no data.
 Blocks stand on lines of their own, with an empty line around paragraphs, headings, lists and tables;
 list items have a dash or number and hang; table cells are padded to common column widths; white space
 collapses but in pre.
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math select".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
-BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header html legend li main menu nav section summary tr caption thead tbody tfoot td th".split())
-CLOSES_P = BLOCK - frozenset("body html legend caption thead tbody tfoot td th tr".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist audio video canvas annotation annotation-xml desc defs metadata symbol".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp blockquote figure hr".split())
+BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header html legend li main menu nav section summary tr caption thead tbody tfoot td th option optgroup".split())
+CLOSES_P = BLOCK - frozenset("option optgroup body html legend caption thead tbody tfoot td th tr".split())
 #: A start tag ends open elements of the second set, as far as the nearest of the third.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -48,7 +50,10 @@ SCOPE = frozenset("table td th caption button object template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_SIGN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_FOREIGN = ("svg", "math")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -60,10 +65,57 @@ class Node:
         self.tag, self.attrs, self.children, self.lines = tag, attrs, [], None
 
 
+def _on_screen(media: str) -> bool:
+    """Whether a media list has screen or all without further conditions."""
+    return not media.strip() or any(m.strip().lower() in ("all", "screen", "only all", "only screen") for m in media.split(","))
+
+
+def _style_rules(sheet: str):
+    """Selector list and declarations of each rule that holds on a screen in any case, in order."""
+    sheet = _COMMENT.sub(" ", sheet)
+    at, inside, selector = 0, [], None  # inside: for each open at-rule, whether its rules hold
+    for m in _SIGN.finditer(sheet):
+        sign = m[0]
+        if sign[0] in "\"'":
+            continue
+        head = sheet[at : m.start()].strip()
+        if sign == "{":
+            at = m.end()
+            if selector is not None:  # nested rules hold only within their selector
+                inside.append(False)
+            elif head.startswith("@"):
+                name, _, media = head[1:].partition(" ")
+                name, more, rest = name.partition("(")
+                inside.append((name.lower() == "media" and _on_screen(more + rest + media)) or name.lower() == "layer")
+            else:
+                selector = (head, len(inside))
+        elif sign == "}":
+            at = m.end()
+            if selector is not None and len(inside) == selector[1]:
+                if all(inside):
+                    yield selector[0], head
+                selector = None
+            elif inside:
+                inside.pop()
+        elif selector is None:
+            at = m.end()
+
+
+def _apply(sheet: str, state: dict[str, dict[str, tuple[bool, bool]]]) -> None:
+    """Note what a sheet says of display and visibility: for each selector whether it hides, and whether with importance."""
+    for selectors, body in _style_rules(sheet):
+        for name, value, strong in _DECLARED.findall(body):
+            name, hides = name.lower(), value.lower() in (("none",) if name.lower() == "display" else ("hidden", "collapse"))
+            for s in selectors.split(","):
+                known = state.setdefault(s.strip().lower(), {})
+                if strong or not known.get(name, (False, False))[1]:
+                    known[name] = (hides, bool(strong))
+
+
 def parse(page: str) -> tuple[Node, list[Node], set[str]]:
     """Root, tables in order of their start, and what style sheets hide."""
     root = Node("#root", {})
-    stack, tables, hidden = [root], [], set()
+    stack, tables, state = [root], [], {}
     at = 0
     while True:
         m = _TOKEN.search(page, at)
@@ -71,7 +123,7 @@ def parse(page: str) -> tuple[Node, list[Node], set[str]]:
         if text:
             stack[-1].children.append(html.unescape(text))
         if m is None:
-            return root, tables, hidden
+            return root, tables, {s for s, known in state.items() if any(hides for hides, _ in known.values())}
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -90,10 +142,13 @@ def parse(page: str) -> tuple[Node, list[Node], set[str]]:
             raw = page[at : close.start() if close else len(page)]
             at = close.end() if close else len(page)
             if name == "style":
-                hidden |= {s.strip().lower() for sel, body in _RULE.findall(raw) if _HIDES.search(body) for s in sel.split(",")}
+                if _on_screen(attrs.get("media", "")):
+                    _apply(raw, state)
             elif name == "textarea":
                 node.children.append(html.unescape(raw))
-        elif name not in VOID:
+            elif name == "xmp":
+                node.children.append(raw)
+        elif name not in VOID and not (m[3].endswith("/") and (name in _FOREIGN or any(n.tag in _FOREIGN for n in stack))):
             stack.append(node)
 
 
@@ -166,7 +221,7 @@ class Flow:
 
 
 def _unseen(node: Node, hidden: set[str]) -> bool:
-    if node.tag in UNSEEN or "hidden" in node.attrs:
+    if node.tag in UNSEEN or "hidden" in node.attrs or (node.tag == "object" and ("data" in node.attrs or "type" in node.attrs)):
         return True
     if node.attrs:
         if _HIDES.search(node.attrs.get("style", "")) or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
@@ -176,6 +231,20 @@ def _unseen(node: Node, hidden: set[str]) -> bool:
     return bool(hidden) and node.tag in hidden
 
 
+def _drawn(svg: Node, hidden: set[str]) -> list:
+    """Text elements of a drawing, and what it embeds, with spaces between."""
+    out, todo = [], list(reversed(svg.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or _unseen(x, hidden):
+            continue
+        if x.tag in ("text", "foreignobject"):
+            out += [" ", x, " "]
+        else:
+            todo.extend(reversed(x.children))
+    return out
+
+
 def render(node: Node, hidden: set[str]) -> list[str]:
     flow = Flow()
     lists: list[list] = []  # kind and number of each open list
@@ -192,7 +261,7 @@ def render(node: Node, hidden: set[str]) -> list[str]:
         if leave:
             if tag in BLOCK:
                 flow.block(gap)
-            if tag == "pre":
+            if tag in ("pre", "xmp"):
                 pre -= 1
             elif tag in ("ul", "ol", "menu"):
                 lists.pop()
@@ -216,7 +285,7 @@ def render(node: Node, hidden: set[str]) -> list[str]:
             flow.put("---")
             flow.block(2)
             continue
-        if tag == "pre":
+        if tag in ("pre", "xmp"):
             pre += 1
         elif tag in ("ul", "ol", "menu"):
             lists.append([tag, int(x.attrs["start"]) - 1 if x.attrs.get("start", "").isdecimal() else 0])
@@ -228,7 +297,7 @@ def render(node: Node, hidden: set[str]) -> list[str]:
             flow.prefix.append((rest + mark, rest + " " * len(mark)))
             flow.open = True
         todo.append((x, True))
-        todo.extend((c, False) for c in reversed(x.children))
+        todo.extend((c, False) for c in reversed(_drawn(x, hidden) if tag == "svg" else x.children))
     flow.end()
     return flow.lines
 

@@ -342,6 +342,21 @@ def test_html():
     assert "in" in t(inner)
 
 
+def test_html_keeps_what_a_screen_shows():
+    t = html_text.page_text
+    for rule in ("@media print{.nav{display:none}}", "@media (max-width:600px){ .nav{display:none} p{color:red} }", "@supports (display:grid){.nav{display:none}}", ".nav{display:none} .nav{display:block}", ".nav{display:none;display:block}", "/* .nav{display:none} */"):
+        assert t(f"<style>{rule}</style><p class=nav>menu</p>ok") == "menu\n\nok", rule
+        assert t(f"<style>{rule} .x{{display:none}}</style><p class=x>no</p>ok") == "ok", rule
+    for rule in ("@media screen{.nav{display:none}}", "@media print, all{.nav{display:none}}", "@charset 'x{'; .nav{display:none}", "@layer a{.nav{display:none}}", ".nav{display:none!important} .nav{display:block}"):
+        assert t(f"<style>{rule}</style><p class=nav>menu</p>ok") == "ok", rule
+    assert t("<style media=print>.nav{display:none}</style><p class=nav>menu</p>") == "menu"
+    assert t("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b") == "a x=2 b"
+    assert t("a<svg><title>no</title><defs/><path d='M0'/>no<g><text>left</text><text>right</text></g></svg>b") == "a left right b"
+    assert t("<p>pick <select><option>one<option selected>two</select>") == "pick\none\ntwo"
+    assert t("<xmp><b> a &amp; </b></xmp>") == "<b> a &amp; </b>"
+    assert t("<object>back</object><object data=x>no</object>") == "back"
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "<p>a"), (2, None), (2, None)], "page_id long, html string").withColumn("text", F.lit("clash"))
     assert rows_of(html_text.extract(df), "page_id", "text") == [(1, "a"), (2, ""), (2, "")]
