@@ -57,7 +57,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text."""
     words = split_words(texts)
-    distinct = np.array([w.translate(_LOWER) for w in words.distinct.to_pylist()], dtype=object)
+    distinct = np.array([w.translate(_LOWER) for w in words.distinct.to_numpy(zero_copy_only=False).tolist()], dtype=object)
     h = (pd.util.hash_array(distinct, categorize=False) if len(distinct) else np.empty(0, np.uint64))[words.code]
     factor = mix64(np.arange(1, width + 1, dtype=np.uint64) << np.uint64(17)) | np.uint64(1)
     n = len(h)

@@ -22,7 +22,10 @@ from __future__ import annotations
 import os
 import re
 import string
+import unicodedata
 import zlib
+from itertools import islice
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,8 @@ CLOSING_ID = 1
 SHARD_PIECES = 512
 #: A shard of very short pieces grows until it fills so many windows.
 SHARD_WINDOWS = 8
-#: Words that a worker remembers; some 150 bytes each.
-REMEMBERED = 300_000
+#: Words that a worker remembers, some 150 bytes each, and the letters of the longest of them.
+REMEMBERED, REMEMBERED_LETTERS = 400_000, 100
 #: Words that are encoded in one call, with a bar between them; a word with a bar in it is encoded alone.
 TOGETHER, BAR = 1_000, "|"
 #: Calls that are made at once; their results take some 100 bytes a token.
@@ -50,8 +53,39 @@ K1, B = 1.2, 0.75
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def plain_letters(limit: int = 0x530) -> str:
+    """Small letters (Latin, Greek, Cyrillic) that stay as they are in NFC and lower case, alone or side by side."""
+    letters = (chr(c) for c in range(limit))
+    return "".join(x for x in letters if unicodedata.category(x) == "Ll" and unicodedata.is_normalized("NFC", x) and x.lower() == x)
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones stand for themselves, the rest follow from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+def suffixes(words: pa.Array, cut: np.ndarray) -> pa.Array:
+    """What follows the first cut bytes of each large string."""
+    at = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    size = np.diff(at) - cut
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(size) else 0
+    place = np.repeat(at[:-1] + cut - ends + size, size) + np.arange(total)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[place] if total else np.empty(0, np.uint8)
+    return pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordTokenizer:
-    """Ids of texts under a tokenizer that never joins across white space: each distinct word is encoded once and remembered."""
+    """Ids of texts under a tokenizer that never joins across white space: each distinct word is encoded once and remembered.
+
+    A word of plain small letters is one pre-token that no normaliser changes, so the tokenizer's model
+    takes it at once; every other word goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,6 +99,19 @@ class WordTokenizer:
         # the tokenizer finds added tokens in the raw text; whatever could be one in some case is left as it is
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(added), re.I) if added else None
+        letters = plain_letters()
+        self.plain = re.compile(f"[{letters}]+")
+        shown = byte_letters()
+        self.shown = {ord(x): "".join(shown[b] for b in x.encode()) for x in letters if not x.isascii()}
+        # the short way is taken only if it gives what the whole tokenizer gives for words of every plain letter
+        probe = [letters[i : i + 3] for i in range(len(letters))] + ["the", "and", "tion"]
+        if self.size > 1 << 31 or [self.one(w) for w in probe] != [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]:
+            self.plain = re.compile(r"(?!)")
+
+    def one(self, word: str) -> bytes:
+        """Ids of a word of plain letters."""
+        tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.shown))
+        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
 
     def holds_added(self, words: pa.Array) -> pa.Array:
         """Whether a word holds the content of an added token, in any case."""
@@ -72,12 +119,21 @@ class WordTokenizer:
             return pa.array([False] * len(words), pa.bool_())
         return pc.match_substring_regex(words, self.added.pattern, ignore_case=True)
 
-    def words(self, words: list[str]) -> list[bytes]:
+    def words(self, words: list[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each word."""
+        plain, tokenize, shown = self.plain.fullmatch, self.tokenizer.model.tokenize, self.shown
+        out: dict[str, bytes] = {}
+        rest: list[str] = []
+        for w in words:
+            if plain(w):
+                ids = [t.id for t in tokenize(w if w.isascii() else w.translate(shown))]
+                out[w] = pack_ids(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(w)
         special = self.added.search if self.added else lambda w: None
-        alone = [w for w in words if BAR in w or special(w)] if self.bar is not None else words
-        out = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))}
-        many = [w for w in words if w not in out]
+        alone = [w for w in rest if BAR in w or special(w)] if self.bar is not None else rest
+        out |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))}
+        many = [w for w in rest if w not in out]
         runs = [many[i : i + TOGETHER] for i in range(0, len(many), TOGETHER)]
         encoded = (e for k in range(0, len(runs), CALLS) for e in self.tokenizer.encode_batch_fast([f" {BAR} ".join(r) for r in runs[k : k + CALLS]], add_special_tokens=False))
         for run, e in zip(runs, encoded):
@@ -87,7 +143,7 @@ class WordTokenizer:
             for w, end in zip(run, [*bars.tolist(), len(ids)], strict=True):
                 out[w] = data[4 * begin : 4 * end]
                 begin = end + 1
-        return [out[w] for w in words]
+        return out
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -95,6 +151,20 @@ class WordTokenizer:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
+    def remembered(self, words: list[str]) -> list[bytes]:
+        """Ids of words, from memory where they are known; long words are not kept."""
+        out = list(map(self.known.get, words))
+        new = self.words(list(dict.fromkeys(w for w, ids in zip(words, out) if ids is None)))
+        if new:
+            out = [new[w] if ids is None else ids for w, ids in zip(words, out)]
+            if len(self.known) + len(new) > REMEMBERED:  # the older half goes
+                self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+            long = [w for w in new if len(w) > REMEMBERED_LETTERS]
+            for w in long:
+                del new[w]
+            self.known.update(islice(new.items(), max(0, REMEMBERED - len(self.known))))
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and where each text's ids start, with one more at the end; every text has the closing id."""
         words = split_words(texts)
@@ -102,34 +172,39 @@ class WordTokenizer:
         # for ASCII makes fewer words: each is a bare word and the marks at its end
         lower = pc.ascii_lower(words.distinct)
         bare = pc.ascii_rtrim(lower, characters=string.punctuation)
-        bare = pc.if_else(pc.match_substring_regex(bare, r"[a-z0-9]\z"), bare, lower)
-        # a word with an added token in it is encoded whole, as it stands
+        # a word with an added token in it is encoded whole, as it stands; so is one that does not end like a word before its marks
         whole = self.holds_added(words.distinct)
-        lower, bare = pc.if_else(whole, words.distinct, lower), pc.if_else(whole, words.distinct, bare)
-        cut = pc.binary_length(bare).to_numpy(zero_copy_only=False)
-        marks = pa.array([m[c:] for m, c in zip(lower.cast(pa.large_binary()).to_pylist(), cut.tolist())], pa.binary()).dictionary_encode()
+        lower = pc.if_else(whole, words.distinct, lower)
+        bare = pc.if_else(pc.and_not(pc.match_substring_regex(bare, r"[a-z0-9]\z"), whole), bare, lower)
+        marks = suffixes(lower, pc.binary_length(bare).to_numpy(zero_copy_only=False)).dictionary_encode()
         bare = bare.dictionary_encode()
-        parts = bare.dictionary.to_pylist() + [m.decode() for m in marks.dictionary.to_pylist()]
-        known = self.known
-        new = list({w: None for w in parts if w not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            known.update(zip(new, self.words(new)))
-        pieces = [known[w] for w in parts]
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
-        blob = np.frombuffer(b"".join(pieces), dtype="<u4")
-        starts = np.cumsum(sizes) - sizes
-        # two parts for each word; each text gets one part more, whose only id is the closing one
-        n, docs = 2 * len(words.code), len(words.bounds) - 1
-        of_word = np.c_[bare.indices.to_numpy(zero_copy_only=False), marks.indices.to_numpy(zero_copy_only=False) + len(bare.dictionary)].astype(np.int32)
-        code = np.insert(of_word[words.code].reshape(-1), 2 * words.bounds[1:], len(pieces))
-        blob, sizes, starts = np.r_[blob, np.uint32(CLOSING_ID)], np.r_[sizes, 1], np.r_[starts, len(blob)]
-        each = sizes[code]
-        ends = np.cumsum(each)
-        ids = blob[np.repeat(starts[code] - ends + each, each) + np.arange(int(ends[-1]) if n + docs else 0)]
-        return ids, np.r_[0, ends][2 * words.bounds + np.arange(docs + 1)]
+        both = self.remembered(strings(bare.dictionary) + strings(marks.dictionary))
+        sizes = np.fromiter(map(len, both), dtype=np.int64, count=len(both)) // 4
+        blob = np.frombuffer(b"".join(both), dtype="<u4")
+        # the ids of each distinct word: of its two parts; one more word is the end of a text
+        of_word = np.c_[bare.indices.to_numpy(zero_copy_only=False), marks.indices.to_numpy(zero_copy_only=False) + len(bare.dictionary)]
+        blob, ends = _spread(blob, sizes, np.cumsum(sizes) - sizes, of_word.reshape(-1))
+        blob, size = np.r_[blob, np.uint32(CLOSING_ID)], np.r_[np.diff(np.r_[0, ends[1::2]]), 1]
+        docs = len(words.bounds) - 1
+        code = np.insert(words.code, words.bounds[1:], len(of_word))
+        ids, ends = _spread(blob, size, np.cumsum(size) - size, code)
+        return ids, np.r_[0, ends][words.bounds + np.arange(docs + 1)]
+
+
+def _spread(values: np.ndarray, sizes: np.ndarray, starts: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each coded run, one after the other, and where each run ends."""
+    each = sizes[code]
+    ends = np.cumsum(each)
+    at = np.repeat(starts[code] - ends + each, each)
+    at += np.arange(len(at))
+    return values[at], ends
+
+
+def distinct_ids(ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Each id once; last (a place for every id) is overwritten."""
+    at = np.arange(len(ids))
+    last[ids] = at
+    return ids[last[ids] == at]
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -142,7 +217,7 @@ def _tokenize(rows: DataFrame, tokenizer_path: str, window: int, with_ids: bool)
     def run(batches):
         tok = WordTokenizer.of(tokenizer_path)
         part, windows = TaskContext.get().partitionId(), 0
-        df = np.zeros(tok.size, dtype=np.int64)
+        df, last = np.zeros(tok.size, dtype=np.int64), np.zeros(tok.size, dtype=np.int64)
         order = [mix64(np.arange(tok.size, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(40) for s in (1, 2)]
         docs = rest_tokens = 0
         for batch in batches:
@@ -159,7 +234,7 @@ def _tokenize(rows: DataFrame, tokenizer_path: str, window: int, with_ids: bool)
                 low = [np.minimum.reduceat(o[ids], at[:-1]) for o in order] if len(sizes) else []
                 for i, key in enumerate(piece.column(0).to_pylist()):
                     own = ids[at[i] : at[i + 1]]
-                    df[np.unique(own)] += 1
+                    df[distinct_ids(own, last)] += 1
                     for s in range(0, len(own) - window + 1, window):
                         data = own[s : s + window].tobytes()
                         put(1, key, s, window, zlib.crc32(data), len(own), (part << 40 | windows) * 2 + 1, 0, 0, data if with_ids else None)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 @dataclass
 class Words:
-    """distinct: the words of a slice, each once. code: its number, for each word in order. bounds: for each text, where its words start; one more at the end."""
+    """distinct: the words of a slice, each once (and perhaps an empty one that no text has). code: its number, for each word in order. bounds: for each text, where its words start; one more at the end."""
 
     distinct: pa.Array
     code: np.ndarray
@@ -27,7 +27,11 @@ def split_words(texts: pa.Array) -> Words:
     bounds = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(int(bounds[0]), int(bounds[-1] - bounds[0]))
     bounds = bounds - bounds[0]
-    full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    before = np.r_[0, np.cumsum(full)]
-    encoded = flat.filter(pa.array(full)).dictionary_encode()
-    return Words(encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), before[bounds])
+    encoded = flat.dictionary_encode()
+    code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # white space at the ends of a text makes empty words
+    empty = pc.index(encoded.dictionary, pa.scalar("", encoded.dictionary.type)).as_py()
+    if empty < 0:
+        return Words(encoded.dictionary, code, bounds)
+    full = code != empty
+    return Words(encoded.dictionary, code[full], np.r_[0, np.cumsum(full)][bounds])
