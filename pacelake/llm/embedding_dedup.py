@@ -1,227 +1,289 @@
-"""Near-duplicate vectors by counting collisions on sorted one-dimensional projections.
-
-Unit vectors are projected on orthonormal directions (principal directions of a bounded sample, so that
-unlike vectors lie far apart). Two vectors collide on a projection if each is in the other's window, that
-is if they are at most a half-width apart. The vectors are sorted along the first projection and cut
-into blocks of equal size; a block is the queries of one window, and only blocks whose windows meet are
-brought together, each pair of them once. Inside a pair of blocks collisions are counted for all pairs,
-projection after projection; pairs with a passing count are verified by cosine in double precision.
-
-No link is lost, whatever the vectors: unit vectors at the wanted cosine or above are at most reach apart,
-reach^2 = 2 - 2 cosine, and the squares of their distances along the lines add up to no more. So they meet in
-a first window of that half-width, and with half-widths of reach / sqrt(m) fewer than m lines can miss; the
-length of what the directions leave out is one more such line. The sample only chooses the m that passes
-the fewest unlike pairs.
-
-Equal vectors are one class, worked on once and weighted by its size. No pair leaves a task: each emits
-for its vectors the number of links it found and, of the links, a spanning forest. Work grows with the
-square of the number of classes times the share of a window, as is usual for one-dimensional
-projections at a wide angle; blocks bound what a task holds.
+"""Near-duplicate vectors by counting collisions at the ends of many one-dimensional projections.
+
+Unit vectors are projected on many random lines. On a line, a query's window is the end of the line it
+lies in: what is at least `place` from the middle on its side. A vector lies in some ENDS such ends, out of
+thousands; two vectors collide on a line if they are in the same end of it. All vectors are sorted by the ends they lie
+in, so a window is one run of rows; inside a run, the collisions of each pair on all lines are counted,
+and pairs that pass the count are verified by cosine in double precision.
+
+The passing count is calibrated by proof, whatever the vectors: over random lines the places of two unit
+vectors are normal with a correlation equal to their cosine, and lines are independent, so the number of
+collisions of a pair is binomial. Lines, ends and count are chosen so that a pair at exactly the wanted
+cosine is missed once in 1 / (1 - RECALL) times; nearer pairs (copies) far more rarely. Windows narrow as the
+table grows (a share of 1 / sqrt(2 n) of the vectors each) while lines are added, so work grows as n^1.5 and
+the rows that are shuffled as n. Tables whose unlike vectors are alike too (a high cosine throughout) have
+fuller windows and more candidates; the result does not change.
+
+A pair is handled in the first window that it shares and in no other, so no list of pairs is made, and each
+window emits for its vectors the number of links found and, of the links, a spanning forest. Equal vectors
+are one class, worked on once and weighted by its size. A window with more than BLOCK vectors is dealt by hash into
+blocks, and each pair of blocks is a task of its own.
 
 Defined results: a null or zero vector, or one with null or non-finite components, has no links and is
-its own component; vectors of another length than most are compared with those of their own length only;
-ties go to the smallest id; repeated rows count as linked with each other; other columns are ignored; an
-empty table gives an empty result.
+its own component; vectors are compared with those of their own length only; ties go to the smallest id;
+repeated rows count as linked with each other; a row without an id links like any other but names no
+component; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from math import ceil, comb, sqrt
+from statistics import NormalDist
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, if_few, small_batches
 from .components import components
 
-PROJECTIONS = 24
-SAMPLE = 8_192
-BLOCK = 4_096
+#: Ends that a vector lies in on average, before lines are added for the recall.
+ENDS = 24
+#: Share of the pairs at exactly the wanted cosine that must pass the count.
+RECALL = 0.9995
+#: The widest window, as a share of all vectors.
+WIDEST = 0.05
+BLOCK = 2_048
 TILE = 256
-#: Added to half-widths for rounding: projections are compared in single precision.
-ROUNDING = 1e-5
-#: Where more of a tile's pairs than one in so many pass, all their cosines are taken in one product.
-DENSE = 64
-
-
-class Calibration:
-    """Directions, half-widths and the passing count for one vector length."""
-
-    def __init__(self, sample: np.ndarray, cosine: float):
-        n, dim = sample.shape
-        rng = np.random.default_rng(7)
-        centred = sample - sample.mean(0)
-        _, vectors = np.linalg.eigh(centred.T @ centred + 1e-9 * np.eye(dim))
-        self.directions = np.ascontiguousarray(vectors[:, ::-1][:, :PROJECTIONS])
-        reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-        self.first_width = reach + ROUNDING
-        # unlike pairs say how many misses to allow; any number is safe
-        lines = self.lines(sample)
-        unlike = np.sort(np.abs(lines[rng.integers(0, n, 20_000)] - lines[rng.integers(0, n, 20_000)]), axis=1)[:, ::-1]
-        n_lines = lines.shape[1]
-        passed = [(unlike[:, m - 1] <= reach / np.sqrt(m) + ROUNDING).mean() for m in range(1, n_lines + 1)]
-        misses = int(np.argmin(passed)) + 1
-        self.width = np.float32(reach / np.sqrt(misses) + ROUNDING)
-        self.passing = n_lines - misses + 1
-        # measured on pairs at the wanted cosine, x and cos x + sin u with u at right angles to x and like the data
-        x = sample[rng.integers(0, n, 20_000)]
-        u = centred[rng.integers(0, n, 20_000)] + 1e-3 * rng.standard_normal(x.shape)
-        u -= (u * x).sum(1, keepdims=True) * x
-        u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
-        self.recall = float(self.passes(x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * u).mean())
-
-    def lines(self, unit: np.ndarray) -> np.ndarray:
-        """Places of unit vectors on the lines: the projections, and the length of the rest where there is one."""
-        p = unit @ self.directions
-        if p.shape[1] == unit.shape[1]:
-            return p.astype(np.float32)
-        return np.c_[p, np.sqrt(np.maximum(0.0, 1 - (p * p).sum(1)))].astype(np.float32)
-
-    def passes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether pairs of unit vectors collide often enough to be verified."""
-        apart = np.abs(self.lines(x) - self.lines(y))
-        return (apart[:, 0] <= self.first_width) & ((apart <= self.width).sum(1) >= self.passing)
-
-
-def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the sets of a and b, pair by pair; the smaller index leads."""
-    for x, y in zip(a.tolist(), b.tolist()):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-
-
-def compare(vectors: np.ndarray, weights: np.ndarray, a: np.ndarray, b: np.ndarray, cal: Calibration, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows a and rows b of unit vectors (the same rows: each pair once): weighted link counts, and a forest (parent of each row)."""
-    same = len(a) == len(b) and bool((a == b).all())
-    p = cal.lines(vectors)
-    found, parent = np.zeros(len(vectors), dtype=np.int64), np.arange(len(vectors))
-    pb = np.ascontiguousarray(p[b].T)
-    n_lines = p.shape[1]
-    half = (n_lines + 1) // 2
-    for s in range(0, len(a), TILE):
-        rows = a[s : s + TILE]
-        # the sort narrows the other side to the window of this tile
-        lo, hi = np.searchsorted(pb[0], [p[rows, 0].min() - cal.first_width, p[rows, 0].max() + cal.first_width])
-        lo = max(lo, s) if same else lo
-        if hi <= lo:
-            continue
-        count = np.zeros((len(rows), hi - lo), dtype=np.uint8)
-        first = np.abs(p[rows, 0][:, None] - pb[0, lo:hi]) <= cal.first_width
-        for j in range(half):
-            count += np.abs(p[rows, j][:, None] - pb[j, lo:hi]) <= cal.width
-        i, k = np.nonzero(first & (count + n_lines - half >= cal.passing))  # the rest could still pass
-        total = count[i, k].astype(np.int64)
-        for j in range(half, n_lines):
-            total += np.abs(p[rows, j][i] - pb[j, lo:hi][k]) <= cal.width
-        passed = total >= cal.passing
-        i, k = i[passed], k[passed]
-        dense = vectors[rows] @ vectors[b[lo:hi]].T if DENSE * len(i) > count.size else None
-        for c in range(0, len(i), 65_536):
-            ti, tk = i[c : c + 65_536], k[c : c + 65_536]
-            x, y = rows[ti], b[lo:hi][tk]
-            linked = (dense[ti, tk] if dense is not None else np.einsum("ij,ij->i", vectors[x], vectors[y])) >= cosine
-            if same:
-                linked &= x < y
-            x, y = x[linked], y[linked]
-            np.add.at(found, x, weights[y])
-            np.add.at(found, y, weights[x])
-            far = parent[x] != parent[y]
-            _union(parent, x[far], y[far])
-    return found, parent
+#: Lines that are drawn and multiplied at once.
+LINES = 4_096
+#: Windows with so many vectors of a run are counted by a matrix product (as many as MATRIX of them), others pair by pair.
+MANY, MATRIX = 64, 512
+
+
+def _both(place: float, cosine: float) -> float:
+    """Probability that both of two standard normal places with this correlation are beyond place."""
+    x = np.linspace(place, place + 9, 4_001)
+    normal = NormalDist()
+    rest = sqrt(1 - min(cosine, 0.9999) ** 2)
+    beyond = np.array([1 - normal.cdf((place - cosine * v) / rest) for v in x])
+    return float(np.trapezoid(np.exp(-x * x / 2) / sqrt(2 * np.pi) * beyond, x))
+
+
+def _fewer(lines: int, chance: float, count: int) -> float:
+    """Probability of fewer than count collisions on so many lines."""
+    return sum(comb(lines, k) * chance**k * (1 - chance) ** (lines - k) for k in range(count))
+
+
+class Windows:
+    """Number of lines, place where ends begin, and passing count for a number of vectors."""
+
+    def __init__(self, n: int, cosine: float):
+        if not 0 < cosine <= 1:
+            raise ValueError(f"the cosine must be above 0 and at most 1: {cosine}")
+        share = min(WIDEST, 1 / sqrt(2 * max(1, n)))
+        self.place = NormalDist().inv_cdf(1 - share)
+        chance = 2 * _both(self.place, cosine)
+        lines = ceil(ENDS / (2 * share))
+        while _fewer(lines, chance, 2) > 1 - RECALL:
+            lines += max(1, lines // 20)
+        self.lines, self.passing = lines, 2
+        while _fewer(lines, chance, self.passing + 1) <= 1 - RECALL:
+            self.passing += 1
+        self.recall = 1 - _fewer(lines, chance, self.passing)
+
+    def ends(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of unit vectors and the ends they lie in (twice the line, one more for the far side), by row and end."""
+        dim = unit.shape[1]
+        flat = unit.astype(np.float32)
+        rows, ends = [], []
+        for first in range(0, self.lines, LINES):
+            count = min(LINES, self.lines - first)
+            # drawn anew from the number of the first line: no task keeps them, and each task draws the same
+            lines = np.random.default_rng([7, dim, first]).standard_normal((count, dim), dtype=np.float32)
+            for a in range(0, len(flat), TILE):
+                at = flat[a : a + TILE] @ lines.T
+                r, k = np.nonzero(np.abs(at) >= self.place)
+                rows.append(r + a)
+                ends.append(2 * (k + first) + (at[r, k] < 0))
+        row, end = np.concatenate(rows or [np.empty(0, np.int64)]), np.concatenate(ends or [np.empty(0, np.int64)])
+        order = np.argsort(row, kind="stable")
+        return row[order], end[order].astype(np.int32)
+
+
+def _merge(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the sets of x and y, pair by pair; the smaller index leads. Parents are roots before and after."""
+    while True:
+        a, b = parent[x], parent[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent != parent[parent]).any():
+            parent[:] = parent[parent]
+
+
+class Run:
+    """The vectors of one window (or of a pair of its blocks): candidates by count, links by cosine."""
+
+    def __init__(self, end: int, ends: np.ndarray, bounds: np.ndarray, block: np.ndarray, passing: int):
+        """ends: all ends of each vector, with bounds; block: of each vector. Of two blocks only pairs across are meant."""
+        self.m, self.passing, self.block = len(block), passing, block
+        self.two = bool(len(block)) and bool((block != block[0]).any())
+        owner = np.repeat(np.arange(self.m), np.diff(bounds))
+        other = ends != end
+        owner, ends = owner[other], ends[other]
+        order = np.argsort(ends, kind="stable")
+        self.owner, ends = owner[order], ends[order]
+        first = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else np.empty(0, np.int64)
+        size = np.diff(np.r_[first, len(ends)])
+        many = np.flatnonzero(size >= MANY)
+        many = many[np.argsort(-size[many], kind="stable")][:MATRIX]
+        self.matrix = np.zeros((self.m, len(many)), dtype=np.float32)
+        for c, k in enumerate(many.tolist()):
+            self.matrix[self.owner[first[k] : first[k] + size[k]], c] = 1
+        self.before = ends[first[many]] < end
+        alone = np.ones(len(first), dtype=bool)
+        alone[many] = False
+        # pairs of all other shared ends: each member with the later ones of its end
+        at = np.repeat(first + size, size) - np.arange(len(ends)) - 1
+        at[~np.repeat(alone, size)] = 0
+        x = np.repeat(np.arange(len(ends)), at)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(at) - at, at)
+        pair, place = np.unique(self.owner[x] * self.m + self.owner[y], return_inverse=True)
+        self.pair = pair
+        self.count = np.bincount(place, minlength=len(pair))
+        self.earlier = np.bincount(place[ends[x] < end], minlength=len(pair)) > 0
+
+    def candidates(self):
+        """Arrays x, y (x before y) of the pairs that pass the count and share no earlier window."""
+        if not self.matrix.shape[1]:
+            good = (self.count + 1 >= self.passing) & ~self.earlier
+            yield self._meant(self.pair[good] // self.m, self.pair[good] % self.m)
+            return
+        early, late = self.matrix[:, self.before], self.matrix
+        bounds = np.searchsorted(self.pair, np.arange(0, self.m + TILE, TILE) * self.m)
+        for t, a in enumerate(range(0, self.m, TILE)):
+            b = min(self.m, a + TILE)
+            seen = early[a:b] @ early.T > 0
+            own = slice(bounds[t], bounds[t + 1])
+            at = self.pair[own] - a * self.m
+            seen.reshape(-1)[at[self.earlier[own]]] = True
+            if seen.all():
+                continue
+            count = late[a:b] @ late.T
+            count.reshape(-1)[at] += self.count[own]
+            x, y = np.nonzero(~seen & (count + 1 >= self.passing))
+            later = x + a < y
+            yield self._meant(x[later] + a, y[later])
+
+    def _meant(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.two:
+            across = self.block[x] != self.block[y]
+            x, y = x[across], y[across]
+        return x, y
+
+    def links(self, vectors, weights: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted number of links of each vector, and a forest (parent of each). vectors() gives unit rows; it is called only if there are candidates."""
+        found, parent, unit = np.zeros(self.m, dtype=np.int64), np.arange(self.m), None
+        for x, y in self.candidates():
+            unit = vectors() if unit is None and len(x) else unit
+            for c in range(0, len(x), 65_536):
+                p, q = x[c : c + 65_536], y[c : c + 65_536]
+                linked = np.einsum("ij,ij->i", unit[p], unit[q]) >= cosine
+                p, q = p[linked], q[linked]
+                np.add.at(found, p, weights[q])
+                np.add.at(found, q, weights[p])
+                _merge(parent, p, q)
+        return found, parent
+
+
+def _rows(column) -> np.ndarray:
+    """Unit rows of an Arrow column of lists of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(column), -1))
 
 
 FOUND = "rep long, found long, root long"
+KEY = ["dim", "end", "i", "j"]
 
 
 def near_vectors(rows: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = rows.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "vectors")
-    vector = F.col(vector_col).cast("array<double>")
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | (F.aggregate(vector, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x))) == 0.0)
+    kind = rows.select(vector_col).schema[0].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    vector = F.col(vector_col).cast(kind)
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(vector, lambda x: x != 0)
     all_ = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(~bad, vector).alias("v"))
-    classes = scratch.save(all_.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("dim", F.size("v")), "classes")
-
-    found = None
-    for row in classes.groupBy("dim").count().orderBy("dim").collect():  # a row for each vector length
-        part = _links_of(classes.where(F.col("dim") == row["dim"]), row["count"], cosine, scratch)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], FOUND)
+    classes = all_.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    # a class of rows without ids gets a number of its own
+    classes = scratch.save(classes.select("v", "least", "weight", F.coalesce("least", F.lit(-(1 << 62)) - F.monotonically_increasing_id()).alias("rep"), F.size("v").alias("dim")), "classes")
+
+    found = _links(classes, classes.count(), kind, cosine, scratch)
     counts = found.groupBy("rep").agg(F.sum("found").alias("found"))
     merged = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     named = classes.join(counts, "rep", "left").join(merged, F.col("rep") == F.col("node"), "left").select(
         "v", (F.coalesce("found", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
     )
+    # classes without ids lead no component: the smallest id among its classes does
+    if not classes.where("least is null").isEmpty():
+        real = classes.join(merged, F.col("rep") == F.col("node"), "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min("least").alias("least"))
+        named = named.join(real, "component", "left").select("v", "n_links", F.col("least").alias("component"))
     out = all_.join(named, "v", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _links_of(classes: DataFrame, n: int, cosine: float, scratch: Scratch) -> DataFrame:
-    """rep, found, root: links of each class in one pair of blocks, and what it is connected with there."""
-    spark = classes.sparkSession
-    # a bounded sample by hash of the id
-    share = min(1.0, SAMPLE / max(1, n))
-    taken = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * SAMPLE).select("v").toPandas()
-    sample = _unit(np.array(taken["v"].tolist(), dtype=np.float64)) if len(taken) else np.eye(1, classes.first()["dim"])
-    cal = spark.sparkContext.broadcast(Calibration(sample, cosine))
-    first = cal.value.directions[:, 0]
-
-    def place(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"rep": pdf["rep"], "weight": pdf["weight"], "v": pdf["v"], "p": _unit(np.array(pdf["v"].tolist(), dtype=np.float64)) @ first if len(pdf) else []})
-
-    # sorted along the first projection, and cut into runs
-    placed = classes.select("rep", "weight", "v").mapInPandas(place, "rep long, weight long, v array<double>, p double")
-    ordered = placed.repartitionByRange(max(1, -(-n // BLOCK)), "p", "rep").sortWithinPartitions("p", "rep").withColumn("part", F.spark_partition_id())
-
-    def cut(frames):
-        at = 0
-        for pdf in frames:
-            yield pdf.assign(run=(np.arange(at, at + len(pdf)) // BLOCK).astype(np.int64))
-            at += len(pdf)
-
-    runs = scratch.save(ordered.mapInPandas(cut, "rep long, weight long, v array<double>, p double, part int, run long"), "runs")
-    # one row for each run (BLOCK vectors): where it begins and ends on the line
-    ends = runs.groupBy("part", "run").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("n")).orderBy("part", "run").toPandas()
-    block, size, blocks = [], 0, -1
-    for k in ends["n"]:
-        if blocks < 0 or size + k > BLOCK:
-            blocks, size = blocks + 1, 0
-        size += int(k)
-        block.append(blocks)
-    ends["block"] = block
-    span = ends.groupby("block").agg(lo=("lo", "min"), hi=("hi", "max"))
-    of = spark.createDataFrame([(int(r.part), int(r.run), int(r.block)) for r in ends.itertuples()], "part int, run long, block int")
-    spans = spark.createDataFrame([(int(r.Index), float(r.lo), float(r.hi)) for r in span.itertuples()], "block int, lo double, hi double")
-    left = spans.select(F.col("block").alias("i"), F.col("hi").alias("reach"))
-    right = spans.select(F.col("block").alias("j"), F.col("lo").alias("from"))
-    meet = left.join(right, (F.col("j") >= F.col("i")) & (F.col("from") <= F.col("reach") + F.lit(cal.value.first_width)))
-    pairs = meet.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["p", "rep"], kind="stable")
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        at = pdf["block"].to_numpy()
-        unit = _unit(np.array(pdf["v"].tolist(), dtype=np.float64))
-        rep = pdf["rep"].to_numpy()
-        found, parent = compare(unit, pdf["weight"].to_numpy(), np.flatnonzero(at == i), np.flatnonzero(at == j), cal.value, cosine)
-        for x in range(len(parent)):
-            parent[x] = parent[parent[x]]
-        some = found > 0
-        return pd.DataFrame({"rep": rep[some], "found": found[some], "root": rep[parent[some]]})
-
-    dealt = runs.join(of, ["part", "run"]).join(pairs, "block")
-    return scratch.save(dealt.groupBy("i", "j").applyInPandas(links, FOUND), "found")
+def _links(classes: DataFrame, n: int, kind: str, cosine: float, scratch: Scratch) -> DataFrame:
+    """rep, found, root: links of each class in one window, and what it is connected with there."""
+    windows = Windows(n, cosine)
+
+    def place(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                row, end = windows.ends(_rows(part.column("v")))
+                bounds = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "weight", "dim", "v")), pa.ListArray.from_arrays(bounds, end)], ["rep", "weight", "dim", "v", "ends"])
+
+    placed = scratch.save(classes.select("rep", "weight", "dim", "v").mapInArrow(place, f"rep long, weight long, dim int, v {kind}, ends array<int>"), "placed")
+    # windows with more vectors than a block holds: how many blocks they need
+    full = placed.select("dim", F.explode("ends").alias("end")).groupBy("dim", "end").count().where(F.col("count") > BLOCK)
+    full = scratch.save(full.select("dim", "end", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "full")
+    dealt = placed.select("*", F.explode("ends").alias("end")).join(if_few(full), ["dim", "end"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("dim", "end", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "weight", "v", "ends")
+
+    def count(batches):
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            keys = np.stack([batch.column(k).to_numpy() for k in KEY])
+            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            cut = np.r_[0, cut]
+            yield from _found(batch, cut, windows.passing, cosine)
+            held = batch.slice(int(cut[-1]))
+        if held is not None and len(held):
+            yield from _found(held, np.array([0, len(held)]), windows.passing, cosine)
+
+    found = dealt.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(count, FOUND)
+    return scratch.save(found, "found")
+
+
+def _found(batch: pa.RecordBatch, cuts: np.ndarray, passing: int, cosine: float):
+    """FOUND rows of the runs between cuts."""
+    end, block, rep, weight = (batch.column(k).to_numpy() for k in ("end", "block", "rep", "weight"))
+    ends, v = batch.column("ends"), batch.column("v")
+    bounds, flat = ends.offsets.to_numpy(), ends.values.to_numpy()
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a < 2:
+            continue
+        run = Run(int(end[a]), flat[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], block[a:b], passing)
+        found, parent = run.links(lambda a=a, b=b: _rows(v.slice(a, b - a)), weight[a:b], cosine)
+        some = np.flatnonzero(found)
+        if len(some):
+            out.append((rep[a:b][some], found[some], rep[a:b][parent[some]]))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["rep", "found", "root"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

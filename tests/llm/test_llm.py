@@ -153,10 +153,32 @@ def test_embeddings_match_brute_force(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_calibrated_recall_at_the_angle():
-    x = np.random.default_rng(0).normal(size=(4000, 64))
-    cal = embedding_dedup.Calibration(x / np.linalg.norm(x, axis=1, keepdims=True), 0.9)
-    assert cal.recall >= 0.98
+@pytest.mark.parametrize("n", [1, 200, 10_000, 1_000_000])
+def test_recall_of_the_count_is_calibrated(n):
+    w = embedding_dedup.Windows(n, 0.9)
+    # collisions of pairs at just this cosine, drawn as the places on independent lines are
+    rng = np.random.default_rng(n)
+    few = 0
+    for _ in range(20):
+        x = rng.normal(size=(100, w.lines))
+        y = 0.9 * x + np.sqrt(1 - 0.81) * rng.normal(size=x.shape)
+        both = ((x >= w.place) & (y >= w.place)) | ((x <= -w.place) & (y <= -w.place))
+        few += (both.sum(1) < w.passing).sum()
+    assert w.recall >= embedding_dedup.RECALL and few <= 6
+
+
+def links_of(x, cosine):
+    """Link counts by the windows and counts of the operator, without Spark."""
+    w = embedding_dedup.Windows(len(x), cosine)
+    row, end = w.ends(x)
+    at = np.searchsorted(row, np.arange(len(x) + 1))
+    found = np.zeros(len(x), dtype=np.int64)
+    for e in np.unique(end).tolist():
+        members = row[end == e]
+        ends = [end[at[m] : at[m + 1]] for m in members]
+        run = embedding_dedup.Run(e, np.concatenate(ends), np.cumsum([0, *map(len, ends)]), np.zeros(len(members), dtype=np.int64), w.passing)
+        found[members] += run.links(lambda m=members: x[m], np.ones(len(members), dtype=np.int64), cosine)[0]
+    return found
 
 
 @pytest.mark.parametrize(("dim", "rank", "power"), [(64, 16, 0), (64, 64, 0.7), (384, 384, 0.7), (384, 32, 0), (20, 20, 0)])
@@ -167,13 +189,37 @@ def test_no_link_is_lost_in_the_subspace_of_the_data(dim, rank, power):
     # near copies differ where the data does; those at just the wanted cosine count as well
     x = np.vstack([base, base[:700] + rng.normal(size=(700, rank)) * rng.uniform(0.2, 0.5, (700, 1))]) @ axes
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    cal = embedding_dedup.Calibration(x, 0.9)
     link = x @ x.T >= 0.9
     np.fill_diagonal(link, False)
-    at = np.arange(len(x))
-    found, _ = embedding_dedup.compare(x, np.ones(len(x), dtype=np.int64), at, at, cal, 0.9)
-    assert link.sum() > 300 and cal.recall == 1
-    assert (found == link.sum(1)).all()
+    assert link.sum() > 300
+    assert (links_of(x, 0.9) == link.sum(1)).all()
+
+
+@pytest.mark.parametrize(("dim", "rank", "power"), [(64, 64, 0), (64, 32, 0), (64, 16, 0), (768, 768, 1.0)])
+def test_pairs_at_just_the_wanted_cosine_are_found(dim, rank, power):
+    rng = np.random.default_rng(rank)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    axes = np.linalg.qr(rng.normal(size=(dim, rank)))[0].T * (1 + np.arange(rank))[:, None] ** -power
+    x, u = unit(rng.normal(size=(1000, rank)) @ axes), unit(rng.normal(size=(1000, rank)) @ axes)
+    u = unit(u - (u * x).sum(1, keepdims=True) * x)
+    c = rng.uniform(0.9, 0.92, (1000, 1))
+    x = unit(np.vstack([x, c * x + np.sqrt(1 - c * c) * u]))
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert link.sum() >= 1990 and links_of(x, 0.9).sum() >= 0.999 * link.sum()
+
+
+def test_a_large_group_is_counted_once_in_all_its_windows():
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(1, 32)) + 0.03 * rng.normal(size=(900, 32)), rng.normal(size=(300, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (links_of(x, 0.9) == (x @ x.T >= 0.9).sum(1) - 1).all()
+
+
+def test_vectors_without_ids_link_and_lead_nothing(spark):
+    rows = [(None, [1.0, 0.0]), (7, [2.0, 0.01]), (9, [0.0, 1.0]), (None, [3.0, 3.0]), (None, [3.0, 3.0])]
+    got = [tuple(r) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, 7, None), (7, 1, 7, True), (9, 0, 9, True), (None, 1, None, None), (None, 1, None, None)], key=str)
 
 
 def test_embeddings_in_many_blocks_lose_no_link(spark, monkeypatch):
