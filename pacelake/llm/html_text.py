@@ -1,14 +1,19 @@
 """Layout-aware HTML rendering: a tree builder with implied tags, visibility rules, and text with its layout kept.
 
-The page is cut into tags, text and raw text. The tree builder closes what a start tag implies the end
-of (paragraphs before blocks, list items, table rows and cells, ...), ignores end tags without a start,
-and closes all at the end. Not rendered: head matter, scripts, styles, templates, hidden elements, and
-what display:none or visibility:hidden hides, inline or by a style sheet's plain tag, class or id rule, unless a
-later rule for the same selector shows it again. Of at-rules only @media screen or all, and @layer, count. The
-text of formulas, drawings (text elements) and options is kept, and an object's content where it names no data.
-Blocks stand on lines of their own, with an empty line around paragraphs, headings, lists and tables;
-list items have a dash or number and hang; table cells are padded to common column widths; white space
-collapses but in pre.
+The page is cut into tags, text and raw text in one pass that never reads a place twice; a tag or comment
+that does not end takes the rest of the page, as in browsers. The tree builder closes what a start tag
+implies the end of (paragraphs before blocks, list items, table rows and cells, ...), ignores end tags
+without a start, and closes all at the end. Not rendered: head matter, scripts, styles, templates, and what
+the hidden attribute or display:none hides, inline or by a style sheet's rule for tags, classes and ids on one
+element; visibility is inherited and can be given back. Importance, specificity and order decide between
+rules. Of at-rules only @media screen or all, and @layer, count. The text of formulas, drawings (text
+elements), options and input fields is kept, and an object's content where it names no data. Blocks stand on
+lines of their own, with an empty line around paragraphs, headings, lists and tables; list items have a dash
+or number and hang; table cells are padded to common column widths, over columns and rows they span; white
+space collapses but in pre.
+
+Bounds that keep junk pages linear: list items hang at most HANG levels, tables within more than NESTED others are
+plain blocks, and a cell spans at most SPAN columns or rows. No text is lost by them.
 
 Defined results: a null or empty page gives an empty text; whole pages are rendered, whatever their
 length, without recursion; repeated rows are rendered each; other columns are ignored; an empty table
@@ -19,6 +24,8 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,21 +55,52 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption button object template".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+HANG, NESTED, SPAN = 64, 32, 1_000
+#: Input types whose value is seen as text.
+VALUES = frozenset(["", *"text search email url tel number date time month week datetime-local submit reset button".split()])
+
+#: Possessive throughout: each alternative ends at > or with the page, so no place is tried again.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|(\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 _SIGN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
 _DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 _FOREIGN = ("svg", "math")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_COMPOUND = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "lines", "tag")
+    __slots__ = ("attrs", "children", "gone", "lines", "shown", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children, self.lines = tag, attrs, [], None
+        self.gone, self.shown = False, True
+
+
+class Stack:
+    """Open elements, with the places of each tag, so that the nearest of some tags is found without a walk."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def nearest(self, tags) -> int:
+        """Place of the innermost open element of these tags; 0 if none is open."""
+        found = 0
+        for t in tags:
+            known = self.places.get(t)
+            if known and known[-1] > found:
+                found = known[-1]
+        return found
+
+    def cut(self, place: int) -> None:
+        for node in self.nodes[place:]:
+            self.places[node.tag].pop()
+        del self.nodes[place:]
 
 
 def _on_screen(media: str) -> bool:
@@ -101,29 +139,72 @@ def _style_rules(sheet: str):
             at = m.end()
 
 
-def _apply(sheet: str, state: dict[str, dict[str, tuple[bool, bool]]]) -> None:
-    """Note what a sheet says of display and visibility: for each selector whether it hides, and whether with importance."""
-    for selectors, body in _style_rules(sheet):
-        for name, value, strong in _DECLARED.findall(body):
-            name, hides = name.lower(), value.lower() in (("none",) if name.lower() == "display" else ("hidden", "collapse"))
-            for s in selectors.split(","):
-                known = state.setdefault(s.strip().lower(), {})
-                if strong or not known.get(name, (False, False))[1]:
-                    known[name] = (hides, bool(strong))
-
+class Rules:
+    """What style sheets say of display and visibility, by the parts of compound selectors."""
 
-def parse(page: str) -> tuple[Node, list[Node], set[str]]:
-    """Root, tables in order of their start, and what style sheets hide."""
+    def __init__(self):
+        self.by_key: dict[str, dict[tuple, dict]] = {}
+        self.n = 0
+
+    def add(self, sheet: str) -> None:
+        for selectors, body in _style_rules(sheet):
+            declared = [(name.lower(), _hides(name, value), bool(strong)) for name, value, strong in _DECLARED.findall(body)]
+            for selector in selectors.lower().split(",") if declared else ():
+                m = _COMPOUND.fullmatch(selector.strip())
+                if not m or not m[0]:
+                    continue
+                parts = re.findall(r"[.#][\w-]+", m[2])
+                tag = m[1] if m[1] and m[1] != "*" else ""
+                compound = (tag, frozenset(parts))
+                key = parts[-1] if parts else tag or "*"
+                known = self.by_key.setdefault(key, {}).setdefault(compound, {})
+                ids = sum(x[0] == "#" for x in parts)
+                for name, hides, strong in declared:
+                    self.n += 1
+                    rank = (strong, ids, len(parts) - ids, bool(tag), self.n)
+                    if name not in known or rank > known[name][0]:
+                        known[name] = (rank, hides)
+
+    def of(self, node: Node) -> dict[str, bool]:
+        """display and visibility of an element, where something is said of them: whether it is hidden."""
+        style = node.attrs.get("style", "")
+        if not style and not self.by_key:
+            return {}
+        own, best = set(), {}
+        if node.attrs:
+            own = {"." + c for c in node.attrs.get("class", "").lower().split()}
+            if "id" in node.attrs:
+                own.add("#" + node.attrs["id"].lower())
+        if self.by_key:
+            for key in (*own, node.tag, "*"):
+                for (tag, parts), known in self.by_key.get(key, {}).items():
+                    if (not tag or tag == node.tag) and parts <= own:
+                        for name, (rank, hides) in known.items():
+                            if name not in best or rank > best[name][0]:
+                                best[name] = (rank, hides)
+        for name, value, strong in _DECLARED.findall(style):
+            name, rank = name.lower(), (bool(strong), 1 << 30)
+            if name not in best or rank >= best[name][0][:2] or rank[0] > best[name][0][0]:
+                best[name] = (rank, _hides(name, value))
+        return {name: hides for name, (_, hides) in best.items()}
+
+
+def _hides(name: str, value: str) -> bool:
+    return value.lower() in (("none",) if name.lower() == "display" else ("hidden", "collapse"))
+
+
+def parse(page: str) -> tuple[Node, list[Node], Rules]:
+    """Root, tables in order of their start, and the rules of style sheets."""
     root = Node("#root", {})
-    stack, tables, state = [root], [], {}
+    stack, tables, rules = Stack(root), [], Rules()
     at = 0
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
-            stack[-1].children.append(html.unescape(text))
-        if m is None:
-            return root, tables, {s for s, known in state.items() if any(hides for hides, _ in known.values())}
+            stack.nodes[-1].children.append(html.unescape(text))
+        if m is None or m[4] is not None:
+            return root, tables, rules
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -131,11 +212,13 @@ def parse(page: str) -> tuple[Node, list[Node], set[str]]:
         if m[1]:
             _end(stack, name)
             continue
-        attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3] else {}
+        attrs: dict[str, str] = {}
+        for a in _ATTR.finditer(m[3]) if m[3] else ():  # of repeated attributes the first counts
+            attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         _imply(stack, name)
         node = Node(name, attrs)
-        stack[-1].children.append(node)
-        if name == "table":
+        stack.nodes[-1].children.append(node)
+        if name == "table" and len(stack.places.get("table", ())) < NESTED:
             tables.append(node)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -143,38 +226,53 @@ def parse(page: str) -> tuple[Node, list[Node], set[str]]:
             at = close.end() if close else len(page)
             if name == "style":
                 if _on_screen(attrs.get("media", "")):
-                    _apply(raw, state)
+                    rules.add(raw)
             elif name == "textarea":
                 node.children.append(html.unescape(raw))
             elif name == "xmp":
                 node.children.append(raw)
-        elif name not in VOID and not (m[3].endswith("/") and (name in _FOREIGN or any(n.tag in _FOREIGN for n in stack))):
-            stack.append(node)
+        elif name not in VOID and not (m[3].endswith("/") and (name in _FOREIGN or stack.nearest(_FOREIGN))):
+            stack.push(node)
 
 
-def _imply(stack: list[Node], name: str) -> None:
+def _imply(stack: Stack, name: str) -> None:
     if name in CLOSES_P:
-        _close(stack, {"p"}, SCOPE)
+        _close(stack, ("p",), SCOPE)
     if name in IMPLIED:
         _close(stack, *IMPLIED[name])
 
 
-def _close(stack: list[Node], ends: set[str], bounds) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in ends:
-            del stack[i:]
-            return
-        if stack[i].tag in bounds:
-            return
+def _close(stack: Stack, ends, bounds) -> None:
+    place = stack.nearest(ends)
+    if place and place > stack.nearest([t for t in bounds if t not in ends]):
+        stack.cut(place)
 
 
-def _end(stack: list[Node], name: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == name:
-            del stack[i:]
-            return
-        if stack[i].tag in ("table", "td", "th") and name not in ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "body", "html"):
-            return
+_TABLE_PARTS = frozenset("table thead tbody tfoot tr td th body html".split())
+
+
+def _end(stack: Stack, name: str) -> None:
+    if stack.nodes[-1].tag == name and len(stack.nodes) > 1:
+        stack.cut(len(stack.nodes) - 1)
+        return
+    place = stack.nearest((name,))
+    if place and (name in _TABLE_PARTS or place > stack.nearest(("table", "td", "th"))):
+        stack.cut(place)
+
+
+def resolve(root: Node, rules: Rules) -> None:
+    """Set gone (not rendered at all) and shown (text is seen) of every element."""
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        for c in x.children:
+            if isinstance(c, str):
+                continue
+            said = rules.of(c)
+            c.gone = c.tag in UNSEEN or said.get("display", "hidden" in c.attrs) or (c.tag == "object" and ("data" in c.attrs or "type" in c.attrs)) or (c.tag == "input" and c.attrs.get("type", "").lower() == "hidden")
+            c.shown = not said["visibility"] if "visibility" in said else x.shown
+            if not c.gone:
+                todo.append(c)
 
 
 class Flow:
@@ -220,23 +318,12 @@ class Flow:
         self.gap = max(self.gap, gap)
 
 
-def _unseen(node: Node, hidden: set[str]) -> bool:
-    if node.tag in UNSEEN or "hidden" in node.attrs or (node.tag == "object" and ("data" in node.attrs or "type" in node.attrs)):
-        return True
-    if node.attrs:
-        if _HIDES.search(node.attrs.get("style", "")) or (node.tag == "input" and node.attrs.get("type", "").lower() == "hidden"):
-            return True
-        if hidden and ("#" + node.attrs.get("id", "").lower() in hidden or any("." + c in hidden or node.tag + "." + c in hidden for c in node.attrs.get("class", "").lower().split())):
-            return True
-    return bool(hidden) and node.tag in hidden
-
-
-def _drawn(svg: Node, hidden: set[str]) -> list:
+def _drawn(svg: Node) -> list:
     """Text elements of a drawing, and what it embeds, with spaces between."""
     out, todo = [], list(reversed(svg.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str) or _unseen(x, hidden):
+        if isinstance(x, str) or x.gone:
             continue
         if x.tag in ("text", "foreignobject"):
             out += [" ", x, " "]
@@ -245,20 +332,27 @@ def _drawn(svg: Node, hidden: set[str]) -> list:
     return out
 
 
-def render(node: Node, hidden: set[str]) -> list[str]:
+def _number(text: str) -> int | None:
+    return int(text) if re.fullmatch(r"-?[0-9]{1,9}", text.strip()) else None
+
+
+def render(node: Node) -> list[str]:
     flow = Flow()
     lists: list[list] = []  # kind and number of each open list
+    shown = [node.shown]  # of each open element
     pre = 0
     todo: list[tuple] = [(c, False) for c in reversed(node.children)]
     while todo:
         x, leave = todo.pop()
         if isinstance(x, str):
-            flow.text(x, pre > 0)
+            if shown[-1]:
+                flow.text(x, pre > 0)
             continue
         tag = x.tag
         inside = len(lists) > (leave and tag in ("ul", "ol", "menu"))  # of a list item
         gap = 2 if tag in SPACED and not (tag in ("ul", "ol", "p") and inside) else 1
         if leave:
+            shown.pop()
             if tag in BLOCK:
                 flow.block(gap)
             if tag in ("pre", "xmp"):
@@ -269,11 +363,14 @@ def render(node: Node, hidden: set[str]) -> list[str]:
                 flow.prefix.pop()
                 flow.open = False
             continue
-        if _unseen(x, hidden):
+        if x.gone:
             continue
         if tag == "br":
             flow.end(True)
             continue
+        if tag == "input" and x.shown and x.attrs.get("type", "").lower() in VALUES and x.attrs.get("value"):
+            flow.text(x.attrs["value"], False)
+            continue
         if tag in BLOCK:
             flow.block(gap)
         if x.lines is not None:  # a table, rendered before
@@ -282,67 +379,111 @@ def render(node: Node, hidden: set[str]) -> list[str]:
             flow.block(2)
             continue
         if tag == "hr":
-            flow.put("---")
+            if x.shown:
+                flow.put("---")
             flow.block(2)
             continue
         if tag in ("pre", "xmp"):
             pre += 1
         elif tag in ("ul", "ol", "menu"):
-            lists.append([tag, int(x.attrs["start"]) - 1 if x.attrs.get("start", "").isdecimal() else 0])
+            first = _number(x.attrs.get("start", ""))
+            lists.append([tag, 0 if first is None else first - 1])
         elif tag == "li":
             if lists:
-                lists[-1][1] += 1
+                value = _number(x.attrs.get("value", ""))
+                lists[-1][1] = lists[-1][1] + 1 if value is None else value
             mark = f"{lists[-1][1]}. " if lists and lists[-1][0] == "ol" else "- "
-            rest = flow.prefix[-1][1]
+            rest = flow.prefix[-1][1] if len(flow.prefix) <= HANG else flow.prefix[HANG][1]
             flow.prefix.append((rest + mark, rest + " " * len(mark)))
-            flow.open = True
+            flow.open = x.shown
+        shown.append(x.shown)
         todo.append((x, True))
-        todo.extend((c, False) for c in reversed(_drawn(x, hidden) if tag == "svg" else x.children))
+        todo.extend((c, False) for c in reversed(_drawn(x) if tag == "svg" else x.children))
     flow.end()
     return flow.lines
 
 
-def _table(table: Node, hidden: set[str]) -> list[str]:
+def _width(s: str) -> int:
+    """Columns that a line takes on a screen: wide characters two, combining ones none."""
+    return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def _span(cell: Node, name: str) -> int:
+    n = _number(cell.attrs.get(name, ""))
+    return SPAN if name == "rowspan" and n == 0 else min(max(n or 1, 1), SPAN)
+
+
+def _table(table: Node) -> list[str]:
     """Rows of aligned cells; a caption, and whatever stands outside cells, goes before."""
     before, rows = Node("#before", {}), []
+    before.shown = table.shown
     todo = list(reversed(table.children))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             before.children.append(x)
-        elif _unseen(x, hidden):
+        elif x.gone:
             continue
         elif x.tag in ("thead", "tbody", "tfoot"):
             todo.extend(reversed(x.children))
         elif x.tag == "tr":
-            cells = [c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not _unseen(c, hidden)]
-            before.children.extend(c for c in x.children if c not in cells)
+            cells = [c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.gone]
+            before.children.extend(c for c in x.children if isinstance(c, str) or (c.tag not in ("td", "th") and not c.gone))
             rows.append(cells)
         elif x.tag in ("td", "th"):
             rows.append([x])
         else:
             before.children.append(x)
-    grid = []
-    for cells in rows:
-        line: list[list[str]] = []
+    # where each cell starts, beside cells that reach down from rows above
+    grid, above = [], []  # above: first column, column after, row after
+    for r, cells in enumerate(rows):
+        above = sorted(a for a in above if a[2] > r)
+        line, col, k, own = [], 0, 0, []
         for c in cells:
-            line.append(render(c, hidden))
-            span = c.attrs.get("colspan", "1")
-            line.extend([] for _ in range(min(int(span) if span.isdecimal() else 1, 1000) - 1))
+            while k < len(above) and above[k][0] <= col:
+                col = max(col, above[k][1])
+                k += 1
+            wide, deep = _span(c, "colspan"), _span(c, "rowspan")
+            line.append((col, col + wide, render(c)))
+            if deep > 1:
+                own.append((col, col + wide, r + deep))
+            col += wide
+        above += own
         grid.append(line)
-    widths = [max((len(s) for row in grid if k < len(row) for s in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
-    out = render(before, hidden)
-    for row in grid:
-        for i in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(w) for cell, w in zip(row, widths)).rstrip())
+    # columns in which no cell starts take no place
+    starts = sorted({a for line in grid for a, _, _ in line})
+    rank = {a: i for i, a in enumerate(starts)}
+    widths, spans = [0] * len(starts), []
+    for line in grid:
+        for a, b, text in line:
+            first, last, need = rank[a], bisect_left(starts, b), max(map(_width, text), default=0)
+            if last == first + 1:
+                widths[first] = max(widths[first], need)
+            else:
+                spans.append((first, last, need))
+    for first, last, need in spans:
+        widths[last - 1] += max(0, need - sum(widths[first:last]) - 2 * (last - first - 1))
+    places = [0]
+    for w in widths:
+        places.append(places[-1] + w + 2)
+    out = render(before)
+    for line in grid:
+        for i in range(max((len(text) for _, _, text in line), default=0)):
+            parts, at = [], 0
+            for a, _, text in line:
+                if i < len(text) and text[i]:
+                    parts += [" " * (places[rank[a]] - at), text[i]]
+                    at = places[rank[a]] + _width(text[i])
+            out.append("".join(parts))
     return out
 
 
 def page_text(page: str | None) -> str:
-    root, tables, hidden = parse(page or "")
+    root, tables, rules = parse(page or "")
+    resolve(root, rules)
     for t in reversed(tables):  # inner ones first
-        t.lines = _table(t, hidden)
-    return "\n".join(render(root, hidden)).strip("\n")
+        t.lines = _table(t)
+    return "\n".join(render(root)).strip("\n")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
