@@ -48,8 +48,10 @@ def format_chat(rows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """Per conversation: conv_id, formatted, and segments: the pieces of formatted in order, each with its loss flag.
 
     Loss lies on the text of assistant turns only."""
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
+    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_ = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # ties are in the order of the texts themselves, so escaping comes after sorting
+    sorted_ = sorted_.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
     # first turn of each block of equal roles, and the first turn after it
     starts = sorted_.withColumn(
         "starts",
