@@ -4,7 +4,8 @@ A text's digest is the SHA-256 of the text without white space. Digests are deal
 each shard holds a cuckoo filter in front of a store of its keys, bucketed as the filter is. A miss of
 the filter proves a digest new. A hit is checked against the stored keys of its bucket. When an
 insertion finds no free slot the filter is built anew, twice as large, from the stored keys. Deletion
-takes a key from store and filter alike.
+takes a key from store and filter alike; a stored index deletes documents, and a digest dies with the
+last document that has it.
 
 Defined results: a null text counts as empty; empty tables give empty results; columns other than the
 id and the text are ignored; rows that repeat a doc_id count towards group_size and all carry the
@@ -194,21 +195,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class StoredIndex:
-    """A digest index kept as a table of entries, changed by tables of insertions and deletions.
+    """A digest index kept as tables of entries and of their documents, changed by tables of insertions and deletions.
 
     Every change writes a new version under root and reads the one before, shard by shard; a shard holds
-    about shard_rows keys, and the number of shards is set anew with each version."""
+    about shard_rows keys, and the number of shards is set anew with each version. Deleting a document takes
+    all rows with its id and digest; where other documents still have the digest, the entry is made anew from
+    them. A null doc_id is a document like any other."""
 
     def __init__(self, spark: SparkSession, root: str, shard_rows: int = 200_000):
         self.spark, self.root, self.shard_rows, self.version = spark, root.rstrip("/"), shard_rows, -1
+        self.parts: list[str] = []
 
     def entries(self) -> DataFrame:
         if self.version < 0:
             return self.spark.createDataFrame([], ENTRY)
         return self.spark.read.schema(ENTRY).parquet(f"{self.root}/v{self.version}")
 
+    def members(self) -> DataFrame:
+        """digest, best_chars, doc_id of every document in the index."""
+        kind = "doc_id long, best_chars long, digest string"
+        return self.spark.read.schema(kind).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], kind)
+
+    def _write_members(self, rows: DataFrame) -> str:
+        path = f"{self.root}/members-v{self.version + 1}"
+        rows.select("doc_id", "best_chars", "digest").write.parquet(path)
+        return path
+
     def apply(self, changes: DataFrame) -> DataFrame:
-        """changes: digest, best_chars, keep_id, group_size, deleted. Deletions are applied after insertions."""
+        """changes: digest, best_chars, keep_id, group_size, deleted. Deletions of digests are applied before insertions."""
         shards = max(1, -(-(self.entries().count() + changes.count()) // self.shard_rows))
         shard = F.pmod(F.xxhash64("digest"), F.lit(shards)).alias("shard")
         # a digest repeated within the changes is first reduced to one row of each kind
@@ -221,9 +235,9 @@ class StoredIndex:
         def change(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             index = DigestIndex()
             _from_frame(index, old)
-            _from_frame(index, new[~new["deleted"]])
             for d in new.loc[new["deleted"], "digest"]:
                 index.delete(d)
+            _from_frame(index, new[~new["deleted"]])
             return pd.concat(list(_to_frames(index)) or [_frame([])])
 
         out = self.entries().groupBy(shard).cogroup(less.groupBy(shard)).applyInPandas(change, ENTRY)
@@ -232,12 +246,23 @@ class StoredIndex:
         return self.entries()
 
     def insert(self, docs: DataFrame) -> DataFrame:
-        rows = digests(docs)
-        return self.apply(rows.select("digest", "best_chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(False).alias("deleted")))
+        path = self._write_members(digests(docs))
+        rows = self.spark.read.parquet(path)
+        self.parts.append(path)
+        return self.apply(keepers(rows).withColumn("deleted", F.lit(False)))
 
     def delete(self, docs: DataFrame) -> DataFrame:
-        rows = digests(docs)
-        return self.apply(rows.select("digest", "best_chars", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("deleted")))
+        """Take the documents of docs (by id and text) out of the index."""
+        members = self.members()
+        gone = digests(docs).select(F.col("digest").alias("gone_digest"), F.col("doc_id").alias("gone_id")).distinct()
+        same = (F.col("digest") == F.col("gone_digest")) & F.col("doc_id").eqNullSafe(F.col("gone_id"))
+        touched = members.join(gone, same, "left_semi").select("digest").distinct()
+        path = self._write_members(members.join(gone, same, "left_anti"))
+        left = self.spark.read.parquet(path).join(touched, "digest", "left_semi")
+        dead = touched.select("digest", F.lit(0).cast("long").alias("best_chars"), F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("deleted"))
+        out = self.apply(dead.unionByName(keepers(left).withColumn("deleted", F.lit(False))))
+        self.parts = [path]
+        return out
 
     def contains(self, docs: DataFrame) -> DataFrame:
         rows = digests(docs)
