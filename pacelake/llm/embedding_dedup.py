@@ -22,7 +22,8 @@ blocks, and each pair of blocks is a task of its own.
 Defined results: a null or zero vector, or one with null or non-finite components, has no links and is
 its own component; vectors are compared with those of their own length only; ties go to the smallest id;
 repeated rows count as linked with each other; a row without an id links like any other but names no
-component; other columns are ignored; an empty table gives an empty result.
+component, and is kept only where its component has no id at all; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -190,10 +191,24 @@ class Run:
         return found, parent
 
 
-def _rows(column) -> np.ndarray:
-    """Unit rows of an Arrow column of lists of one length."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return _unit(flat.reshape(len(column), -1))
+def _rows(flat: np.ndarray, n: int) -> np.ndarray:
+    """n unit rows of one length."""
+    return _unit(flat.astype(np.float64).reshape(n, -1))
+
+
+def _bytes(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The numbers between bounds as binaries."""
+    data = np.ascontiguousarray(flat)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _numbers(column: pa.Array, number: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each binary's numbers start in all of them, with one more at the end, and the numbers."""
+    _, offsets, data = column.buffers()
+    kind = np.dtype(number)
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return (at - at[0]) // kind.itemsize, flat.view(kind) if not at[0] % kind.itemsize else np.frombuffer(flat.tobytes(), dtype=kind)
 
 
 FOUND = "rep long, found long, root long"
@@ -226,30 +241,37 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", v
         named = named.join(real, "component", "left").select("v", "n_links", F.col("least").alias("component"))
     out = all_.join(named, "v", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
 
 def _links(classes: DataFrame, n: int, kind: str, cosine: float, scratch: Scratch) -> DataFrame:
     """rep, found, root: links of each class in one window, and what it is connected with there."""
     windows = Windows(n, cosine)
+    number = "<f4" if kind == "array<float>" else "<f8"
 
     def place(batches):
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                row, end = windows.ends(_rows(part.column("v")))
+                flat = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(number)
+                row, end = windows.ends(_rows(flat, len(part)))
                 bounds = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "weight", "dim", "v")), pa.ListArray.from_arrays(bounds, end)], ["rep", "weight", "dim", "v", "ends"])
-
-    placed = scratch.save(classes.select("rep", "weight", "dim", "v").mapInArrow(place, f"rep long, weight long, dim int, v {kind}, ends array<int>"), "placed")
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("rep", "weight", "dim")), _bytes(flat, np.arange(len(part) + 1) * dim), _bytes(end, bounds), pa.ListArray.from_arrays(bounds, end)],
+                    ["rep", "weight", "dim", "v", "own", "ends"],
+                )
+
+    # vectors and ends travel as bytes; the ends once more as an array, to be dealt by
+    placed = classes.select("rep", "weight", "dim", "v").mapInArrow(place, "rep long, weight long, dim int, v binary, own binary, ends array<int>")
+    placed = scratch.save(placed, "placed")
     # windows with more vectors than a block holds: how many blocks they need
     full = placed.select("dim", F.explode("ends").alias("end")).groupBy("dim", "end").count().where(F.col("count") > BLOCK)
     full = scratch.save(full.select("dim", "end", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "full")
     dealt = placed.select("*", F.explode("ends").alias("end")).join(if_few(full), ["dim", "end"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("dim", "end", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "weight", "v", "ends")
+    dealt = dealt.select("dim", "end", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "weight", "v", "own")
 
     def count(batches):
         held = None
@@ -259,26 +281,27 @@ def _links(classes: DataFrame, n: int, kind: str, cosine: float, scratch: Scratc
             keys = np.stack([batch.column(k).to_numpy() for k in KEY])
             cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             cut = np.r_[0, cut]
-            yield from _found(batch, cut, windows.passing, cosine)
+            yield from _found(batch, cut, number, windows.passing, cosine)
             held = batch.slice(int(cut[-1]))
         if held is not None and len(held):
-            yield from _found(held, np.array([0, len(held)]), windows.passing, cosine)
+            yield from _found(held, np.array([0, len(held)]), number, windows.passing, cosine)
 
     found = dealt.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(count, FOUND)
-    return scratch.save(found, "found")
+    found = scratch.save(found, "found")
+    scratch.drop("placed", "full")
+    return found
 
 
-def _found(batch: pa.RecordBatch, cuts: np.ndarray, passing: int, cosine: float):
+def _found(batch: pa.RecordBatch, cuts: np.ndarray, number: str, passing: int, cosine: float):
     """FOUND rows of the runs between cuts."""
     end, block, rep, weight = (batch.column(k).to_numpy() for k in ("end", "block", "rep", "weight"))
-    ends, v = batch.column("ends"), batch.column("v")
-    bounds, flat = ends.offsets.to_numpy(), ends.values.to_numpy()
+    (at, flat), (v_at, v) = _numbers(batch.column("own"), "<i4"), _numbers(batch.column("v"), number)
     out = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if b - a < 2:
             continue
-        run = Run(int(end[a]), flat[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], block[a:b], passing)
-        found, parent = run.links(lambda a=a, b=b: _rows(v.slice(a, b - a)), weight[a:b], cosine)
+        run = Run(int(end[a]), flat[at[a] : at[b]], at[a : b + 1] - at[a], block[a:b], passing)
+        found, parent = run.links(lambda a=a, b=b: _rows(v[v_at[a] : v_at[b]], b - a), weight[a:b], cosine)
         some = np.flatnonzero(found)
         if len(some):
             out.append((rep[a:b][some], found[some], rep[a:b][parent[some]]))
