@@ -18,10 +18,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a new one."""
+    """The folder that driver and executors share. Where the session names none, a local session (tests) gets a new one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="pacelake-checkpoint-")
@@ -35,26 +37,24 @@ class Scratch:
         self.spark = spark
         self.base = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: dict[str, list[str]] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         path = f"{self.base}/{self._n}-{name}"
+        self._paths.setdefault(name, []).append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
-        """Remove saved tables that no later step reads; all of them when no name is given."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return
-        if not names:
-            fs.delete(root, True)
-            return
-        for status in fs.listStatus(root):
-            if status.getPath().getName().split("-", 1)[-1] in names:
-                fs.delete(status.getPath(), True)
+    def drop(self, *names: str, last: int = 0) -> None:
+        """Remove saved tables that no later step reads, but the last ones of each name."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            kept = self._paths.get(name, [])
+            self._paths[name] = kept[len(kept) - last :]
+            for gone in kept[: len(kept) - last]:
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(gone)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,20 @@ def with_row_key(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> t
     return docs.where(own.isNotNull()).join(again, own == F.col("id_"), "left_anti").withColumn(key, own).unionByName(odd), key
 
 
+def by_row(docs: DataFrame, id_col: str, text_col: str, work, ids: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """work(table of doc_id and text) on a table whose doc_id is a key of each row; in its columns named by ids, keys become the rows' ids again."""
+    keyed, key = with_row_key(docs.select(F.col(id_col), F.col(text_col)), scratch, id_col)
+    own = F.col(id_col).cast("long")
+    out = work(keyed.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")))
+    other = keyed.where(~F.col(key).eqNullSafe(own)).select(F.col(key).alias("key_"), own.alias("id_"), F.lit(True).alias("known_"))
+    if other.isEmpty():
+        return out
+    other = if_few(scratch.save(other, "other"))
+    for c in ids:
+        out = out.join(other, F.col(c) == F.col("key_"), "left").withColumn(c, F.when(F.col("known_"), F.col("id_")).otherwise(F.col(c))).drop("key_", "id_", "known_")
+    return out
+
+
 def without_rows(docs: DataFrame, decide, scratch: Scratch) -> DataFrame:
     """The rows that decide(table, key column) keeps: it gives doc_id (the key) and kept for every row."""
     keyed, key = with_row_key(docs, scratch)

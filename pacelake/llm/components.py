@@ -23,6 +23,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         step = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         after = scratch.save(step.join(jump, "low", "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("after")), "round")
+        scratch.drop("round", last=1)
         labels = after.select("node", F.col("after").alias("label"))
         if after.where("after <> label").isEmpty():
             return labels.select("node", F.col("label").alias("component"))

@@ -14,7 +14,7 @@ aggregated by Spark, so the driver gets one vector (8 KB) a language. All labels
 is sent to the tasks takes 4 KB for each, and a document's work grows by as many products.
 
 Defined results: language "und" with score 0 for a null text or one without letters, and for all when no
-row has a label; ties go to the first language in sorted order; whole texts are read, whatever their
+row has a label; a row without an id is neither learned from nor held out; ties go to the first language in sorted order; whole texts are read, whatever their
 length; other columns are ignored; repeated rows are each judged; an empty table gives an empty result.
 """
 
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: s
 def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     langs, prototypes = learn(docs)
-    rows = docs.select("doc_id", "text", (~train_row()).alias("held_out"))
+    rows = docs.select("doc_id", "text", F.coalesce(~train_row(), F.lit(False)).alias("held_out"))
     return predict(rows, langs, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 

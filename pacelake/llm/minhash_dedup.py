@@ -18,8 +18,9 @@ T is calibrated: at the similarity threshold s, matches are binomial (K, s), and
 that such a pair misses with a probability below MISS.
 
 Defined results: a text without words (or null) has no shingles and is linked with nothing; ties go to
-the smallest doc_id; repeated rows share a class; other columns are ignored; an empty table gives an
-empty result.
+the smallest doc_id; rows that repeat an id, and rows without one, are documents of their own, after those
+whose id is theirs alone (so one row of each component is kept); other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, if_few, mix64, slices, small_batches
+from .common import Scratch, by_row, if_few, mix64, slices, small_batches
 from .components import components
 from .words import split_words
 
@@ -202,19 +203,26 @@ def list_links(members: DataFrame, threshold: int, percent: int) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union."""
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, own_ids: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept. Links have 100 * intersection >= percent * union. own_ids: every row is known to have an id of its own."""
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "minhash")
+    if own_ids:
+        return _near(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), width, percent, scratch)
+    return by_row(docs, id_col, text_col, lambda rows: _near(rows, width, percent, scratch), ("doc_id", "component_id"), scratch)
+
+
+def _near(texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """As near_dedup, of a table whose doc_id is a key."""
     threshold = match_threshold(percent / 100)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.save(signatures(texts, width), "signatures")
     classes = scratch.save(rows.where("n_shingles > 0").groupBy("set_hash", "keys").agg(F.min("doc_id").alias("rep")), "classes")
 
     # lists that more than one class is in; the smallest class of each
     posts = classes.select("rep", F.explode("keys").alias("key"))
-    lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
-    shared = posts.join(lists, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key", "first"))).alias("shared"))
+    lists = scratch.save(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1"), "lists")
+    # written first: few lists are broadcast, and many meet the posts in a join whose skewed keys can be split
+    shared = posts.join(if_few(lists), "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key", "first"))).alias("shared"))
     # skip, then prefix: the values that no one else holds are the rarest
     shared = shared.where(F.size("shared") >= threshold)
     own = F.lit(COORDINATES) - F.size("shared")
@@ -253,8 +261,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = scratch.save(prefix.join(label, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "left")
     mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     known = keys.join(able.select("rep", F.col("prefix")["key"].alias("prefix")), "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
-    members = left.join(mixed, "key").join(known, "rep")
+    mixed = scratch.save(mixed, "mixed")
+    members = left.join(if_few(mixed), "key").join(known, "rep")
     last = scratch.save(list_links(members, threshold, percent), "last")
+    scratch.drop("lists", "able", "keys", "sets", "left", "mixed", "star", "stars")
     if not last.isEmpty():
         merged = components(links.unionByName(last), scratch)
 

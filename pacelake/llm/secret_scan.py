@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, if_few, text_or_empty
 
 #: Fixed patterns of the base kinds, in the order in which they are listed.
 KINDS = ("assign", "access", "hex")
@@ -90,9 +90,13 @@ def scan(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     each = found.where(F.size("all_") > 0).select("row_", "owner_", "repo_", F.explode("all_").alias("s"))
     # first distinct (hash, owner, repository), so that a hash in a third of all rows is small before it meets itself
     held = each.select(F.col("s.hash").alias("hash"), "owner_", "repo_").distinct()
-    counts = held.groupBy("hash").agg(F.countDistinct(F.coalesce("owner_", F.lit(""))).alias("owners"), F.countDistinct(F.coalesce("repo_", F.lit(""))).alias("repos"))
-    weighed = each.select("row_", F.col("s.hash").alias("hash"), "s").join(counts, "hash")
-    copied = (F.col("owners") >= min_owners) | (F.col("repos") >= min_owners)
+    # a null owner or repository is one of its own; one column that is both is counted once
+    owners = F.count_distinct(F.struct("owner_"))
+    held_by = owners if owner_col == repo_col else F.greatest(owners, F.count_distinct(F.struct("repo_")))
+    examples = scratch.save(held.groupBy("hash").agg(held_by.alias("n")).where(F.col("n") >= min_owners).select("hash", F.lit(True).alias("copied")), "examples")
+    # written first: few examples are broadcast, and many are met in a join whose skewed keys can be split
+    weighed = each.select("row_", F.col("s.hash").alias("hash"), "s").join(if_few(examples), "hash", "left")
+    copied = F.col("copied").isNotNull()
     span = F.struct("s.start", "s.kind_no", "s.stop")
     own = weighed.groupBy("row_").agg(
         F.sort_array(F.collect_list(F.when((F.col("s.kind_no") == 3) & ~copied, span))).alias("added"),

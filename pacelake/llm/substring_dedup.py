@@ -10,12 +10,13 @@ passage is reported in parts, cut where the owning document or the first occurre
 occurrences stay when texts are cut, so one occurrence of every chunk does.
 
 A chunk has 32 bytes on average, so a passage of 50 words holds several whole chunks wherever it stands.
-Only digests and places are shuffled. Counts are summed before the shuffle, and rows of a very common
-chunk meet its count in a join that can be split.
+Only digests and places are shuffled. Counts are summed before the shuffle and written; few repeated
+digests are broadcast, and many meet the rows in a join between two plain shuffles, whose skewed keys Spark can split.
 
 Defined results: a null or empty text has no chunks; whole texts are read, whatever their length;
-repeated rows of one id count as one document; ties go to the smallest doc_id; other columns are
-ignored; an empty table gives an empty result.
+rows that repeat an id, and rows without one, are documents of their own (they come after the rows whose id
+is theirs alone); ties go to the smallest doc_id; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, slices
+from .common import Scratch, by_row, if_few, mix64, slices, with_row_key
 
 #: Bits 11 to 15 of the hash: a cut every 32 places, on 16 bytes.
 CUT = np.uint32(0b11111 << 11)
@@ -103,11 +104,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     n_rows: how often its most common chunk is in the corpus; first_doc_id: the smallest document that has its chunks, each of them;
     first: whether these are the chunks' first occurrences. A part may be shorter than min_words, the passage is not."""
     scratch = Scratch(docs.sparkSession, "substrings")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return by_row(docs, id_col, text_col, lambda rows: _repeats(rows, min_words, scratch), ("doc_id", "first_doc_id"), scratch)
+
+
+def _repeats(texts: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+    """As repeats, of a table whose doc_id is a key."""
     table = scratch.save(chunks(texts), "chunks")
     each = table.select("doc_id", F.posexplode("digests").alias("at", "digest"))
     # smallest and largest document say whether two have it; both are summed up before the shuffle
     common = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n_rows")).where("first_doc_id < last").drop("last")
+    common = if_few(scratch.save(common, "common"))
     found = each.join(common, "digest").select("doc_id", "at", "first_doc_id", "n_rows")
 
     # back to their documents: repeated places in order, then runs of neighbours
@@ -120,9 +126,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             out = []
             for key, hits, chars, words, again in zip(pdf["doc_id"], pdf["hits"], pdf["chars"], pdf["words"], pdf["again"]):
                 at = np.array([h["at"] for h in hits])
-                if len(np.unique(at)) < len(at):  # rows that repeat an id
-                    at, pick = np.unique(at, return_index=True)
-                    hits = [hits[i] for i in pick]
                 stop = np.cumsum(chars)
                 owner = np.array([h["first_doc_id"] for h in hits])
                 first = (owner == key) & ~np.isin(at, again)
@@ -136,13 +139,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                         out.append((key, int(stop[a] - chars[a]), int(stop[b]), int(np.sum(words[a : b + 1])), max(hits[i]["n_rows"] for i in part), int(owner[part[0]]), bool(first[part[0]])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return marked.join(table.select("doc_id", "chars", "words", "again").dropDuplicates(["doc_id"]), "doc_id").mapInPandas(runs, schema)
+    return marked.join(table.select("doc_id", "chars", "words", "again"), "doc_id").mapInPandas(runs, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The table with repeated passages cut out wherever they are not the first occurrence. No row goes."""
-    gone = repeats(docs, id_col, text_col, min_words).where(~F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone_"))
-    rows = docs.select(F.struct(*docs.columns).alias("original"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession, "substrings")
+    keyed, key = with_row_key(docs, scratch, id_col)
+    found = _repeats(keyed.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text")), min_words, scratch)
+    gone = found.where(~F.col("first")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone_"))
+    rows = keyed.select(F.struct(*docs.columns).alias("original"), F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
     joined = rows.join(gone, "doc_id", "left")
     text = F.col("text")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
