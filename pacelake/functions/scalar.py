@@ -65,6 +65,54 @@ def visibility_or_zero(vis: Column, x: Column, y: Column, threshold: float = 1e-
     return F.when((F.abs(x) < threshold) & (F.abs(y) < threshold), num(0)).otherwise(vis)
 
 
+# units ---------------------------------------------------------------------------------------------
+
+
+def px_to_cm(px: Column, px_per_cm: Column) -> Column:
+    return px / px_per_cm
+
+
+def px_to_m(px: Column, px_per_cm: Column) -> Column:
+    return px / px_per_cm / num(100)
+
+
+def px_to_leg_ratio(px: Column, leg_px: Column) -> Column:
+    return px / leg_px
+
+
+def total_height_px(foot: Column, shank: Column, thigh: Column, torso: Column, head: Column) -> Column:
+    return foot + shank + thigh + torso + head
+
+
+def leg_length_px(foot: Column, shank: Column, thigh: Column) -> Column:
+    """Hip to ground."""
+    return foot + shank + thigh
+
+
+def proportions(foot: Column, shank: Column, thigh: Column, torso: Column, head: Column) -> Column:
+    """Map of each segment's share of the whole height."""
+    total = total_height_px(foot, shank, thigh, torso, head)
+    pairs = {"foot": foot, "shank": shank, "thigh": thigh, "torso": torso, "head": head}
+    return F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v / total)))
+
+
+def scaled(value: Column, ratio: Column | float) -> Column:
+    return value * (ratio if isinstance(ratio, Column) else num(ratio))
+
+
+def torso_to_height(value: Column) -> Column:
+    """From units of the torso to units of the body's height."""
+    return value * num(TORSO_TO_HEIGHT)
+
+
+def torso_to_leg(value: Column) -> Column:
+    return value * num(TORSO_TO_LEG)
+
+
+def torso_to_m(value: Column, torso_px: Column, px_per_m: Column) -> Column:
+    return value * torso_px / px_per_m
+
+
 # gait arithmetic -----------------------------------------------------------------------------------
 
 

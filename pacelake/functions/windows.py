@@ -1,7 +1,8 @@
 """Window operators over sequences: gap filling, filters, crossings, runs, sessions.
 
 Each takes a DataFrame with partition columns and an order column (a dense frame number) and adds
-columns. All windows of a sequence share one partitioning, so Spark shuffles it once.
+columns. All windows of a sequence share one partitioning, so Spark shuffles it once. Functions named array_
+take one sequence as an array; a sequence is a clip, some thousand frames at most.
 """
 
 from __future__ import annotations
@@ -49,33 +50,95 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+def gaussian_at(values: Column, t: Column, sigma: float) -> Column:
+    """The Gaussian filter of an array at a place: over 4 sigma either side, reflected at the ends (d c b a | a b c d | d c b a)."""
+    w = gaussian_weights(sigma)
+    r, n = len(w) // 2, F.size(values)
+
+    def tap(total: Column, k: Column) -> Column:
+        m = F.pmod(t + k - r, 2 * n)
+        return total + F.element_at(F.array(*map(num, w)), k + 1) * F.get(values, F.when(m < n, m).otherwise(2 * n - 1 - m))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * r)), num(0), tap)
+
+
 def gaussian(df: DataFrame, by: list[str], value: str, out: str, sigma: float | str) -> DataFrame:
-    """Normalised Gaussian filter over 4 sigma either side, reflected at the ends (d c b a | a b c d | d c b a).
+    """Normalised Gaussian filter over the rows of a sequence.
 
     The rows of a sequence are gathered into one array, read at the reflected places, and dealt out
     again: one shuffle. sigma may name a column of 2.0 and 3.0."""
     rest = [c for c in df.columns if c not in by]
     df = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("frame", *(c for c in rest if c != "frame")))).alias("rows_"))
     df = df.withColumn("all_", F.col("rows_")[value])
-    n = F.size("all_")
-
-    def smooth(t: Column, s: float) -> Column:
-        w = gaussian_weights(s)
-        r = len(w) // 2
-
-        def tap(total: Column, k: Column) -> Column:
-            m = F.pmod(t + k - r, 2 * n)
-            return total + F.element_at(F.array(*map(num, w)), k + 1) * F.get("all_", F.when(m < n, m).otherwise(2 * n - 1 - m))
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * r)), num(0), tap)
+    at = lambda t, s: gaussian_at(F.col("all_"), t, s)
 
     def row(r: Column, t: Column) -> Column:
-        made = smooth(t, sigma) if isinstance(sigma, float) else F.when(r[sigma] == 2.0, smooth(t, 2.0)).otherwise(smooth(t, 3.0))
+        made = at(t, sigma) if isinstance(sigma, float) else F.when(r[sigma] == 2.0, at(t, 2.0)).otherwise(at(t, 3.0))
         return F.struct(*(r[c].alias(c) for c in rest), made.alias(out))
 
     return df.select(*by, F.inline(F.transform("rows_", row)))
 
 
+def dense(df: DataFrame, by: list[str]) -> DataFrame:
+    """The table, with an error if the frames of a sequence are not 0, 1, 2, ...: filters over rows need that."""
+    w = W.partitionBy(*by).orderBy("frame")
+    fine = F.col("frame") == F.row_number().over(w) - 1
+    text = F.concat(F.lit("frames of a sequence must run from 0 without gap or repeat, at frame "), F.col("frame").cast("string"))
+    return df.withColumn("frame", F.when(fine, F.col("frame")).otherwise(F.raise_error(text).cast("bigint")))
+
+
+# arrays --------------------------------------------------------------------------------------------
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def array_mean(a: Column) -> Column:
+    """Mean of the known values; NULL without any."""
+    known = F.filter(a, lambda x: x.isNotNull())
+    return let(known, lambda k: F.when(F.size(k) > 0, F.aggregate(k, num(0), lambda s, x: s + x) / F.size(k)))
+
+
+def array_stddev(a: Column) -> Column:
+    """Population deviation of the known values."""
+    return let(F.struct(a.alias("a"), array_mean(a).alias("m")), lambda s: F.sqrt(array_mean(F.transform(s["a"], lambda x: (x - s["m"]) * (x - s["m"])))))
+
+
+def array_median(a: Column) -> Column:
+    """Median of the known values; of an even number, the mean of the middle two."""
+    known = F.array_sort(F.filter(a, lambda x: x.isNotNull()))
+    return let(known, lambda k: (F.get(k, F.floor((F.size(k) - 1) / 2).cast("int")) + F.get(k, F.floor(F.size(k) / 2).cast("int"))) / num(2))
+
+
+def between(first: Column, last: Column) -> Column:
+    """The whole numbers from first to last; none where last is below first."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def array_peaks(values: Column, distance: int = 10) -> Column:
+    """Strict local maxima of an array, the middle of a plateau: structs of height and frame. From the highest down (the later of equals first) each removes others nearer than distance."""
+
+    def tops(v: Column) -> Column:
+        n = F.size(v)
+        rises = F.filter(between(F.lit(1), n - 2), lambda i: (F.get(v, i) > F.get(v, i - 1)) & (F.get(v, i + 1) <= F.get(v, i)))
+        ends = F.transform(rises, lambda i: F.struct(i.alias("a"), F.get(F.filter(between(i + 1, n - 1), lambda j: F.get(v, j) != F.get(v, i)), 0).alias("b")))
+        high = F.filter(ends, lambda e: F.get(v, e["b"]) < F.get(v, e["a"]))
+        return F.transform(high, lambda e: F.struct(F.get(v, e["a"]).alias("height"), F.floor((e["a"] + e["b"] - 1) / 2).cast("bigint").alias("frame")))
+
+    return _far_apart(F.sort_array(let(F.transform(values, lambda x: F.bround(x, 9)), tops), False), distance)
+
+
+def _far_apart(tops: Column, distance: int) -> Column:
+    none = F.array().cast("array<struct<height: double, frame: bigint>>")
+    step = lambda s, x: F.when(F.exists(s, lambda y: F.abs(y["frame"] - x["frame"]) < distance), s).otherwise(F.array_append(s, x))
+    return F.aggregate(tops, none, step)
+
+
+# windows -------------------------------------------------------------------------------------------
+
+
 def savgol5(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Savitzky-Golay, window 5 and order 2, with fitted ends; a series of under 5 stays as it is."""
     w = _w(by, "frame")
@@ -216,7 +279,5 @@ def peaks(df: DataFrame, by: list[str], value: str, distance: int = 10) -> DataF
     flats = flats.withColumn("up", F.col("v") > F.lag("v").over(f)).withColumn("down", F.col("v") > F.lead("v").over(f))
     tops = flats.where("up and down").select(*by, F.floor((F.col("a") + F.col("b")) / 2).cast("long").alias("frame"), F.col("v").alias("height"))
     sorted_ = tops.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("height", "frame")), False).alias("tops"))
-    none = F.array().cast("array<struct<height: double, frame: bigint>>")
-    step = lambda s, x: F.when(F.exists(s, lambda y: F.abs(y["frame"] - x["frame"]) < distance), s).otherwise(F.array_append(s, x))
-    kept = sorted_.select(*by, F.explode(F.aggregate("tops", none, step)).alias("p"))
+    kept = sorted_.select(*by, F.explode(_far_apart(F.col("tops"), distance)).alias("p"))
     return kept.select(*by, "p.frame", "p.height")

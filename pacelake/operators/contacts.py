@@ -1,4 +1,4 @@
-"""Ground contacts: detection, refinement by range joins, strike patterns, pruning, missing contacts, checks."""
+"""Ground contacts: detection, refinement, strike patterns, pruning, missing contacts, checks. ground.py joins them to one chain."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import num
-from ..functions.windows import down_crossings, gaussian, gradient, greedy_min_gap, interpolate
+from ..functions.windows import down_crossings, gaussian, gradient, interpolate, let
 
 LEG = ["clip_id", "leg"]
 #: Fixed word lists of the strike votes.
@@ -27,25 +27,31 @@ def compression_velocity(gait: DataFrame) -> DataFrame:
     return gradient(gaussian(df, LEG, "full", "smooth", "sigma"), LEG, "smooth", "v")
 
 
-def with_stance(contacts: DataFrame, fps: float) -> DataFrame:
-    """Toe-off: a default stance on, but two frames before the leg's next contact; the last frame when there is no next."""
-    after = F.lead("frame").over(W.partitionBy(*LEG).orderBy("frame"))
-    toe_off = F.when(after.isNull(), F.least(F.col("frame") + int(0.18 * fps), F.col("last"))).otherwise(F.least(F.col("frame") + int(0.18 * fps), after - 2))
-    df = contacts.withColumn("toe_off", toe_off)
-    return df.withColumn("gct_ms", (F.col("toe_off") - F.col("frame")).cast("double") / num(fps) * num(1000))
+def _stances(contacts: Column, last: Column, fps: float) -> Column:
+    """Contacts of one leg as structs with toe_off and gct_ms: a default stance on, but two frames before the next contact; the last frame when there is no next."""
 
+    def stance(c: Column, i: Column) -> Column:
+        after = F.get(contacts, i + 1)["frame"]
+        toe_off = F.least(c["frame"] + int(0.18 * fps), F.coalesce(after - 2, last))
+        return F.struct(c["frame"].alias("frame"), c["confidence"].alias("confidence"), toe_off.alias("toe_off"), ((toe_off - c["frame"]).cast("double") / num(fps) * num(1000)).alias("gct_ms"))
 
-def coarse_contacts(gait: DataFrame, height: float, fps: float, low_ms: float = 80, high_ms: float = 400) -> DataFrame:
+    return F.transform(contacts, stance)
+
+
+def coarse_contacts(gait: DataFrame, height: float, fps: float, low_ms: float = 80, high_ms: float = 400, vis: str = "vis") -> DataFrame:
     """clip_id, leg, frame, last, confidence, toe_off, gct_ms: falling crossings of the compression speed, at least a tenth of a second apart.
 
-    Contacts of an impossible duration go, and stances are computed again."""
+    Contacts of an impossible duration go, and stances are computed again. vis: the lower visibility of hip
+    and ankle. The crossings of a leg are gathered once, and all else is done on that array."""
     v = down_crossings(compression_velocity(gait), LEG, "v", 0.001 * height)
-    found = v.groupBy(*LEG).agg(F.array_sort(F.collect_list(F.when(F.col("crossing"), F.col("frame").cast("long")))).alias("at"), F.max("frame").alias("last"))
-    taken = found.select(*LEG, "last", F.explode(greedy_min_gap(F.col("at"), int(0.1 * fps))).alias("frame"))
-    trust = v.select(*LEG, "frame", F.least(num(1), F.greatest(num(0.2), F.col("vis") / num(0.6))).alias("confidence"))
-    staged = with_stance(taken.join(trust, [*LEG, "frame"]), fps)
-    kept = staged.where(F.col("gct_ms").isNull() | ((F.col("gct_ms") > low_ms) & (F.col("gct_ms") < high_ms)))
-    return with_stance(kept, fps)
+    trust = F.least(num(1), F.greatest(num(0.2), F.col(vis) / num(0.6)))
+    hit = F.when(F.col("crossing"), F.struct(F.col("frame").cast("long").alias("frame"), trust.alias("confidence")))
+    legs = v.groupBy(*LEG).agg(F.array_sort(F.collect_list(hit)).alias("at"), F.max("frame").alias("last"))
+    kind = "array<struct<frame: bigint, confidence: double>>"
+    step = lambda s, x: F.when((F.size(s) == 0) | (x["frame"] - F.element_at(s, -1)["frame"] >= int(0.1 * fps)), F.array_append(s, x)).otherwise(s)
+    staged = let(F.aggregate("at", F.array().cast(kind), step), lambda a: _stances(a, F.col("last"), fps))
+    kept = F.filter(staged, lambda c: (c["gct_ms"] > low_ms) & (c["gct_ms"] < high_ms))
+    return legs.select(*LEG, "last", F.inline(let(kept, lambda a: _stances(a, F.col("last"), fps)))).select(*LEG, "frame", "last", "confidence", "toe_off", "gct_ms")
 
 
 def numbered(contacts: DataFrame) -> DataFrame:
@@ -59,34 +65,42 @@ def near_frames(contacts: DataFrame, frames: DataFrame, low: Column, high: Colum
     return c.join(f, (c.clip_id_c == f.clip_id) & (c.leg_c == f.leg) & f.t.between(low, high)).drop("clip_id_c", "leg_c")
 
 
+def falls(speeds: DataFrame, **thresholds: float) -> DataFrame:
+    """Per leg, for each named threshold the falling crossings of the speed as an array of frame and place. speeds: clip_id, leg, frame, v, and v of the frame before as pv."""
+
+    def hit(th: float) -> Column:
+        place = F.col("frame") - num(1) + (num(th) - F.col("pv")) / (F.col("v") - F.col("pv"))
+        return F.when((F.col("pv") > th) & (F.col("v") <= th), F.struct(F.col("frame").alias("t"), place.alias("place")))
+
+    return speeds.groupBy(*LEG).agg(*(F.array_sort(F.collect_list(hit(th))).alias(name) for name, th in thresholds.items()))
+
+
 def refined(contacts: DataFrame, speeds: DataFrame, ic_threshold: float, to_threshold: float, strike: str, fps: float) -> DataFrame:
-    """Adds contact_frame, toe_off_frame, refined_ms. speeds: clip_id, leg, frame, v (with v at the frame before as pv).
+    """Adds contact_frame, toe_off_frame, refined_ms, detection_method. speeds: clip_id, leg, frame, v (with v at the frame before as pv).
 
     heel: last crossing of [C-2, C+10], not before C. forefoot: first of [C-5, C+5]. Without one, C stays.
     Toe-off: first crossing of the lift threshold within five frames of contact plus the default stance;
-    else the coarse one. A duration outside 80 to 400 ms leaves the coarse values."""
-    cross = lambda th: (F.col("pv") > th) & (F.col("v") <= th)
-    place = lambda th: F.col("t") - num(1) + (num(th) - F.col("pv")) / (F.col("v") - F.col("pv"))
-    keys = [*LEG, "frame", "last", "confidence", "toe_off", "gct_ms"]
+    else the coarse one. A duration outside 80 to 400 ms leaves the coarse values. The crossings of a leg are
+    one row, so contacts and speeds are each read once."""
+    c = F.col
+    df = contacts.join(falls(speeds, hits=ic_threshold, lifts=to_threshold), LEG, "left")
+    coarse = c("frame").cast("double")
     lo, hi = (2, 10) if strike == "heel" else (5, 5)
-    first = F.greatest(F.lit(1), F.col("frame") - lo) + 1
-    around = near_frames(contacts, speeds, first, F.least(F.col("last"), F.col("frame") + hi))
-    pick = F.max_by if strike == "heel" else F.min_by
-    hit = around.where(cross(ic_threshold)).groupBy(*keys).agg(pick(place(ic_threshold), F.col("t")).alias("hit"))
-    df = contacts.select(*keys).join(hit.select(*LEG, "frame", "hit"), [*LEG, "frame"], "left")
-    ic = F.coalesce(F.col("hit"), F.col("frame").cast("double"))
-    df = df.withColumn("ic", F.greatest(ic, F.col("frame").cast("double")) if strike == "heel" else ic)
-    end = F.col("ic").cast("int") + int(0.18 * fps)
-    around = near_frames(df.withColumn("end", end), speeds, F.greatest(F.lit(1), F.col("end") - 5), F.least(F.col("last"), F.col("end") + 5) - 1)
-    lift = around.where(cross(to_threshold)).groupBy(*LEG, "frame").agg(F.min_by(place(to_threshold), F.col("t")).alias("lift"))
-    df = df.join(lift, [*LEG, "frame"], "left").withColumn("to", F.coalesce("lift", F.col("toe_off").cast("double")))
-    ms = (F.col("to") - F.col("ic")) / num(fps) * num(1000)
+    hits = F.filter("hits", lambda h: (h["t"] >= F.greatest(F.lit(1), c("frame") - lo) + 1) & (h["t"] <= F.least(c("last"), c("frame") + hi)))
+    if strike == "heel":
+        df = df.withColumn("ic", F.greatest(F.coalesce(F.try_element_at(hits, F.lit(-1))["place"], coarse), coarse))
+    else:
+        df = df.withColumn("ic", F.coalesce(F.get(hits, 0)["place"], coarse))
+    end = c("ic").cast("int") + int(0.18 * fps)
+    lifts = F.filter("lifts", lambda h: (h["t"] >= F.greatest(F.lit(1), end - 5)) & (h["t"] <= F.least(c("last"), end + 5) - 1))
+    df = df.withColumn("to", F.coalesce(F.get(lifts, 0)["place"], c("toe_off").cast("double")))
+    ms = (c("to") - c("ic")) / num(fps) * num(1000)
     good = (ms > 80) & (ms < 400)
     return df.select(
-        *keys,
-        F.when(good, F.col("ic")).otherwise(F.col("frame").cast("double")).alias("contact_frame"),
-        F.when(good, F.col("to")).otherwise(F.col("toe_off").cast("double")).alias("toe_off_frame"),
-        F.when(good, ms).otherwise(F.col("gct_ms")).alias("refined_ms"),
+        *contacts.columns,
+        F.when(good, c("ic")).otherwise(coarse).alias("contact_frame"),
+        F.when(good, c("to")).otherwise(c("toe_off").cast("double")).alias("toe_off_frame"),
+        F.when(good, ms).otherwise(c("gct_ms")).alias("refined_ms"),
         F.when(good, "refined").otherwise("coarse").alias("detection_method"),
     )
 
@@ -226,8 +240,7 @@ def toe_off_by_speed(contacts: DataFrame, speeds: DataFrame, threshold: float, f
     stance after it, and no toe-off lies within 120 ms of it."""
     ic = F.col("ic").cast("int")
     end = F.coalesce(ic + int(0.18 * fps), F.col("toe_off"), F.col("frame") + 12)
-    low = F.greatest(F.lit(1), F.col("end") - 6, ic + int(0.12 * fps))
-    around = near_frames(contacts.withColumn("end", end), speeds, low, F.least(F.col("last"), F.col("end") + 6) - 1)
-    at = F.col("t") - num(1) + (num(threshold) - F.col("pv")) / (F.col("v") - F.col("pv"))
-    hit = around.where((F.col("pv") > threshold) & (F.col("v") <= threshold)).groupBy(*LEG, "frame").agg(F.min_by(at, F.col("t")).alias("hit"))
-    return contacts.join(hit, [*LEG, "frame"], "left").withColumn("speed_toe_off", F.coalesce("hit", F.col("toe_off").cast("double"))).drop("hit")
+    low, high = F.greatest(F.lit(1), end - 6, ic + int(0.12 * fps)), F.least(F.col("last"), end + 6) - 1
+    hits = F.filter("lifts_", lambda h: (h["t"] >= low) & (h["t"] <= high))
+    out = contacts.join(falls(speeds, lifts_=threshold), LEG, "left")
+    return out.withColumn("speed_toe_off", F.coalesce(F.get(hits, 0)["place"], F.col("toe_off").cast("double"))).drop("lifts_")

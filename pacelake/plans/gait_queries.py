@@ -244,8 +244,9 @@ t AS (SELECT clip_id, coalesce(avg(refined_ms) FILTER (detection_method = 'refin
 SELECT clip_id, round(cadence_spm, 6) AS cadence_spm, round(cadence_sd, 6) AS cadence_sd, round(gct_ms, 6) AS gct_ms FROM t LEFT JOIN c USING (clip_id)"""
 )
 def a10_a11_cadence_and_contact_time(spark, sf_dir):
-    c = _refined(spark, sf_dir)
-    return rounded(metrics.contact_time(c, CLIP).join(metrics.cadence(c, FPS), "clip_id", "left").select("clip_id", "cadence_spm", "cadence_sd", "gct_ms"))
+    c = F.col("c")
+    r = metrics.contact_arrays(_refined(spark, sf_dir)).select("clip_id", metrics.cadence_of(c, FPS).alias("cad"), metrics.contact_time_of(c).alias("gct"))
+    return rounded(r.select("clip_id", F.col("cad.spm").alias("cadence_spm"), F.col("cad.sd").alias("cadence_sd"), F.col("gct.ms").alias("gct_ms")))
 
 
 @query(f"RECURSIVE {REFINED} SELECT clip_id, leg, round(coalesce(avg(refined_ms) FILTER (detection_method = 'refined'), avg(refined_ms)), 6) AS gct_ms, round(CASE WHEN count(*) FILTER (detection_method = 'refined') > 0 THEN stddev_pop(refined_ms) FILTER (detection_method = 'refined') ELSE stddev_pop(refined_ms) END, 6) AS gct_sd FROM ref GROUP BY ALL")
@@ -268,8 +269,7 @@ t AS (SELECT p.clip_id, avg(abs(b.hs - a.hs) / 500e0) AS step_length_m FROM pr p
 SELECT clip_id, round(stride_length_m, 6) AS stride_length_m, round(stride_sd, 6) AS stride_sd, n_strides, round(step_length_m, 6) AS step_length_m FROM t LEFT JOIN a USING (clip_id)"""
 )
 def a13_a14_j7_stride_and_step(spark, sf_dir):
-    c, hip = _refined(spark, sf_dir), metrics.smooth_hip(_path(spark, sf_dir))
-    out = metrics.step_length(c, hip, 500.0).join(metrics.stride_length(c, hip, 500.0), "clip_id", "left")
+    out = metrics.stride_and_step(_refined(spark, sf_dir), _path(spark, sf_dir), 500.0)
     return rounded(out.select("clip_id", "stride_length_m", "stride_sd", "n_strides", "step_length_m"))
 
 
