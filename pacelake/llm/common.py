@@ -70,6 +70,11 @@ def if_few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A saved table that grows with the corpus, to be joined by shuffles on both sides at every size, so that Spark can split skewed keys."""
+    return table.hint("merge")
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, scratch: Scratch, id_col: str = "doc_id") -> DataFrame:
     """The rows whose id is not among ids; rows without an id stay."""
     gone = scratch.save(ids.where(F.col(id_col).isNotNull()).select(id_col).distinct(), "gone")

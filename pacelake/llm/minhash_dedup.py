@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_row, if_few, mix64, slices, small_batches
+from .common import Scratch, by_row, dealt, if_few, mix64, slices, small_batches
 from .components import components
 from .words import split_words
 
@@ -221,8 +221,8 @@ def _near(texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataF
     # lists that more than one class is in; the smallest class of each
     posts = classes.select("rep", F.explode("keys").alias("key"))
     lists = scratch.save(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1"), "lists")
-    # written first: few lists are broadcast, and many meet the posts in a join whose skewed keys can be split
-    shared = posts.join(if_few(lists), "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key", "first"))).alias("shared"))
+    # written first, so that both sides of the join are plain shuffles and a hot key can be split
+    shared = posts.join(dealt(lists), "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "key", "first"))).alias("shared"))
     # skip, then prefix: the values that no one else holds are the rarest
     shared = shared.where(F.size("shared") >= threshold)
     own = F.lit(COORDINATES) - F.size("shared")
@@ -262,7 +262,7 @@ def _near(texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataF
     mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
     known = keys.join(able.select("rep", F.col("prefix")["key"].alias("prefix")), "rep").join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     mixed = scratch.save(mixed, "mixed")
-    members = left.join(if_few(mixed), "key").join(known, "rep")
+    members = left.join(dealt(mixed), "key").join(known, "rep")
     last = scratch.save(list_links(members, threshold, percent), "last")
     scratch.drop("lists", "able", "keys", "sets", "left", "mixed", "star", "stars")
     if not last.isEmpty():

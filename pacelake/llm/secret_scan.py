@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, if_few, text_or_empty
+from .common import Scratch, dealt, text_or_empty
 
 #: Fixed patterns of the base kinds, in the order in which they are listed.
 KINDS = ("assign", "access", "hex")
@@ -94,8 +94,8 @@ def scan(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
     owners = F.count_distinct(F.struct("owner_"))
     held_by = owners if owner_col == repo_col else F.greatest(owners, F.count_distinct(F.struct("repo_")))
     examples = scratch.save(held.groupBy("hash").agg(held_by.alias("n")).where(F.col("n") >= min_owners).select("hash", F.lit(True).alias("copied")), "examples")
-    # written first: few examples are broadcast, and many are met in a join whose skewed keys can be split
-    weighed = each.select("row_", F.col("s.hash").alias("hash"), "s").join(if_few(examples), "hash", "left")
+    # written first, so that both sides of the join are plain shuffles and a hot key can be split
+    weighed = each.select("row_", F.col("s.hash").alias("hash"), "s").join(dealt(examples), "hash", "left")
     copied = F.col("copied").isNotNull()
     span = F.struct("s.start", "s.kind_no", "s.stop")
     own = weighed.groupBy("row_").agg(

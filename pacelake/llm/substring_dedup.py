@@ -10,8 +10,8 @@ passage is reported in parts, cut where the owning document or the first occurre
 occurrences stay when texts are cut, so one occurrence of every chunk does.
 
 A chunk has 32 bytes on average, so a passage of 50 words holds several whole chunks wherever it stands.
-Only digests and places are shuffled. Counts are summed before the shuffle and written; few repeated
-digests are broadcast, and many meet the rows in a join between two plain shuffles, whose skewed keys Spark can split.
+Only digests and places are shuffled. Counts are summed before the shuffle and written; rows meet
+them in a join between two plain shuffles, whose skewed keys Spark can split.
 
 Defined results: a null or empty text has no chunks; whole texts are read, whatever their length;
 rows that repeat an id, and rows without one, are documents of their own (they come after the rows whose id
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_row, if_few, mix64, slices, with_row_key
+from .common import Scratch, by_row, dealt, mix64, slices, with_row_key
 
 #: Bits 11 to 15 of the hash: a cut every 32 places, on 16 bytes.
 CUT = np.uint32(0b11111 << 11)
@@ -113,7 +113,7 @@ def _repeats(texts: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
     each = table.select("doc_id", F.posexplode("digests").alias("at", "digest"))
     # smallest and largest document say whether two have it; both are summed up before the shuffle
     common = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n_rows")).where("first_doc_id < last").drop("last")
-    common = if_few(scratch.save(common, "common"))
+    common = dealt(scratch.save(common, "common"))
     found = each.join(common, "digest").select("doc_id", "at", "first_doc_id", "n_rows")
 
     # back to their documents: repeated places in order, then runs of neighbours
