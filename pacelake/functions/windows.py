@@ -112,6 +112,29 @@ def array_median(a: Column) -> Column:
     return let(known, lambda k: (F.get(k, F.floor((F.size(k) - 1) / 2).cast("int")) + F.get(k, F.floor(F.size(k) / 2).cast("int"))) / num(2))
 
 
+def array_longest_run(a: Column) -> Column:
+    """Struct of start and length of the longest run of known values; of equals, the earliest."""
+    kind = "struct<start: int, length: int, now: int>"
+
+    def step(s: Column, i: Column) -> Column:
+        now = F.when(F.get(a, i).isNotNull(), s["now"] + 1).otherwise(0)
+        longer = now > s["length"]
+        return F.struct(F.when(longer, i - now + 1).otherwise(s["start"]).alias("start"), F.when(longer, now).otherwise(s["length"]).alias("length"), now.alias("now")).cast(kind)
+
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).alias("now")).cast(kind)
+    return F.aggregate(between(F.lit(0), F.size(a) - 1), zero, step, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+
+
+def array_slope(a: Column) -> Column:
+    """Slope of the values over their places."""
+    t = F.transform(a, lambda _, i: i.cast("double"))
+    return let(
+        F.struct(a.alias("x"), t.alias("t"), array_mean(a).alias("mx"), array_mean(t).alias("mt")),
+        lambda s: F.aggregate(F.zip_with(s["x"], s["t"], lambda x, t: (x - s["mx"]) * (t - s["mt"])), num(0), lambda p, q: p + q)
+        / F.nullif(F.aggregate(F.transform(s["t"], lambda t: (t - s["mt"]) * (t - s["mt"])), num(0), lambda p, q: p + q), num(0)),
+    )
+
+
 def between(first: Column, last: Column) -> Column:
     """The whole numbers from first to last; none where last is below first."""
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
@@ -233,6 +256,38 @@ def replace_spikes(df: DataFrame, by: list[str], value: str, out: str, ceiling:
     return df.withColumn("spike", spike).withColumn(out, F.when(spike, (p + n) / num(2)).otherwise(x))
 
 
+def replace_spikes_xy(df: DataFrame, by: list[str], x: str, y: str, ceiling: float = 80.0) -> DataFrame:
+    """replace_spikes on both axes: x and y become fixed_x and fixed_y, each judged by its own neighbours; spike_x, spike_y, spike (either)."""
+    df = replace_spikes(df, by, x, "fixed_x", ceiling).withColumnRenamed("spike", "spike_x")
+    df = replace_spikes(df, by, y, "fixed_y", ceiling).withColumnRenamed("spike", "spike_y")
+    return df.withColumn("spike", F.col("spike_x") | F.col("spike_y"))
+
+
+def fill_gaps_xy(df: DataFrame, by: list[str], x: str, y: str, vis: str, world: tuple[str, ...] = (), max_gap: int = 4, min_vis: float = 0.5) -> DataFrame:
+    """fill_gaps_linear of places: a gap is where x or y is missing. x, y, vis and the columns of world are filled in place; filled says where.
+
+    World columns are filled only between anchors that have all of them."""
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    df = df.withColumns({x: F.when(known, F.col(x)), y: F.when(known, F.col(y))})
+    w = _w(by, "frame")
+    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    for c in world:
+        at = F.when(known, F.struct(F.col(c).alias("v")))
+        df = df.withColumns({f"p_{c}": F.last(at, True).over(before)["v"], f"n_{c}": F.first(at, True).over(after)["v"]})
+    df = anchors(df, by, x)
+    t = (F.col("frame") - F.col("pt")).cast("double") / (F.col("nt") - F.col("pt")).cast("double")
+    whole = F.lit(True)
+    for c in world:
+        whole = whole & F.col(f"p_{c}").isNotNull() & F.col(f"n_{c}").isNotNull()
+    df = df.withColumns({"t_": F.when(F.col("nt") > F.col("pt"), t), "world_": whole}).drop("pv", "pt", "nv", "nt")
+    df = fill_gaps_linear(df, by, x, vis, "x_", max_gap, min_vis).withColumnRenamed("filled", "filled_x")
+    df = fill_gaps_linear(df, by, y, vis, "y_", max_gap, min_vis)
+    fills = F.col("filled") & F.col("filled_x")
+    made = {c: F.when(fills, F.when(F.col("world_"), F.col(f"p_{c}") + (F.col(f"n_{c}") - F.col(f"p_{c}")) * F.col("t_"))).otherwise(F.col(c)) for c in world}
+    df = df.withColumns({x: F.col("x_"), y: F.col("y_"), vis: F.col("x__vis"), **made})
+    return df.drop("filled_x", "x_", "y_", "x__vis", "y__vis", "t_", "world_", *(f"{k}_{c}" for c in world for k in "pn"))
+
+
 def fill_gaps_linear(df: DataFrame, by: list[str], value: str, vis: str, out: str, max_gap: int = 4, min_vis: float = 0.5) -> DataFrame:
     """Inner gaps of at most max_gap between visible anchors, linearly; visibility likewise, within 0 and 1."""
     w = _w(by, "frame")
@@ -263,10 +318,10 @@ def fill_short_gaps(df: DataFrame, by: list[str], value: str, vis: str, out: str
     return df.drop("pv", "pt", "nv", "nt", "pvis", "nvis", "known_vis")
 
 
-def greedy_min_gap(at: Column, gap: int) -> Column:
-    """Of sorted places, those at least gap after the last one taken."""
-    step = lambda s, x: F.when((F.size(s) == 0) | (x - F.element_at(s, -1) >= gap), F.array_append(s, x)).otherwise(s)
-    return F.aggregate(at, F.array().cast("array<bigint>"), step)
+def greedy_min_gap(at: Column, gap: int, kind: str = "bigint", place=lambda x: x) -> Column:
+    """Of sorted elements, those whose place is at least gap after that of the last one taken. kind: type of the elements."""
+    step = lambda s, x: F.when((F.size(s) == 0) | (place(x) - place(F.element_at(s, -1)) >= gap), F.array_append(s, x)).otherwise(s)
+    return F.aggregate(at, F.array().cast(f"array<{kind}>"), step)
 
 
 def peaks(df: DataFrame, by: list[str], value: str, distance: int = 10) -> DataFrame:

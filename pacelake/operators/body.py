@@ -16,10 +16,47 @@ EAR, SHOULDER, HIP, KNEE, ANKLE, HEEL, TOE = (7, 8), (11, 12), (23, 24), (25, 26
 #: Expected share of the body height, least and most.
 PROPORTIONS = {"foot": (0.04, 0.07), "shank": (0.20, 0.26), "thigh": (0.23, 0.29), "torso": (0.28, 0.34), "head": (0.12, 0.16)}
 SHOE_SOLES = {"racing_flat": 1.5, "super_shoe": 3.5, "track_spike": 1.0, "training_shoe": 2.5, "barefoot": 0.0}
+#: The shoes of the form, each with its kind of sole and what it says of the strike; events and their metres.
+SHOES = {
+    "Track spike": ("track_spike", "track_spike"),
+    "Trainer": ("training_shoe", "trainer"),
+    "Super shoe": ("super_shoe", "super_shoe"),
+    "Racing flat": ("racing_flat", "racing_flat"),
+    "Barefoot": ("barefoot", None),
+    "Other / unknown": (None, None),
+}
+PACES = {"Threshold": "threshold", "1500m": "1500m", "800m": "800m"}
+EVENT_METRES = {"800 m": 800, "1500 m": 1500, "Mile": 1609, "3000 m": 3000, "3000 m steeplechase": 3000, "5000 m": 5000, "400 m": 400, "10000 m": 10000}
+DEFAULT_SOLE_CM = 2.5
 SEGMENT_SHARES = {"torso": (0.30, 0.20), "thigh": (0.245, 0.30), "shank": (0.246, 0.30)}
 HEAD_FACTOR, FOOT_TO_SHANK = 1.40, 0.20
 
 
+def _chosen(key: Column, values: dict, kind: str) -> Column:
+    out = F.lit(None).cast(kind)
+    for k, v in values.items():
+        out = F.when(key == k, F.lit(v).cast(kind)).otherwise(out)
+    return out
+
+
+def sole_cm(shoe: Column) -> Column:
+    """Thickness of the sole of a kind of shoe; without a kind, 2.5."""
+    return F.coalesce(_chosen(shoe, SHOE_SOLES, "double"), num(DEFAULT_SOLE_CM))
+
+
+def form_choices(shoe: Column, pace: Column, event: Column) -> Column:
+    """What the words of the form stand for: struct of shoe_type, footwear (the strike's vote), pace_level, distance_m; NULL for other words."""
+    return F.struct(
+        _chosen(shoe, {k: v[0] for k, v in SHOES.items()}, "string").alias("shoe_type"), _chosen(shoe, {k: v[1] for k, v in SHOES.items()}, "string").alias("footwear"),
+        _chosen(pace, PACES, "string").alias("pace_level"), _chosen(event, EVENT_METRES, "int").alias("distance_m"),
+    )
+
+
+def near_landmarks(side: Column) -> Column:
+    """Struct of the landmark numbers (ear, shoulder, hip, knee, ankle) of a side, L or R."""
+    return F.struct(*(F.when(side == "L", F.lit(pair[0])).otherwise(F.lit(pair[1])).alias(name) for name, pair in (("ear", EAR), ("shoulder", SHOULDER), ("hip", HIP), ("knee", KNEE), ("ankle", ANKLE))))
+
+
 def wide(pose: DataFrame, landmarks: dict[str, int], *fields: str) -> DataFrame:
     """One row for each clip and frame, with name_field columns; landmarks are filtered before the pivot."""
     rows = pose.where(F.col("lm").isin(*landmarks.values()))
@@ -67,83 +104,107 @@ def masked(pose: DataFrame, keep: DataFrame) -> DataFrame:
     return df.select("clip_id", "frame", "lm", F.when(F.col("ok"), F.col("x")).alias("x"), F.when(F.col("ok"), F.col("y")).alias("y"), F.when(F.col("ok"), F.col("vis")).otherwise(num(0)).alias("vis"))
 
 
+def quality_aggs(hip: Column, ankle: Column, seen: Column) -> list[Column]:
+    """Aggregates over frames: n_frames, n_detected, detection_rate, n_low, hip_vis, ankle_vis."""
+    return [
+        F.count("*").alias("n_frames"), F.count_if(seen).alias("n_detected"), (F.count_if(seen) / F.count("*")).alias("detection_rate"), F.count_if(hip < 0.5).alias("n_low"),
+        F.avg(hip).alias("hip_vis"), F.avg(ankle).alias("ankle_vis"),
+    ]
+
+
 def quality(pose: DataFrame) -> DataFrame:
     """Per clip: frames, detected, rate, low-confidence frames (mean hip visibility under 0.5), mean hip and ankle visibility."""
     f = pose.groupBy("clip_id", "frame").agg(
         F.avg(F.when(F.col("lm").isin(*HIP), F.col("vis"))).alias("hip"), F.avg(F.when(F.col("lm").isin(*ANKLE), F.col("vis"))).alias("ankle"), F.max(F.when(F.col("lm").isin(*HIP), F.col("x").isNotNull())).alias("seen")
     )
-    return f.groupBy("clip_id").agg(
-        F.count("*").alias("n_frames"),
-        F.count_if("seen").alias("n_detected"),
-        (F.count_if("seen") / F.count("*")).alias("detection_rate"),
-        F.count_if(F.col("hip") < 0.5).alias("n_low"),
-        F.avg("hip").alias("hip_vis"),
-        F.avg("ankle").alias("ankle_vis"),
-    )
+    return f.groupBy("clip_id").agg(*quality_aggs(F.col("hip"), F.col("ankle"), F.col("seen")))
+
 
+SIDE_JOINTS = {"shoulder": SHOULDER, "hip": HIP, "knee": KNEE, "ankle": ANKLE}
 
-def side_score(pose: DataFrame, joints: list[tuple[int, int]]) -> DataFrame:
-    """Per clip: left, right: sums of the mean visibilities of the joints of each side."""
-    means = pose.where(F.col("lm").isin(*(x for j in joints for x in j))).groupBy("clip_id", "lm").agg(F.avg("vis").alias("m"))
-    side = lambda k: F.bround(F.sum(F.when(F.col("lm").isin(*(j[k] for j in joints)), F.col("m"))), 9)
-    return means.groupBy("clip_id").agg(side(0).alias("left"), side(1).alias("right"))
+
+def side_columns(mean) -> list[Column]:
+    """The three rules on the mean visibilities mean(joint, 0 for left or 1 for right): calibration (hip, knee, ankle, shoulder; L on a tie, with its share), footage (no knee; R on a tie), camera (L on a tie)."""
+    score = lambda side, *but: F.bround(sum((F.coalesce(mean(j, side), num(0)) for j in SIDE_JOINTS if j not in but), num(0)), 9)
+    left, right = score(0), score(1)
+    total = left + right
+    return [
+        F.when(left >= right, "L").otherwise("R").alias("calibration_side"),
+        F.when(total > 0, F.greatest(left, right) / total).otherwise(num(0.5)).alias("confidence"),
+        F.when(left >= right, "left").otherwise("right").alias("camera_side"),
+        F.when(score(0, "knee") > score(1, "knee"), "left").otherwise("right").alias("footage_side"),
+    ]
 
 
 def near_sides(pose: DataFrame) -> DataFrame:
-    """The three rules: calibration (hip, knee, ankle, shoulder; L on a tie, with its share), footage (no knee; R on a tie), camera (L on a tie)."""
-    four, three = side_score(pose, [SHOULDER, HIP, KNEE, ANKLE]), side_score(pose, [SHOULDER, HIP, ANKLE])
-    total = F.col("left") + F.col("right")
-    a = four.select(
-        "clip_id",
-        F.when(F.col("left") >= F.col("right"), "L").otherwise("R").alias("calibration_side"),
-        F.when(total > 0, F.greatest("left", "right") / total).otherwise(num(0.5)).alias("confidence"),
-        F.when(F.col("left") >= F.col("right"), "left").otherwise("right").alias("camera_side"),
-    )
-    return a.join(three.select("clip_id", F.when(F.col("left") > F.col("right"), "left").otherwise("right").alias("footage_side")), "clip_id")
+    """clip_id and the near side by three rules (see side_columns)."""
+    lms = [lm for pair in SIDE_JOINTS.values() for lm in pair]
+    means = pose.where(F.col("lm").isin(*lms)).groupBy("clip_id").agg(*(F.avg(F.when(F.col("lm") == lm, F.col("vis"))).alias(f"m_{lm}") for lm in lms))
+    return means.select("clip_id", *side_columns(lambda j, side: F.col(f"m_{SIDE_JOINTS[j][side]}")))
 
 
 #: Visibility and sample count of each try of the calibration, strictest first.
 LADDER = ((0.5, 10), (0.35, 5), (0.0, 3))
 
 
+#: Ends of each measured segment, its least and most length, and the share of the visibility that its second end needs.
+SEGMENTS = {"shank": ("ankle", "knee", 30, 500, 1.0), "thigh": ("knee", "hip", 30, 500, 1.0), "torso": ("hip", "shoulder", 30, 600, 1.0), "ear": ("shoulder", "ear", 10, 200, 0.8)}
+CALIBRATED = both(ear=EAR, shoulder=SHOULDER, hip=HIP, knee=KNEE, ankle=ANKLE)
+
+
+def segment_aggs() -> list[Column]:
+    """Aggregates over wide frames (names of CALIBRATED): median and count of each gated segment, for both sides and each try."""
+    aggs = []
+    for side in "lr":
+        c = lambda p, f, side=side: F.col(f"{side}_{p}_{f}")
+        for i, (vis, least) in enumerate(LADDER):
+            for name, (a, b, lo, hi, share) in SEGMENTS.items():
+                n = S.length_2d(c(a, "x"), c(a, "y"), c(b, "x"), c(b, "y"))
+                good = F.when((c(a, "vis") >= vis) & (c(b, "vis") >= vis * share) & (n > lo) & (n < hi), n)
+                aggs += [F.when(F.count(good) >= least, F.median(good)).alias(f"{side}_{name}_{i}"), F.count(good).alias(f"{side}_n_{name}_{i}")]
+    return aggs
+
+
+def segment_columns(near: Column) -> list[Column]:
+    """From the columns of segment_aggs: tried, the segments of the near side (L or R) by the strictest try that finds all, and the least count n."""
+    c = lambda n: F.when(near == "L", F.col("l_" + n)).otherwise(F.col("r_" + n))
+    full = [F.greatest(*(c(f"{s}_{i}").isNull().cast("int") for s in SEGMENTS)) == 0 for i in range(len(LADDER))]
+
+    def first(values) -> Column:
+        out = F.lit(None)
+        for ok, v in reversed(list(zip(full, values))):
+            out = F.when(ok, v).otherwise(out)
+        return out
+
+    pick = lambda n: first(c(f"{n}_{i}") for i in range(len(LADDER)))
+    return [first(F.lit(i) for i in range(len(LADDER))).cast("int").alias("tried"), *(pick(n).alias(n) for n in SEGMENTS), F.least(*(pick("n_" + n) for n in SEGMENTS)).alias("n")]
+
+
 def measured_segments(pose: DataFrame, sides: DataFrame) -> DataFrame:
     """Per clip: medians of gated lengths of the near side and their counts, from the strictest try that finds all (its number: tried)."""
-    names = both(ear=EAR, shoulder=SHOULDER, hip=HIP, knee=KNEE, ankle=ANKLE)
-    f = wide(pose, names, "x", "y", "vis").join(sides.select("clip_id", "calibration_side"), "clip_id")
-    left = F.col("calibration_side") == "L"
-    for joint in ("ear", "shoulder", "hip", "knee", "ankle"):
-        f = f.withColumns({f"{joint}_{k}": F.when(left, F.col(f"l_{joint}_{k}")).otherwise(F.col(f"r_{joint}_{k}")) for k in ("x", "y", "vis")})
-    c = F.col
-    specs = {"shank": ("ankle", "knee", 30, 500, 1.0), "thigh": ("knee", "hip", 30, 500, 1.0), "torso": ("hip", "shoulder", 30, 600, 1.0), "ear": ("shoulder", "ear", 10, 200, 0.8)}
-    aggs = []
-    for i, (vis, least) in enumerate(LADDER):
-        for name, (a, b, lo, hi, share) in specs.items():
-            n = S.length_2d(c(a + "_x"), c(a + "_y"), c(b + "_x"), c(b + "_y"))
-            good = F.when((c(a + "_vis") >= vis) & (c(b + "_vis") >= vis * share) & (n > lo) & (n < hi), n)
-            aggs += [F.when(F.count(good) >= least, F.median(good)).alias(f"{name}_{i}"), F.count(good).alias(f"n_{name}_{i}")]
-    m = f.groupBy("clip_id").agg(*aggs)
-    full = [F.greatest(*(c(f"{s}_{i}").isNull().cast("int") for s in specs)) == 0 for i in range(3)]
-    pick = lambda s: F.when(full[0], c(s + "_0")).when(full[1], c(s + "_1")).when(full[2], c(s + "_2"))
-    tried = F.when(full[0], 0).when(full[1], 1).when(full[2], 2)
-    return m.select("clip_id", tried.alias("tried"), *(pick(s).alias(s) for s in ("shank", "thigh", "torso", "ear")), F.least(*(pick("n_" + s) for s in specs)).alias("n"))
+    m = wide(pose, CALIBRATED, "x", "y", "vis").groupBy("clip_id").agg(*segment_aggs())
+    return m.join(sides.select("clip_id", "calibration_side"), "clip_id").select("clip_id", *segment_columns(F.col("calibration_side")))
 
 
 def calibration(measured: DataFrame, sides: DataFrame, height_cm: float, sole_cm: float) -> DataFrame:
-    """Per clip: pixels_per_cm, the segments with the sole in the foot, warnings, confidence. NULL where a segment is missing."""
-    m = measured.join(sides.select("clip_id", "confidence"), "clip_id")
+    """Per clip: pixels_per_cm, the segments with the sole in the foot, warnings, confidence, leg_cm. NULL where a segment is missing."""
+    out = calibrated(measured.join(sides.select("clip_id", "confidence"), "clip_id"), height_cm, sole_cm)
+    return out.select("clip_id", "tried", "pixels_per_cm", "height_px", "shank", "thigh", "torso", "head", "foot", "warnings", "confidence", "leg_cm")
+
+
+def calibrated(m: DataFrame, height_cm: float, sole_cm: float) -> DataFrame:
+    """calibration of rows that have the measured segments, n and confidence; other columns stay."""
     c = F.col
     m = m.withColumns({"head": c("ear") * num(HEAD_FACTOR), "bare_foot": c("shank") * num(FOOT_TO_SHANK)})
     bare = c("shank") + c("thigh") + c("torso") + c("head") + c("bare_foot")
     m = m.withColumn("foot", c("bare_foot") + num(sole_cm) * bare / num(height_cm - sole_cm))
-    m = m.withColumn("height_px", c("shank") + c("thigh") + c("torso") + c("head") + c("foot"))
-    share = lambda s: c(s) / c("height_px")
-    warnings = F.array_compact(F.array(*(F.when((share(s) < lo) | (share(s) > hi), F.lit(s)) for s, (lo, hi) in PROPORTIONS.items())))
+    m = m.withColumn("height_px", S.total_height_px(c("foot"), c("shank"), c("thigh"), c("torso"), c("head")))
+    share = S.proportions(c("foot"), c("shank"), c("thigh"), c("torso"), c("head"))
+    warnings = F.array_compact(F.array(*(F.when((share[s] < lo) | (share[s] > hi), F.lit(s)) for s, (lo, hi) in PROPORTIONS.items())))
     m = m.withColumn("warnings", warnings)
     trust = F.least(num(1), c("n") / num(50)) * F.greatest(num(0.5), num(1) - F.size("warnings") * num(0.15)) * F.least(num(1), c("confidence") / num(0.6))
-    return m.select(
-        "clip_id", "tried", (c("height_px") / num(height_cm)).alias("pixels_per_cm"), "height_px", "shank", "thigh", "torso", "head", "foot", F.array_join("warnings", "+").alias("warnings"), F.when(c("height_px").isNotNull(), trust).alias("confidence"),
-        ((c("shank") + c("thigh")) / (c("height_px") / num(height_cm))).alias("leg_cm"),
-    )
+    m = m.withColumns({"pixels_per_cm": c("height_px") / num(height_cm), "confidence": F.when(c("height_px").isNotNull(), trust), "warnings": F.array_join("warnings", "+")})
+    return m.withColumn("leg_cm", S.px_to_cm(S.leg_length_px(c("foot"), c("shank"), c("thigh")), c("pixels_per_cm"))).drop("bare_foot")
 
 
 def combine_two(a: DataFrame, b: DataFrame, height: Column | float, share: float = 0.03) -> DataFrame:
@@ -173,22 +234,55 @@ def choose_three(scores: DataFrame) -> DataFrame:
     return ok.groupBy("clip_id", "frame").agg(F.max_by("pass", F.struct(F.bround("hip_vis", 9), -F.col("pass_no"))).alias("chosen"))
 
 
-def centred(pose: DataFrame) -> DataFrame:
-    """Positions from the clip's mean hip, in units of its median torso."""
-    f = segments(wide(pose, JOINTS, "x", "y"))
-    per = f.groupBy("clip_id").agg(
-        F.avg(S.midpoint_both(F.col("l_hip_x"), F.col("r_hip_x"))).alias("cx"), F.avg(S.midpoint_both(F.col("l_hip_y"), F.col("r_hip_y"))).alias("cy"), F.median("torso").alias("scale")
-    )
-    scale = F.when(F.col("scale") > 1e-6, F.col("scale")).otherwise(num(1))
-    return pose.join(per, "clip_id").select("clip_id", "frame", "lm", ((F.col("x") - F.col("cx")) / scale).alias("x"), ((F.col("y") - F.col("cy")) / scale).alias("y"))
+def pass_scores(passes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The scores that choose_three takes. passes: clip_id, frame, pass (fwd, rev, seed_bwd, seed_fwd), ok, hip_vis; anchors: clip_id, anchor.
+
+    Up to the anchor the seed is the pass that ran back from it, after it the one that ran on. A frame of the
+    forward pass stays even where no pass is right."""
+    rows = passes.join(anchors, "clip_id", "left")
+    seed = F.when(F.col("frame") <= F.coalesce("anchor", F.lit(0)), "seed_bwd").otherwise("seed_fwd")
+    rows = rows.where(F.col("pass").isin("fwd", "rev") | (F.col("pass") == seed))
+    return rows.withColumn("pass_no", F.when(F.col("pass") == "fwd", 1).when(F.col("pass") == "rev", 2).otherwise(3)).drop("anchor")
+
+
+def combined_pose(landmarks: DataFrame, scores: DataFrame) -> DataFrame:
+    """clip_id, frame, lm, chosen, x, y, vis: of each frame the landmarks of the chosen pass; where none is right, chosen is none, and places are unknown with visibility 0.
+
+    landmarks: clip_id, frame, pass, lm, x, y, vis. Frames are those of the scores."""
+    pick = choose_three(scores)
+    frames = scores.select("clip_id", "frame").distinct().join(pick, ["clip_id", "frame"], "left").withColumn("chosen", F.coalesce("chosen", F.lit("none")))
+    rows = landmarks.join(frames, ["clip_id", "frame"])
+    mine, none = F.col("pass") == F.col("chosen"), F.col("chosen") == "none"
+    take = lambda c: F.max(F.when(mine, F.col(c)))
+    out = rows.where(mine | none).groupBy("clip_id", "frame", "lm", "chosen").agg(take("x").alias("x"), take("y").alias("y"), take("vis").alias("vis"))
+    return out.withColumn("vis", F.coalesce("vis", num(0)))
+
+
+def reason_counts(frames: DataFrame, reason: str) -> DataFrame:
+    """Frames of each clip by reason: clip_id, reason, n, share of the clip."""
+    n = frames.groupBy("clip_id", F.col(reason).alias("reason")).agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("clip_id")))
+
+
+def joined_sensors(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two sensors by clip and frame; clips whose numbers of frames differ are an error. a and b: clip_id, frame, and columns of their own."""
+    length = lambda d, name: d.groupBy("clip_id").agg(F.count_distinct("frame").alias(name))
+    both_ = length(a, "na").join(length(b, "nb"), "clip_id", "full")
+    text = F.format_string("clip %s: the sensors have %s and %s frames", F.col("clip_id").cast("string"), F.coalesce(F.col("na").cast("string"), F.lit("no")), F.coalesce(F.col("nb").cast("string"), F.lit("no")))
+    fine = both_.withColumn("fine_", F.when(F.col("na").eqNullSafe(F.col("nb")), F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+    return a.join(b, ["clip_id", "frame"]).join(fine.where("fine_").select("clip_id"), "clip_id")
+
+
+def direction_of(x: Column, frame: Column) -> Column:
+    """Aggregate over frames: LR if the slope of the middle of the hips is positive, of 10 known frames or more; else RL."""
+    return F.when((F.count(x) >= 10) & (F.bround(F.regr_slope(x, frame.cast("double")), 9) > 0), "LR").otherwise("RL")
 
 
 def directions(frames: DataFrame) -> DataFrame:
     """Per clip: slope of the mid hip over the frames; left to right if positive; under 10 frames, right to left."""
     x = S.midpoint_both(F.col("l_hip_x"), F.col("r_hip_x"))
-    seen = frames.select("clip_id", F.col("frame").cast("double").alias("frame"), x.alias("x")).where("x is not null")
-    out = seen.groupBy("clip_id").agg(F.regr_slope("x", "frame").alias("slope"), F.count("*").alias("n"))
-    return out.withColumn("direction", F.when((F.col("n") >= 10) & (F.bround("slope", 9) > 0), "LR").otherwise("RL"))
+    seen = frames.select("clip_id", "frame", x.alias("x")).where("x is not null")
+    return seen.groupBy("clip_id").agg(F.regr_slope("x", F.col("frame").cast("double")).alias("slope"), F.count("*").alias("n"), direction_of(F.col("x"), F.col("frame")).alias("direction"))
 
 
 def bounding_area(pose: DataFrame) -> DataFrame:
@@ -205,8 +299,9 @@ def windowed_index(df: DataFrame, length: int = 120, least: int = 108) -> DataFr
     return out.select("clip_id", "status", "i", F.when(F.col("status") == "padded", padded).otherwise(cropped).cast("long").alias("frame"))
 
 
-def first_of_windows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank_", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("rank_ = 1").drop("rank_")
+def first_of_windows(df: DataFrame, by: list[str], order: list[Column], most: int = 1) -> DataFrame:
+    """The first rows of each group."""
+    return df.withColumn("rank_", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank_") <= most).drop("rank_")
 
 
 def likeliest_candidate(candidates: DataFrame, body: int = 17) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import num
-from ..functions.windows import down_crossings, gaussian, gradient, interpolate, let
+from ..functions.windows import down_crossings, gaussian, gradient, greedy_min_gap, interpolate, let
 
 LEG = ["clip_id", "leg"]
 #: Fixed word lists of the strike votes.
@@ -47,9 +47,8 @@ def coarse_contacts(gait: DataFrame, height: float, fps: float, low_ms: float =
     trust = F.least(num(1), F.greatest(num(0.2), F.col(vis) / num(0.6)))
     hit = F.when(F.col("crossing"), F.struct(F.col("frame").cast("long").alias("frame"), trust.alias("confidence")))
     legs = v.groupBy(*LEG).agg(F.array_sort(F.collect_list(hit)).alias("at"), F.max("frame").alias("last"))
-    kind = "array<struct<frame: bigint, confidence: double>>"
-    step = lambda s, x: F.when((F.size(s) == 0) | (x["frame"] - F.element_at(s, -1)["frame"] >= int(0.1 * fps)), F.array_append(s, x)).otherwise(s)
-    staged = let(F.aggregate("at", F.array().cast(kind), step), lambda a: _stances(a, F.col("last"), fps))
+    taken = greedy_min_gap(F.col("at"), int(0.1 * fps), "struct<frame: bigint, confidence: double>", lambda x: x["frame"])
+    staged = let(taken, lambda a: _stances(a, F.col("last"), fps))
     kept = F.filter(staged, lambda c: (c["gct_ms"] > low_ms) & (c["gct_ms"] < high_ms))
     return legs.select(*LEG, "last", F.inline(let(kept, lambda a: _stances(a, F.col("last"), fps)))).select(*LEG, "frame", "last", "confidence", "toe_off", "gct_ms")
 
@@ -137,26 +136,30 @@ def strikes(contacts: DataFrame, feet: DataFrame, tau: float, min_vis: float = 0
     return contacts.join(votes.select(*LEG, "frame", kind.alias("strike")), [*LEG, "frame"], "left").fillna("unknown", ["strike"])
 
 
-def clip_strike(struck: DataFrame, pace: Column, shoe: Column) -> DataFrame:
-    """Decision and confidence of each clip from three votes: pace, shoe, and the plurality of its contacts. pace and shoe are made from clip_id."""
-    per = struck.groupBy("clip_id").agg(F.count_if(F.col("strike") == "forefoot").alias("fore"), F.count_if(F.col("strike") == "heel").alias("heel"))
+def strike_votes(pace: Column, shoe: Column, fore: Column, heel: Column) -> Column:
+    """Struct of speed_signal, shoe_signal, vote_signal, decision, confidence: three votes, of pace, shoe, and the plurality of fore and heel contacts."""
     norm = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    signal = lambda c, fore, heel: F.when(norm(c).isin(*fore), "forefoot").when(norm(c).isin(*heel), "heel").otherwise("neutral")
-    per = per.select(
-        "clip_id",
-        signal(pace, FOREFOOT_PACES, HEEL_PACES).alias("speed_signal"),
-        signal(shoe, FOREFOOT_SHOES, HEEL_SHOES).alias("shoe_signal"),
-        F.when(F.col("fore") > F.col("heel"), "forefoot").when(F.col("heel") > F.col("fore"), "heel").otherwise("unknown").alias("vote_signal"),
+    signal = lambda c, f, h: F.when(norm(c).isin(*f), "forefoot").when(norm(c).isin(*h), "heel").otherwise("neutral")
+    three = F.array(
+        signal(pace, FOREFOOT_PACES, HEEL_PACES), signal(shoe, FOREFOOT_SHOES, HEEL_SHOES), F.when(fore > heel, "forefoot").when(heel > fore, "heel").otherwise("unknown")
     )
-    signals = F.array("speed_signal", "shoe_signal", "vote_signal")
-    count = lambda kind: F.size(F.filter(signals, lambda s: s == kind))
-    per = per.withColumns({"f": count("forefoot"), "h": count("heel"), "n": F.lit(3) - count("neutral")})
-    agree = F.greatest("f", "h")
-    return per.select(
-        "clip_id", "speed_signal", "shoe_signal", "vote_signal",
-        F.when(F.col("f") > F.col("h"), "forefoot").when(F.col("h") > F.col("f"), "heel").otherwise("unknown").alias("decision"),
-        F.when(F.col("n") == 0, "none").when(agree == F.col("n"), "strong").when(agree >= 2, "moderate").otherwise("weak").alias("confidence"),
-    )
+
+    def decide(s: Column) -> Column:
+        count = lambda kind: F.size(F.filter(s, lambda x: x == kind))
+        f, h, n = count("forefoot"), count("heel"), F.lit(3) - count("neutral")
+        agree = F.greatest(f, h)
+        return F.struct(
+            F.get(s, 0).alias("speed_signal"), F.get(s, 1).alias("shoe_signal"), F.get(s, 2).alias("vote_signal"), F.when(f > h, "forefoot").when(h > f, "heel").otherwise("unknown").alias("decision"),
+            F.when(n == 0, "none").when(agree == n, "strong").when(agree >= 2, "moderate").otherwise("weak").alias("confidence"),
+        )
+
+    return let(three, decide)
+
+
+def clip_strike(struck: DataFrame, pace: Column, shoe: Column) -> DataFrame:
+    """Decision and confidence of each clip by strike_votes. pace and shoe are made from clip_id."""
+    per = struck.groupBy("clip_id").agg(F.count_if(F.col("strike") == "forefoot").alias("fore"), F.count_if(F.col("strike") == "heel").alias("heel"))
+    return per.select("clip_id", strike_votes(pace, shoe, F.col("fore"), F.col("heel")).alias("v")).select("clip_id", "v.*")
 
 
 def pruned(contacts: DataFrame, min_step: float, stride_frames: float) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -127,6 +127,19 @@ def fill_gaps(df: DataFrame, by: list[str], value: str, vis: str, method: str =
     return df.select(*by, "frame", value, vis).groupBy(*by).applyInPandas(run, fields).withColumn("out", F.nanvl("out", F.lit(None).cast("double")))
 
 
+def composite_gain(speed: Column, vis: Column, area: Column, weights: tuple[float, float, float], speed_scale: float, area_scale: float) -> Column:
+    """Worth of a candidate: the weighted sum of its speed and area (each as a share of its scale, at most 1) and its visibility; missing parts count nothing."""
+    part = lambda v, scale: F.coalesce(F.least(F.lit(1.0), v / F.lit(float(scale))), F.lit(0.0))
+    return F.lit(float(weights[0])) * part(speed, speed_scale) + F.lit(float(weights[1])) * F.coalesce(vis, F.lit(0.0)) + F.lit(float(weights[2])) * part(area, area_scale)
+
+
+def track_and_rest(candidates: DataFrame, max_gap: int, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+    """The candidates of longest_track, and the frames (clip_id, frame) of which none is in it."""
+    track = longest_track(candidates, max_gap, low, high)
+    inside = candidates.join(track, ["clip_id", "frame", "cand"], "left_semi")
+    return inside, candidates.select("clip_id", "frame").distinct().join(track, ["clip_id", "frame"], "left_anti")
+
+
 def longest_track(candidates: DataFrame, max_gap: int, low: float, high: float) -> DataFrame:
     """clip_id, frame, cand of the longest chain of candidates whose speed between links lies in [low, high]; first of equals.
 

@@ -10,7 +10,7 @@ from ..functions import scalar as S
 from ..functions import windows as N
 from ..functions.scalar import num
 from ..operators import body, contacts, metrics, smoothing
-from ..sources.tables import FPS, HEIGHT_PX, gait, pose, series, table
+from ..sources.tables import FPS, HEIGHT_PX, STANDING, gait, pose, series, standing, table
 from .registry import query, rounded
 
 LEG = contacts.LEG
@@ -104,7 +104,7 @@ def w12_best_window(spark, sf_dir):
 
 
 @query(
-    """v AS (SELECT clip_id, frame, coalesce(value, 0e0) / 1000e0 AS s FROM series), m AS (SELECT *, sum(s) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) / 21e0 AS m FROM v),
+    """v AS (SELECT clip_id, frame, CASE WHEN clip_id % 5 = 0 THEN 0e0 ELSE coalesce(value, 0e0) / 1000e0 END AS s FROM series), m AS (SELECT *, sum(s) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) / 21e0 AS m FROM v),
 h AS (SELECT *, m > round_even(avg(m) OVER p + 5e-1 * stddev_pop(m) OVER p, 9) AS high FROM m WINDOW p AS (PARTITION BY clip_id)),
 c AS (SELECT *, CASE WHEN lag(high) OVER w IS DISTINCT FROM high THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY clip_id ORDER BY frame)), g AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY frame) AS run FROM c),
 q AS (SELECT clip_id, min(frame) AS start, max(frame) AS stop, count(*) AS length FROM g WHERE high GROUP BY clip_id, run QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY length DESC, start) = 1),
@@ -112,7 +112,8 @@ n AS (SELECT clip_id, count(*) AS n FROM v GROUP BY 1)
 SELECT clip_id, greatest(coalesce(start - 15, 0), 0) AS start, least(coalesce(stop + 15, n - 1), n - 1) AS stop, start IS NULL AS fallback FROM n LEFT JOIN q USING (clip_id)"""
 )
 def w13_active_window(spark, sf_dir):
-    s = series(spark, sf_dir).withColumn("s", F.coalesce("value", num(0)) / num(1000))
+    silent = F.col("clip_id") % 5 == 0
+    s = series(spark, sf_dir).withColumn("s", F.when(silent, num(0)).otherwise(F.coalesce("value", num(0)) / num(1000)))
     return N.active_window(s, CLIP, "s")
 
 
@@ -121,7 +122,7 @@ def w13_active_window(spark, sf_dir):
 s AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY frame) AS session FROM n)
 SELECT clip_id, min(frame) AS start, max(frame) AS stop, count(*) AS n_usable, max(frame) - min(frame) + 1 >= 20 AS enough FROM s WHERE session = 0 GROUP BY 1"""
 )
-def w15_f7_usable_session(spark, sf_dir):
+def w15_first_session(spark, sf_dir):
     return N.first_session(series(spark, sf_dir), CLIP, F.col("value").isNotNull(), max_gap=1, least=20)
 
 
@@ -355,9 +356,9 @@ def a16_a17_strike_pattern(spark, sf_dir):
 
 @query("""q AS (SELECT *, value IS NOT NULL AS f FROM series), c AS (SELECT *, CASE WHEN lag(f) OVER w IS DISTINCT FROM f THEN 1 ELSE 0 END AS new FROM q WINDOW w AS (PARTITION BY clip_id ORDER BY frame)), g AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY frame) AS run FROM c),
 r AS (SELECT clip_id, min(frame) AS a, max(frame) AS b, count(*) AS n FROM g WHERE f GROUP BY clip_id, run QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY n DESC, a) = 1)
-SELECT clip_id, round(abs(regr_slope(300e0 + 9e0 * frame, frame)) * 12e-2, 6) AS velocity_ms FROM series JOIN r USING (clip_id) WHERE frame BETWEEN a AND b AND n >= 10 GROUP BY 1""")
+SELECT clip_id, round(abs(regr_slope(hip_x, g.frame)) * 12e-2, 5) AS velocity_ms FROM gait g JOIN r USING (clip_id) WHERE leg = 'L' AND g.frame BETWEEN a AND b AND n >= 10 GROUP BY 1""")
 def a8_hip_velocity(spark, sf_dir):
-    return rounded(metrics.hip_velocity(_path(spark, sf_dir), FPS, 500.0))
+    return rounded(metrics.hip_velocity(_path(spark, sf_dir), FPS, 500.0), 5)
 
 
 @query(
@@ -407,23 +408,28 @@ def p1_p2_p4_segments(spark, sf_dir):
     return rounded(f.select("clip_id", "frame", S.midpoint_any(a, b).alias("hip_any"), S.midpoint_both(a, b).alias("hip_both"), "torso", "thigh", "shank"))
 
 
+STANDING_SQL = f"""st AS (SELECT clip_id, frame, lm, 960e0 + (x - 960e0) * 4e-2 AS x, {' '.join(['CASE lm', *(f'WHEN {k} THEN {v}e0' for k, v in STANDING.items()), 'END'])} + (y - 200e0 - 50e0 * lm) * 4e-1 AS y, vis FROM pose WHERE lm IN {tuple(STANDING)}),
+stood AS (SELECT clip_id, frame, lm, x, CASE WHEN frame % 9 = 4 THEN 1000e0 - y ELSE y END AS y, vis FROM st)"""
+
+
 @query(
-    f"""{SEG}, g AS (SELECT clip_id, frame, nose_y < s_y AND s_y < h_y AND h_y < k_y AS ord, torso IS NOT NULL AND thigh IS NOT NULL AND shank IS NOT NULL AS known,
+    f"""{STANDING_SQL}, {SEG.replace('FROM pose', 'FROM stood')}, g AS (SELECT clip_id, frame, nose_y < s_y AND s_y < h_y AND h_y < k_y AS ord, torso IS NOT NULL AND thigh IS NOT NULL AND shank IS NOT NULL AS known,
  array_to_string(list_filter([CASE WHEN abs(torso / 500e0 - 3e-1) > 3e-1 * 2e-1 THEN 'torso' END, CASE WHEN abs(thigh / 500e0 - 245e-3) > 245e-3 * 3e-1 THEN 'thigh' END, CASE WHEN abs(shank / 500e0 - 246e-3) > 246e-3 * 3e-1 THEN 'shank' END], lambda x: x IS NOT NULL), '+') AS off FROM sg)
 SELECT clip_id, frame, CASE WHEN ord IS NULL OR NOT known THEN 'missing' WHEN NOT ord THEN 'order' WHEN off <> '' THEN 'ratios:' || off ELSE 'ok' END AS anatomy_reason FROM g"""
 )
 def f1_anatomy_gate(spark, sf_dir):
-    f = body.segments(body.wide(pose(spark, sf_dir), {"nose": 0, **body.JOINTS}, "x", "y"))
+    f = body.segments(body.wide(standing(spark, sf_dir), {"nose": 0, **body.JOINTS}, "x", "y"))
     return body.anatomy_gate(f, num(500)).select("clip_id", "frame", "anatomy_reason")
 
 
 @query(
-    f"""wd AS ({_sql_wide(body.both(hip=body.HIP), 'x')}), h AS (SELECT clip_id, frame, coalesce((l_hip_x + r_hip_x) / 2e0, l_hip_x, r_hip_x) AS x FROM wd),
+    f"""wd AS ({_sql_wide(body.both(hip=body.HIP), 'x')}), h AS (SELECT clip_id, frame, CASE WHEN clip_id % 3 <> 1 OR frame % 7 = 3 THEN coalesce((l_hip_x + r_hip_x) / 2e0, l_hip_x, r_hip_x) END AS x FROM wd),
 m AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY clip_id ORDER BY frame)) AS moved FROM h), p AS (SELECT *, max(moved) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS peak FROM m)
 SELECT clip_id, frame, round(peak, 6) AS peak, CASE WHEN x IS NULL THEN 'no_detection' WHEN peak IS NULL THEN 'no_velocity_context' WHEN peak < 150e0 THEN 'below_velocity_threshold' ELSE 'moving' END AS reason FROM p"""
 )
 def f2_w5_w6_a25_motion_filter(spark, sf_dir):
-    f = body.wide(pose(spark, sf_dir), body.both(hip=body.HIP), "x")
+    lone = (F.col("clip_id") % 3 == 1) & (F.col("frame") % 7 != 3)
+    f = body.wide(pose(spark, sf_dir).withColumn("x", F.when(~lone, F.col("x"))), body.both(hip=body.HIP), "x")
     return rounded(body.motion_filter(f, num(180), FPS).select("clip_id", "frame", "peak", "reason"))
 
 
@@ -480,18 +486,10 @@ def a5_a6_a7_f9_calibration(spark, sf_dir):
 
 
 @query(f"wd AS ({_sql_wide(body.both(hip=body.HIP), 'x')}), a AS (SELECT clip_id, regr_slope((l_hip_x + r_hip_x) / 2e0, frame::DOUBLE) AS slope, count(l_hip_x + r_hip_x) AS n FROM wd GROUP BY 1) SELECT clip_id, round(slope, 6) AS slope, n, CASE WHEN n >= 10 AND round_even(slope, 9) > 0 THEN 'LR' ELSE 'RL' END AS direction FROM a")
-def a9_x7_direction(spark, sf_dir):
+def a9_direction(spark, sf_dir):
     return rounded(body.directions(body.wide(pose(spark, sf_dir), body.both(hip=body.HIP), "x")))
 
 
-@query(
-    f"""{SEG}, c AS (SELECT clip_id, avg(h_x) AS cx, avg(h_y) AS cy, median(torso) AS sc FROM sg GROUP BY 1)
-SELECT clip_id, frame, lm, round((x - cx) / sc, 6) AS x, round((y - cy) / sc, 6) AS y FROM pose JOIN c USING (clip_id)"""
-)
-def a20_p10_x8_centred(spark, sf_dir):
-    return rounded(body.centred(pose(spark, sf_dir)))
-
-
 @query("SELECT clip_id, frame, round((max(x) - min(x)) * (max(y) - min(y)), 4) AS area FROM pose GROUP BY ALL")
 def a24_bounding_area(spark, sf_dir):
     return rounded(body.bounding_area(pose(spark, sf_dir)), 4)

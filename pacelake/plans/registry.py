@@ -14,12 +14,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name. sql may read the stand-in tables series, pose, gait."""
+    """Registers a function of (spark, sf_dir) under its name. sql may read the stand-in tables series, pose, gait, clips, frame_stats."""
 
     def put(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            used = any(t in sql for t in ("series", "pose", "gait"))
+            used = any(t in sql for t in ("series", "pose", "gait", "clips", "frame_stats"))
             body = sql.strip()
             if used:
                 recursive = "RECURSIVE " if body.startswith("RECURSIVE ") else ""

@@ -9,7 +9,7 @@ from ..functions import scalar as S
 from ..functions.scalar import num
 from ..operators import pace
 from ..sources import metadata
-from ..sources.tables import FPS, pose, series, table
+from ..sources.tables import FPS, pose, table
 from .registry import query, rounded
 
 LINE = "SELECT l_orderkey, l_linenumber, 160e0 + l_quantity AS cad, 100e0 + 1500e0 * l_tax AS gct, 2e0 + 20e0 * l_discount AS stride, l_extendedprice / 9999e0 AS osc FROM lineitem"
@@ -111,11 +111,11 @@ def p24_p26_vdot(spark, sf_dir):
 
 
 @query(
-    """SELECT c_custkey, round(ln((300e0 + c_custkey % 50) / 110e0) / ln(1500e0 / 800e0), 6) AS exponent,
-CASE WHEN ln((300e0 + c_custkey % 50) / 110e0) / ln(1500e0 / 800e0) <= 104e-2 THEN 'Endurance-leaning' WHEN ln((300e0 + c_custkey % 50) / 110e0) / ln(1500e0 / 800e0) >= 108e-2 THEN 'Speed-leaning' ELSE 'Balanced' END AS profile FROM customer"""
+    """SELECT c_custkey, round(ln((200e0 + c_custkey % 30) / 110e0) / ln(1500e0 / 800e0), 6) AS exponent,
+CASE WHEN ln((200e0 + c_custkey % 30) / 110e0) / ln(1500e0 / 800e0) <= 104e-2 THEN 'Endurance-leaning' WHEN ln((200e0 + c_custkey % 30) / 110e0) / ln(1500e0 / 800e0) >= 108e-2 THEN 'Speed-leaning' ELSE 'Balanced' END AS profile FROM customer"""
 )
 def p27_riegel_profile(spark, sf_dir):
-    t2 = num(300) + (F.col("c_custkey") % 50).cast("double")
+    t2 = num(200) + (F.col("c_custkey") % 30).cast("double")
     e = S.riegel_exponent(num(800), num(110), num(1500), t2)
     # the shorter race is given; a shift of t2 spreads the runners over the three profiles
     return rounded(table(spark, sf_dir, "customer").select("c_custkey", e.alias("exponent"), S.runner_profile(e).alias("profile")))
@@ -187,18 +187,6 @@ def s9_s10_p30_p34_rates_and_dates(spark, sf_dir):
     )
 
 
-@query(
-    """SELECT clip_id, (frame // 2)::BIGINT AS frame, (n - 1 - frame)::BIGINT AS reversed, channel FROM (SELECT *, count(*) OVER (PARTITION BY clip_id) AS n FROM series)
-WHERE frame % 2 = 0 AND frame BETWEEN 4 AND 40"""
-)
-def s1_s3_s4_s11_frame_scans(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    s = series(spark, sf_dir).withColumn("n", F.count("*").over(W.partitionBy("clip_id")))
-    s = s.where((F.pmod(F.col("frame"), F.lit(2)) == 0) & F.col("frame").between(4, 40))
-    return s.select("clip_id", F.floor(F.col("frame") / 2).alias("frame"), (F.col("n") - 1 - F.col("frame")).cast("long").alias("reversed"), "channel")
-
-
 @query(
     """SELECT clip_id, frame, CASE WHEN lm >= 11 THEN CASE WHEN lm % 2 = 1 THEN lm + 1 ELSE lm - 1 END ELSE lm END::INTEGER AS lm, round(1920e0 - x * 5e-1, 6) AS x,
 CASE WHEN vis > 0 AND NOT (abs(x - 960e0) < 10 AND abs(y - 200e0 - 50e0 * lm) < 10) THEN round(y * 5e-1, 6) END AS y,
@@ -209,24 +197,37 @@ def p7_p8_p9_p11_landmark_maps(spark, sf_dir):
     zx, zy = c("x") - num(960), c("y") - num(200) - num(50) * c("lm").cast("double")
     return rounded(
         pose(spark, sf_dir).select(
-            "clip_id", "frame", S.swapped_landmark(c("lm")).cast("int").alias("lm"), S.mirrored_x(c("x") * num(0.5), 1920).alias("x"), S.valid_or_null(c("y") * num(0.5), zx, zy, 10).alias("y"),
+            "clip_id", "frame", S.swapped_landmark(c("lm")).cast("int").alias("lm"), S.mirrored_x(S.scaled(c("x"), 0.5), 1920).alias("x"), S.valid_or_null(S.scaled(c("y"), 0.5), zx, zy, 10).alias("y"),
             S.visibility_or_zero(c("vis"), zx, zy, 10).alias("vis"),
         )
     )
 
 
 @query(
-    """SELECT e.user_id, e.event_id, CASE WHEN try_cast(e.value AS DOUBLE) >= 0 THEN 'A' ELSE 'B' END AS stratum, true AS valid, e.event_id::VARCHAR AS created
-FROM events e WHERE event_id % 3 = 0"""
+    """WITH d AS (SELECT user_id, event_id, ['A', 'B', 'C', 'D', 'AB', ''][event_id % 6 + 1] AS stratum, ['M', 'F', 'X', 'm'][event_id % 4 + 1] AS sex,
+ CASE WHEN event_id % 3 = 0 THEN 'box' || event_id WHEN event_id % 3 = 1 THEN '' END AS box, CASE WHEN event_id % 5 <> 0 THEN 'stream' || event_id END AS stream FROM events)
+SELECT user_id, event_id, stratum, stratum IN ('A', 'B', 'C') AND sex IN ('M', 'F') AS valid, coalesce(nullif(box, ''), stream) AS created, (event_id % 7)::INTEGER AS width,
+ CASE WHEN event_id % 9 <> 0 THEN round((event_id % 9) * 6000e0 / 1001e0, 6) END AS fps, 150e0 + event_id % 50 AS height_cm FROM d"""
 )
 def s12_s16_f14_documents(spark, sf_dir):
     """Runner and probe documents, made as JSON from events and read back."""
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
-    stratum = F.when(F.col("value") >= 0, "A").otherwise("B")
-    doc = F.to_json(F.struct(F.array(F.struct(F.col("user_id").cast("string").alias("id"), stratum.alias("stratum"), F.lit("M").alias("sex"))).alias("runners")))
-    probe = F.to_json(F.struct(F.struct(F.lit(None).cast("string").alias("x")).alias("format"), F.array(F.struct(F.struct(F.col("event_id").cast("string").alias("creation_time")).alias("tags"))).alias("streams")))
-    r = e.select("user_id", "event_id", F.explode(metadata.runners(doc)).alias("r"), metadata.creation_time(probe).alias("created"))
-    return r.select("user_id", "event_id", F.col("r.stratum").alias("stratum"), metadata.valid_runner(F.col("r")).alias("valid"), "created")
+    k = F.col("event_id")
+    pick = lambda n, *v: F.element_at(F.array(*(F.lit(x) for x in v)), (k % n + 1).cast("int"))
+    e = table(spark, sf_dir, "events")
+    runner = F.struct(F.col("user_id").cast("string").alias("id"), pick(6, "A", "B", "C", "D", "AB", "").alias("stratum"), pick(4, "M", "F", "X", "m").alias("sex"), (num(150) + (k % 50).cast("double")).alias("height_cm"))
+    doc = F.to_json(F.struct(F.array(runner).alias("runners")))
+    box = F.when(k % 3 == 0, F.concat(F.lit("box"), k.cast("string"))).when(k % 3 == 1, "")
+    stream = F.when(k % 5 != 0, F.concat(F.lit("stream"), k.cast("string")))
+    rate = F.concat(((k % 9) * 6000).cast("string"), F.lit("/1001"))
+    probe = F.to_json(
+        F.struct(
+            F.struct(F.struct(box.alias("creation_time")).alias("tags")).alias("format"),
+            F.array(F.struct(F.struct(stream.alias("creation_time")).alias("tags"), (k % 7).cast("int").alias("width"), rate.alias("avg_frame_rate"))).alias("streams"),
+        )
+    )
+    r = e.select("user_id", "event_id", F.explode(metadata.runners(doc)).alias("r"), metadata.probed(probe).alias("p"))
+    r = r.select("user_id", "event_id", "p", metadata.runner_info(F.col("r")).alias("i"), metadata.valid_runner(F.col("r")).alias("valid"))
+    return rounded(r.select("user_id", "event_id", F.col("i.stratum").alias("stratum"), "valid", F.col("p.creation_time").alias("created"), "p.width", "p.fps", F.col("i.height_cm").alias("height_cm")))
 
 
 @query(
@@ -242,14 +243,3 @@ def s15_s17_resolve_metadata(spark, sf_dir):
     docs = c.where(k % 2 == 0).select(k.cast("string").alias("video_id"), F.struct((num(150) + (k % 40).cast("double")).alias("height_cm")).alias("runner"), F.lit("b.json").alias("_file"))
     old = docs.select("video_id", F.struct(num(1).alias("height_cm")).alias("runner"), F.lit("a.json").alias("_file"))
     return metadata.resolve(clips, metadata.store(docs.unionByName(old)))
-
-
-@query(
-    """SELECT user_id, list_aggregate(list_sort(list_filter([CASE WHEN n < 60 THEN 'short' END, CASE WHEN n > 75 THEN 'long' END, CASE WHEN m < 50 THEN 'dim' END], lambda x: x IS NOT NULL)), 'string_agg', '+') AS notes,
-(n BETWEEN 60 AND 75) AS admitted FROM (SELECT user_id, count(*) AS n, round(avg(value), 6) AS m FROM events GROUP BY 1)"""
-)
-def f10_f11_f13_f15_clip_admission(spark, sf_dir):
-    s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("m"))
-    c = F.col
-    notes = F.array_sort(F.array_compact(F.array(F.when(c("n") < 60, "short"), F.when(c("n") > 75, "long"), F.when(c("m") < 50, "dim"))))
-    return s.select("user_id", F.when(F.size(notes) > 0, F.array_join(notes, "+")).alias("notes"), c("n").between(60, 75).alias("admitted"))

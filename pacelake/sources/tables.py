@@ -67,14 +67,76 @@ def gait(spark: SparkSession, sf_dir: str) -> DataFrame:
         "frame",
         "leg",
         F.when(F.col("value").isNotNull(), num(400) + num(60) * wave + F.col("value") / num(1000)).alias("comp"),
-        F.when(F.col("value").isNotNull(), num(300) + num(9) * F.col("frame").cast("double")).alias("hip_x"),
+        F.when(F.col("value").isNotNull(), num(300) + num(9) * F.col("frame").cast("double") + F.col("value") / num(20)).alias("hip_x"),
         (num(900) + num(20) * wave).alias("hip_y"),
         (num(1700) + num(80) * wave).alias("toe_y"),
         (num(0.4) + num(0.6) * u).alias("vis"),
     )
 
 
-#: The same three tables in DuckDB's SQL.
+def standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pose with the proportions of a body of 500 pixels; in every ninth frame it stands on its head."""
+    place = F.create_map(*(F.lit(v) for lm, y in STANDING.items() for v in (lm, float(y))))
+    rows = pose(spark, sf_dir).where(F.col("lm").isin(*STANDING))
+    y = F.element_at(place, F.col("lm")) + (F.col("y") - num(200) - num(50) * F.col("lm").cast("double")) * num(0.4)
+    return rows.withColumns({"x": num(960) + (F.col("x") - num(960)) * num(0.04), "y": F.when(F.col("frame") % 9 == 4, num(1000) - y).otherwise(y), "vis": F.col("vis")})
+
+
+#: Heights of nose, shoulders, hips, knees and ankles.
+STANDING = {0: 200, 11: 300, 12: 300, 23: 450, 24: 450, 25: 572, 26: 572, 27: 695, 28: 695}
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, batch, name, size_mb, fps, n_frames, width, height: customers as clips."""
+    k = F.col("c_custkey")
+    pick = lambda n, *v: F.element_at(F.array(*(F.lit(x) for x in v)), (k % n + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("clip_id"),
+        (k % 40).alias("batch"),
+        F.concat(F.lit("clip"), k.cast("string"), pick(7, ".mp4", ".MOV", ".avi", ".txt", "", ".webm", ".tar.m4v")).alias("name"),
+        ((k * 13) % 700).cast("double").alias("size_mb"),
+        pick(7, None, 24.0, 29.97, 30.0, 60.0, 120.0, 240.0).alias("fps"),
+        (10 + (k * 37) % 600).alias("n_frames"),
+        pick(5, 1920, 1280, 640, 1080, 3840).alias("width"),
+        pick(5, 1080, 720, 480, 1920, 2160).alias("height"),
+    )
+
+
+def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, frame, width, height, brightness: one to three frames for each row of series."""
+    s = series(spark, sf_dir).where("value is not null").withColumn("copies", (F.col("clip_id") % 3 + 1).cast("int"))
+    rows = s.select("clip_id", "frame", "value", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    k, frame = F.col("clip_id"), (F.col("frame") * 3 + F.col("copy") - 1).alias("frame")
+    small = (k % 5 == 0) | ((k % 5 == 1) & (F.col("frame") >= 30))
+    light = F.when(k % 4 == 0, F.col("value") / num(5)).when(k % 4 == 1, num(230) + F.col("value") / num(2)).otherwise(F.col("value") + num(60))
+    return rows.select("clip_id", frame, F.when(small, 640).otherwise(1920).alias("width"), F.when(small, 480).otherwise(1080).alias("height"), light.alias("brightness"))
+
+
+def ground_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The input of ground.detect: legs that take turns over the frames of series, with feet out of sight, double steps and missed ones."""
+    s = series(spark, sf_dir).select("clip_id", "frame", "value")
+    rows = s.select("*", F.explode(F.array(F.lit("L"), F.lit("R"))).alias("leg"))
+    k, f, right = F.col("clip_id"), F.col("frame").cast("double"), F.col("leg") == "R"
+    period = num(16) + num(3) * (k % 5).cast("double")
+    t = f / period + F.when(right, num(0.5) - num(0.12) * (k % 4).cast("double")).otherwise(num(0))
+    u = t - F.floor(t)
+    wave = num(4) * u * (num(1) - u)
+    known, jitter = F.col("value").isNotNull(), F.coalesce("value", num(0)) / num(40)
+    still = (k % 3 == 1) & right & (F.floor(t) % 4 == 2)  # a step that the leg's length does not show
+    blind = (k % 6 == 2) & (F.floor(F.col("frame") / 9) % 3 == 1)
+    lift = F.when((k % 4 == 3) & (F.floor(t) % 2 == 1), num(30)).otherwise(num(0))
+    seen = F.when(blind, num(0.2)).otherwise(num(0.6) + num(0.4) * u)
+    return rows.select(
+        "clip_id", "frame", "leg",
+        F.when(known, num(400) + F.when(still, num(5)).otherwise(num(70)) * wave + jitter).alias("comp"),
+        (num(0.45) + num(0.1) * (k % 3).cast("double") + num(0.1) * u).alias("hip_vis"), seen.alias("ankle_vis"),
+        F.when(known, num(200) + num(12) * f + num(60) * u).alias("ankle_x"), F.when(known, num(300) + num(9) * f).alias("hip_x"),
+        F.when(known, num(1700) + num(90) * wave - lift).alias("toe_y"), F.when(blind & right, num(0.1)).otherwise(seen).alias("toe_vis"),
+        (num(1690) + num(95) * wave - lift - jitter / num(4)).alias("heel_y"), F.when(blind, num(0.1)).otherwise(seen).alias("heel_vis"), (num(1650) + num(80) * wave).alias("ankle_y"),
+    )
+
+
+#: The tables in DuckDB's SQL, but standing and ground_frames.
 SQL = """
 series AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, event_type AS channel,
   CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events),
@@ -85,5 +147,10 @@ pose AS (SELECT clip_id, frame, lm, CASE WHEN v >= 5e-2 THEN 960e0 + 1000e0 * ex
 gait_u AS (SELECT clip_id, frame, leg, value, frame / (34e0 + 4e0 * (clip_id % 3)) + CASE leg WHEN 'R' THEN 5e-1 ELSE 0e0 END AS t FROM series CROSS JOIN (VALUES ('L'), ('R')) v(leg)),
 gait_w AS (SELECT clip_id, frame, leg, value, t - floor(t) AS u, 4e0 * (t - floor(t)) * (1e0 - (t - floor(t))) AS wave FROM gait_u),
 gait AS (SELECT clip_id, frame, leg, CASE WHEN value IS NOT NULL THEN 400e0 + 60e0 * wave + value / 1000e0 END AS comp,
-  CASE WHEN value IS NOT NULL THEN 300e0 + 9e0 * frame END AS hip_x, 900e0 + 20e0 * wave AS hip_y, 1700e0 + 80e0 * wave AS toe_y, 4e-1 + 6e-1 * u AS vis FROM gait_w)
+  CASE WHEN value IS NOT NULL THEN 300e0 + 9e0 * frame + value / 20e0 END AS hip_x, 900e0 + 20e0 * wave AS hip_y, 1700e0 + 80e0 * wave AS toe_y, 4e-1 + 6e-1 * u AS vis FROM gait_w),
+clips AS (SELECT c_custkey AS clip_id, c_custkey % 40 AS batch, 'clip' || c_custkey || ['.mp4', '.MOV', '.avi', '.txt', '', '.webm', '.tar.m4v'][c_custkey % 7 + 1] AS name, ((c_custkey * 13) % 700)::DOUBLE AS size_mb,
+  [NULL, 24e0, 2997e-2, 30e0, 60e0, 120e0, 240e0][c_custkey % 7 + 1] AS fps, 10 + (c_custkey * 37) % 600 AS n_frames, [1920, 1280, 640, 1080, 3840][c_custkey % 5 + 1] AS width, [1080, 720, 480, 1920, 2160][c_custkey % 5 + 1] AS height FROM customer),
+frame_stats_s AS (SELECT clip_id, frame AS source, value, unnest(range(clip_id % 3 + 1)) AS copy, clip_id % 5 = 0 OR (clip_id % 5 = 1 AND frame >= 30) AS small FROM series WHERE value IS NOT NULL),
+frame_stats AS (SELECT clip_id, source * 3 + copy AS frame, CASE WHEN small THEN 640 ELSE 1920 END AS width, CASE WHEN small THEN 480 ELSE 1080 END AS height,
+  CASE clip_id % 4 WHEN 0 THEN value / 5e0 WHEN 1 THEN 230e0 + value / 2e0 ELSE value + 60e0 END AS brightness FROM frame_stats_s)
 """
