@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -158,7 +159,12 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: s
     names = np.array([*langs, "und"], dtype=object)
 
     @F.pandas_udf("lang_pred string, score double, letters long")
-    def judge(text: pd.Series) -> pd.DataFrame:
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in texts:
+            yield judged(text)
+        _grams.__init__(_grams.limit)  # the worker may go on to other work
+
+    def judged(text: pd.Series) -> pd.DataFrame:
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])
         best, score, letters = [], [], []
         for part in slices(batch, "text", SLICE):

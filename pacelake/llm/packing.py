@@ -43,7 +43,7 @@ SHARD_PIECES = 512
 #: A shard of very short pieces grows until it fills so many windows.
 SHARD_WINDOWS = 8
 #: Words that a worker remembers, some 150 bytes each, and the letters of the longest of them.
-REMEMBERED, REMEMBERED_LETTERS = 400_000, 100
+REMEMBERED, REMEMBERED_LETTERS = 300_000, 100
 #: Words that are encoded in one call, with a bar between them; a word with a bar in it is encoded alone.
 TOGETHER, BAR = 1_000, "|"
 #: Calls that are made at once; their results take some 100 bytes a token.
@@ -165,6 +165,11 @@ class WordTokenizer:
             self.known.update(islice(new.items(), max(0, REMEMBERED - len(self.known))))
         return out
 
+    def forget(self) -> None:
+        """Give the memory of known words back; the worker may go on to other work."""
+        self.known = {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and where each text's ids start, with one more at the end; every text has the closing id."""
         words = split_words(texts)
@@ -221,7 +226,7 @@ def _tokenize(rows: DataFrame, tokenizer_path: str, window: int, with_ids: bool)
         order = [mix64(np.arange(tok.size, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(40) for s in (1, 2)]
         docs = rest_tokens = 0
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):  # the more text, the rarer a new word
+            for piece in slices(batch, "text", 3 << 20):  # the more text, the rarer a new word
                 ids, at = tok.encode(piece.column(1))
                 sizes = np.diff(at)
                 rest = sizes % window
@@ -245,6 +250,7 @@ def _tokenize(rows: DataFrame, tokenizer_path: str, window: int, with_ids: bool)
                         rest_tokens += int(rest[i])
                 docs += len(sizes)
                 yield _batch(lists)
+        tok.forget()
         yield _batch({"kind": [2], "doc_id": [None], "start": [docs], "length": [rest_tokens], "ids_crc32": [None], "doc_tokens": [None], "sequence_id": [None], "offset": [None], "sketch": [None], "ids": [df.astype("<i8").tobytes()]})
 
     return rows.mapInArrow(run, _TOKENS)
