@@ -123,7 +123,7 @@ def ground_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     wave = num(4) * u * (num(1) - u)
     known, jitter = F.col("value").isNotNull(), F.coalesce("value", num(0)) / num(40)
     still = (k % 3 == 1) & right & (F.floor(t) % 4 == 2)  # a step that the leg's length does not show
-    blind = (k % 6 == 2) & (F.floor(F.col("frame") / 9) % 3 == 1)
+    blind = ((k % 12 == 2) & (F.floor(F.col("frame") / 24) % 2 == 1)) | ((k % 12 == 8) & (F.floor(F.col("frame") / 9) % 3 == 1))
     lift = F.when((k % 4 == 3) & (F.floor(t) % 2 == 1), num(30)).otherwise(num(0))
     seen = F.when(blind, num(0.2)).otherwise(num(0.6) + num(0.4) * u)
     return rows.select(
