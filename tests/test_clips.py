@@ -6,11 +6,12 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oracle import DIR
 from pacelake.functions import windows as N
-from pacelake.operators import admission, body, clip, ground, metrics, network, smoothing
+from pacelake.operators import admission, body, clip, contacts, ground, metrics, network, smoothing
 from pacelake.plans import QUERIES
 from pacelake.plans.clip_queries import CHAIN
 from pacelake.sources import metadata
@@ -428,3 +429,134 @@ def test_admission_of_unknown_values(spark):
     r = admission.clip_check(c).first()
     assert r["accepted"] and r["warnings"] == [] and admission.rejected_clips(c).first()["reason"] == "unknown frame rate"
     assert admission.frame_quality(spark.createDataFrame([], "clip_id long, frame long, width int, height int, brightness double")).count() == 0
+
+
+# contacts in frames, by loops -------------------------------------------------------------------------
+
+
+def contacts_and_frames(spark):
+    frames = ground_frames(spark, DIR).withColumn("vis", F.least("hip_vis", "ankle_vis"))
+    return contacts.coarse_contacts(frames, 2160.0, 60.0), frames
+
+
+def test_toe_off_by_position_matches_loops(spark):
+    found, frames = contacts_and_frames(spark)
+    feet = frames.select("clip_id", "leg", "frame", "toe_y", ((F.col("toe_vis") >= 0.5) & F.col("toe_y").isNotNull()).alias("seen"))
+    toes = {(k, leg): g.sort_values("frame") for (k, leg), g in feet.toPandas().groupby(["clip_id", "leg"])}
+    n = 0
+    for r in contacts.toe_off_by_position(found, feet, 60.0, 15.0).collect():
+        g = toes[r["clip_id"], r["leg"]]
+        y, seen = g["toe_y"].tolist(), g["seen"].tolist()
+        a, b = r["frame"], min(r["frame"] + 15, len(y) - 1)
+        ok = [i for i in range(a, b + 1) if seen[i]]
+        want = None
+        if b > a + 2 and len(ok) >= 3:
+            target = max(y[i] for i in ok) - 15
+            k = max(i for i in ok if y[i] >= target)
+            after = [i for i in ok if i > k]
+            if k < b and after:
+                want = k + (target - y[k]) / (y[after[0]] - y[k])
+        assert r["position_toe_off"] == (want if want is None else pytest.approx(want))
+        n += want is not None
+    assert n > 5
+
+
+def test_missing_contacts_match_loops(spark):
+    found, frames = contacts_and_frames(spark)
+    w = Window.partitionBy("clip_id", "leg").orderBy("frame")
+    v = N.gradient(N.savgol5(N.interpolate(frames, ["clip_id", "leg"], "toe_y", "full"), ["clip_id", "leg"], "full", "s"), ["clip_id", "leg"], "s", "v")
+    feet = v.select("clip_id", "leg", "frame", "v", F.lag("v").over(w).alias("pv"), (F.col("toe_vis") >= 0.4).alias("seen"))
+    some = found.where("frame % 3 <> 0")
+    got = {tuple(r) for r in contacts.missing_contacts(some, feet, 11.0, 1.5).select("clip_id", "leg", "frame", F.round("contact_frame", 6)).collect()}
+    speeds = {k: g.sort_values("frame") for k, g in feet.toPandas().groupby(["clip_id", "leg"])}
+    want = set()
+    for k, g in some.toPandas().groupby("clip_id"):
+        rows = sorted(zip(g["frame"], g["leg"]))
+        for (f, leg), (nxt, _) in zip(rows, rows[1:]):
+            if nxt - f <= 16.5:
+                continue
+            for j in range(1, min(even((nxt - f) / 11.0) - 1, 3) + 1):
+                side = {"L": "R", "R": "L"}[leg] if j % 2 else leg
+                s, at = speeds[k, side], f + j * 11.0
+                near = s[(s["frame"] >= at - 8) & (s["frame"] <= at + 8)]
+                hits = near[(near["pv"] > 1.5) & (near["v"] <= 1.5)]
+                if near["seen"].sum() >= 3 and len(hits):
+                    h = hits.iloc[-1]
+                    ic = h["frame"] - 1 + (1.5 - h["pv"]) / (h["v"] - h["pv"])
+                    want.add((k, side, int(math.floor(ic)), round(ic, 6)))
+    assert len(got) > 5 and {x[:3] for x in got} == {x[:3] for x in want} and all(any(abs(a[3] - b[3]) < 1e-5 for b in want if a[:3] == b[:3]) for a in got)
+
+
+def test_strikes_match_loops(spark):
+    found, frames = contacts_and_frames(spark)
+    w = Window.partitionBy("clip_id", "leg").orderBy("frame")
+    delta, vis = F.col("heel_y") - F.col("toe_y"), F.least("heel_vis", "toe_vis")
+    feet = frames.select("clip_id", "leg", "frame", delta.alias("delta"), vis.alias("vis"), F.lag(delta).over(w).alias("pdelta"), F.lag(vis).over(w).alias("pvis"))
+    struck = contacts.strikes(found, feet, 4.0)
+    rows = {k: g.sort_values("frame") for k, g in feet.toPandas().groupby(["clip_id", "leg"])}
+    kinds, votes = set(), {}
+    for r in struck.collect():
+        g = rows[r["clip_id"], r["leg"]]
+        d, ok = g["delta"].tolist(), ((g["vis"] >= 0.5) & g["delta"].notna()).tolist()
+        c, last = r["frame"], len(d) - 1
+        turns = any(ok[i] and ok[i - 1] and d[i - 1] > 0 and d[i] < -4 for i in range(max(1, c - 4), min(last, c + 1) + 1))
+        near = range(max(0, c - 1), min(last, c + 1) + 1)
+        mean = np.mean([d[i] for i in near]) if all(ok[i] for i in near) else None
+        want = "forefoot" if turns else "unknown" if mean is None else "heel" if mean > 4 else "forefoot" if mean < -4 else "unknown"
+        assert r["strike"] == want
+        kinds.add(want)
+        votes.setdefault(r["clip_id"], []).append(want)
+    assert len(kinds) >= 2
+    pace, shoe = F.when(F.col("clip_id") % 2 == 0, " 800M ").otherwise("easy"), F.when(F.col("clip_id") % 3 == 0, "track_spike").when(F.col("clip_id") % 3 == 1, "neutral")
+    for r in contacts.clip_strike(struck, pace, shoe).collect():
+        k, v = r["clip_id"], votes[r["clip_id"]]
+        three = ["forefoot" if k % 2 == 0 else "heel", ["forefoot", "heel", "neutral"][k % 3], "forefoot" if v.count("forefoot") > v.count("heel") else "heel" if v.count("heel") > v.count("forefoot") else "unknown"]
+        f, h, n = three.count("forefoot"), three.count("heel"), 3 - three.count("neutral")
+        assert [r["speed_signal"], r["shoe_signal"], r["vote_signal"]] == three
+        assert r["decision"] == ("forefoot" if f > h else "heel" if h > f else "unknown")
+        assert r["confidence"] == ("none" if n == 0 else "strong" if max(f, h) == n else "moderate" if max(f, h) >= 2 else "weak")
+
+
+def test_calibration_matches_loops(spark):
+    p = pose(spark, DIR)
+    # lengths within the gates, seen well, ill, or hardly by clip
+    k = F.col("clip_id")
+    p = p.withColumns({"y": F.col("y") * 0.4, "x": F.lit(900.0) + (F.col("x") - 960) * 0.2, "vis": F.when(k % 3 == 0, F.col("vis")).when(k % 3 == 1, F.col("vis") * 0.45).otherwise(F.col("vis") * 0.2)})
+    sides = body.near_sides(p)
+    got = {r["clip_id"]: r for r in body.calibration(body.measured_segments(p, sides), sides, 175.0, 2.5).collect()}
+    near = {r["clip_id"]: r for r in sides.collect()}
+    tried = set()
+    for c, g in p.toPandas().groupby("clip_id"):
+        at = {(r.frame, r.lm): r for r in g.itertuples()}
+        i = 0 if near[c]["calibration_side"] == "L" else 1
+        spec = {"shank": (body.ANKLE[i], body.KNEE[i], 30, 500, 1.0), "thigh": (body.KNEE[i], body.HIP[i], 30, 500, 1.0), "torso": (body.HIP[i], body.SHOULDER[i], 30, 600, 1.0), "ear": (body.SHOULDER[i], body.EAR[i], 10, 200, 0.8)}
+        best = None
+        for step, (vis, least) in enumerate(body.LADDER):
+            med, counts = {}, []
+            for name, (a, b, lo, hi, share) in spec.items():
+                v = []
+                for f in g["frame"].unique():
+                    q, r = at[f, a], at[f, b]
+                    n = math.dist((q.x, q.y), (r.x, r.y)) if not (pd.isna(q.x) or pd.isna(r.x)) else None
+                    if n is not None and q.vis >= vis and r.vis >= vis * share and lo < n < hi:
+                        v.append(n)
+                counts.append(len(v))
+                med[name] = np.median(v) if len(v) >= least else None
+            if all(m is not None for m in med.values()):
+                best = (step, med, min(counts))
+                break
+        r = got[c]
+        if best is None:
+            assert r["tried"] is None and r["confidence"] is None and r["leg_cm"] is None
+            tried.add(None)
+            continue
+        step, m, n = best
+        tried.add(step)
+        head, bare = m["ear"] * 1.4, m["shank"] * 0.2
+        foot = bare + 2.5 * (m["shank"] + m["thigh"] + m["torso"] + head + bare) / 172.5
+        total = m["shank"] + m["thigh"] + m["torso"] + head + foot
+        off = [s for s, v in {"foot": foot, "shank": m["shank"], "thigh": m["thigh"], "torso": m["torso"], "head": head}.items() if not body.PROPORTIONS[s][0] <= v / total <= body.PROPORTIONS[s][1]]
+        trust = min(1, n / 50) * max(0.5, 1 - len(off) * 0.15) * min(1, near[c]["confidence"] / 0.6)
+        assert r["tried"] == step and r["height_px"] == pytest.approx(total) and r["pixels_per_cm"] == pytest.approx(total / 175)
+        assert r["confidence"] == pytest.approx(trust) and r["warnings"] == "+".join(off) and r["leg_cm"] == pytest.approx((foot + m["shank"] + m["thigh"]) / (total / 175))
+    assert len(tried) >= 2
