@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, html_text, language_id, minhash_dedup, packing, secret_scan, substring_dedup
+from . import bpe, chat_format, embedding_dedup, exact_dedup, html_text, language_id, merkle, minhash_dedup, packing, secret_scan, substring_dedup
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_substring_dedup,
         op10_byte_bpe,
+        op13_merkle_manifest,
     )
 }
 
@@ -77,4 +82,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
