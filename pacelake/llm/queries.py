@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, html_text, language_id, merkle, minhash_dedup, packing, secret_scan, substring_dedup, turn_repair
+from . import best_fit, bpe, chat_format, embedding_dedup, exact_dedup, html_text, language_id, merkle, minhash_dedup, packing, secret_scan, substring_dedup, turn_repair
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_substring_dedup,
         op10_byte_bpe,
+        op11_best_fit,
         op12_turn_repair,
         op13_merkle_manifest,
     )
