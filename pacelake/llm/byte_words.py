@@ -68,7 +68,9 @@ class ByteWords:
 
     def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All words in order, and where each text's begin, with one more at the end."""
-        odd = pc.or_(pc.match_substring_regex(texts, self.added.pattern), pc.match_substring(texts, CUT))
+        odd = pc.match_substring(texts, CUT)
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
         marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), f"([{WHITE}][^{WHITE}])", f"{CUT}\\1")
         lists = pc.split_pattern(marked, CUT)
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
@@ -88,10 +90,11 @@ class ByteWords:
         """Little-endian 32-bit ids of each word."""
         out: dict[str, bytes] = {}
         plain, special, tokenize, shown = PLAIN.fullmatch, self.added.fullmatch, self.tokenizer.model.tokenize, self.shown
+        space = shown[0x20]
         rest: list[str] = []
         for w in words:
             if plain(w):
-                ids = [t.id for t in tokenize(w.translate(shown))]
+                ids = [t.id for t in tokenize((space + w[1:] if w[0] == " " else w) if w.isascii() else w.translate(shown))]
                 out[w] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 rest.append(w)
@@ -128,7 +131,7 @@ class ByteWords:
         whole = pc.is_in(distinct, value_set=pa.array(self.special, distinct.type))
         bare = pc.if_else(pc.and_not(pc.match_substring_regex(bare, ENDS_WORD), whole), bare, distinct)
         first, rest = bare.dictionary_encode(), _behind(distinct, bare).dictionary_encode()
-        both = self.remembered(first.dictionary.to_pylist() + rest.dictionary.to_pylist())
+        both = self.remembered(_strings(first.dictionary) + _strings(rest.dictionary))
         size = np.fromiter(map(len, both), np.int64, len(both)) // 4
         blob = np.frombuffer(b"".join([*both, np.uint32(closing).tobytes()]), "<u4")
         start = np.cumsum(size) - size
@@ -148,6 +151,10 @@ class ByteWords:
         pa.default_memory_pool().release_unused()
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _behind(words: pa.Array, heads: pa.Array) -> pa.Array:
     """What follows each head in its word."""
     cut = pc.binary_length(heads).to_numpy(zero_copy_only=False)
