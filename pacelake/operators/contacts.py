@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import num
 from ..functions.windows import down_crossings, gaussian, gradient, greedy_min_gap, interpolate, let
+from .intervals import in_cells
 
 LEG = ["clip_id", "leg"]
 #: Fixed word lists of the strike votes.
@@ -57,11 +58,15 @@ def numbered(contacts: DataFrame) -> DataFrame:
     return contacts.withColumn("contact_no", F.row_number().over(W.partitionBy("clip_id").orderBy("frame", "leg")))
 
 
+#: Frames of a cell, about as many as a contact's window has.
+CELL = 16
+
+
 def near_frames(contacts: DataFrame, frames: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Each contact with the frames of its leg from low to high: a range join inside the clip."""
-    f = frames.withColumnRenamed("frame", "t")
-    c = contacts.withColumnsRenamed({k: k + "_c" for k in LEG})
-    return c.join(f, (c.clip_id_c == f.clip_id) & (c.leg_c == f.leg) & f.t.between(low, high)).drop("clip_id_c", "leg_c")
+    """Each contact with the frames of its leg from low to high: an equality join on the cells that its window touches; a frame lies in one cell."""
+    f = frames.withColumnRenamed("frame", "t").withColumn("cell_", F.floor(F.col("t") / CELL).cast("bigint"))
+    c = in_cells(contacts.withColumns({"low_": low, "high_": high}), F.col("low_"), F.col("high_"), CELL)
+    return c.join(f, [*LEG, "cell_"]).where(F.col("t").between(F.col("low_"), F.col("high_"))).drop("cell_", "low_", "high_")
 
 
 def falls(speeds: DataFrame, **thresholds: float) -> DataFrame:
