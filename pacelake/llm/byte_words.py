@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from .packing import byte_letters
 
 #: Words that a worker remembers, some 150 bytes each, and the letters of the longest of them.
-REMEMBERED, REMEMBERED_LETTERS = 400_000, 100
+REMEMBERED, REMEMBERED_LETTERS = 300_000, 100
 #: Words that are encoded as one text, with the tokenizer's own special token between them, and such texts that are encoded at once.
 TOGETHER, CALLS = 1_000, 8
 #: White space of the pattern, as the inside of a class.
@@ -168,4 +168,8 @@ def _behind(words: pa.Array, heads: pa.Array) -> pa.Array:
 def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of values that begin at starts and have sizes, one after the other, and where each ends."""
     ends = np.cumsum(sizes)
-    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64  # half the memory
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return values[at], ends
