@@ -372,3 +372,28 @@ def test_stages_on_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs.limit(0), "")
         assert out.count() == 0 and (name == "packed" or out.columns == docs.columns)
+
+
+def test_secrets_of_a_text_of_many_matches_take_time_in_proportion(spark):
+    def seconds(n):
+        text = " ".join(f"{'0123456789abcdef' * 2}{i:06d} key{i}=x" if i % 3 else f"token = 'abc{i:08d}' é" for i in range(n))
+        docs = spark.createDataFrame([(1, text, None, "s", None)], DOC)
+        best = []
+        for _ in range(2):
+            began = time.time()
+            got = secret_scan.secret_report(docs).first()
+            clean = secret_scan.redact(docs).first()["text"]
+            best.append(time.time() - began)
+        hits = [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]{24,}", text)]
+        hits += [(m.start(), 0, m.end()) for m in re.finditer(r"token\x20*=\x20*'[a-z0-9]+", text)]
+        assert got["spans"] == ",".join(f"{['assign', 'access', 'hex'][k]}:{a}:{b}" for a, k, b in sorted(hits))
+        cut, at = [], 0
+        for a, _, b in sorted(hits):
+            cut.append(text[at:a])
+            at = b
+        assert clean == "[SECRET]".join([*cut, text[at:]])
+        return min(best)
+
+    seconds(100)
+    few, many = seconds(20_000), seconds(40_000)
+    assert many < 3 * few + 1 and many < 12
