@@ -1,6 +1,6 @@
-"""Sequence operators that need a whole sequence at once: Kalman smoothing, spline gaps, candidate tracks.
+"""Sequence operators that need a whole sequence at once: Kalman smoothing as folds over an array, and spline gaps, which Spark deals to tasks by sequence.
 
-Spark deals the sequences to tasks; each group is one clip (and landmark), small by nature.
+A sequence is a clip's (of a landmark and an axis), some hundred frames by nature.
 """
 
 from __future__ import annotations
@@ -10,49 +10,68 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import num
+from ..functions.windows import let
 
-def kalman_rts(y: np.ndarray, q_pos: float = 0.1, q_vel: float = 2.8, r: float = 25.0) -> np.ndarray:
-    """Constant-velocity Kalman filter and Rauch-Tung-Striebel smoother of one series; NaN is missing. All NaN with under two values."""
-    out = np.full(len(y), np.nan)
-    known = np.flatnonzero(np.isfinite(y))
-    if len(known) < 2:
-        return out
-    t0 = int(known[0])
-    f, q = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([q_pos, q_vel])
-    x, p = np.array([y[t0], 0.0]), np.diag([r, 10 * q_vel])
-    states, covs, ahead = [x], [p], [p]
-    for v in y[t0 + 1 :]:
-        x, p = f @ x, f @ p @ f.T + q
-        ahead.append(p)
-        if np.isfinite(v):
-            gain = p[:, 0] / (p[0, 0] + r)
-            x = x + gain * (v - x[0])
-            p = p - np.outer(gain, p[0])
-        states.append(x)
-        covs.append(p)
-    smooth = [states[-1]]
-    for k in range(len(states) - 2, -1, -1):
-        g = covs[k] @ f.T @ np.linalg.inv(ahead[k + 1])
-        smooth.append(states[k] + g @ (smooth[-1] - f @ states[k]))
-    out[t0:] = [s[0] for s in reversed(smooth)]
-    return out
 
+_STATE = "struct<x: double, v: double, a: double, b: double, c: double, px: double, pv: double, pa: double, pb: double, pc: double>"
 
-def replace_outliers(df: DataFrame, by: list[str], value: str, limit: float = 15.0) -> DataFrame:
-    """by, frame, value, smoothed, flagged, out: a value over limit from its smoothed one is replaced by it."""
-    schema = df.select(*by, "frame").schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", value double, smoothed double, flagged boolean, out double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        y = pdf[value].to_numpy(dtype=float, na_value=np.nan)
-        s = kalman_rts(y)
-        with np.errstate(invalid="ignore"):
-            far = np.abs(y - s) > limit
-        return pdf[[*by, "frame"]].assign(value=y, smoothed=s, flagged=far, out=np.where(far, s, y))
+def smoothed(y: Column, q_pos: float = 0.1, q_vel: float = 2.8, r: float = 25.0) -> Column:
+    """Constant-velocity Kalman filter and Rauch-Tung-Striebel smoother of an array of doubles (NULL is missing): two folds, forward and back.
+
+    NULL before the first known value, and everywhere with under two. A state has place and speed x, v with the covariance a, b, c (xx, xv, vv), and what was predicted of them."""
+    fields = ("x", "v", "a", "b", "c", "px", "pv", "pa", "pb", "pc")
+    state = lambda *values: F.struct(*(x.alias(k) for x, k in zip(values, fields))).cast(_STATE)
+    none = F.array().cast(f"array<{_STATE}>")
+    hollow = F.lit(None).cast(_STATE)
+
+    def predict(s: Column) -> Column:
+        return F.struct((s["x"] + s["v"]).alias("x"), s["v"].alias("v"), (s["a"] + num(2) * s["b"] + s["c"] + num(q_pos)).alias("a"), (s["b"] + s["c"]).alias("b"), (s["c"] + num(q_vel)).alias("c"))
+
+    def update(p: Column, seen: Column) -> Column:
+        gain = F.struct((p["a"] / (p["a"] + num(r))).alias("x"), (p["b"] / (p["a"] + num(r))).alias("v"), (seen - p["x"]).alias("off"))
+        of = lambda g: state(p["x"] + g["x"] * g["off"], p["v"] + g["v"] * g["off"], p["a"] - g["x"] * p["a"], p["b"] - g["x"] * p["b"], p["c"] - g["v"] * p["b"], *(p[k] for k in ("x", "v", "a", "b", "c")))
+        return F.when(seen.isNotNull(), let(gain, of)).otherwise(state(*(p[k] for k in ("x", "v", "a", "b", "c")), *(p[k] for k in ("x", "v", "a", "b", "c"))))
+
+    def forward(s: Column, seen: Column) -> Column:
+        now = F.element_at(s, -1)
+        first = state(seen, num(0), num(r), num(0), num(10 * q_vel), *[num(0)] * 5)
+        begun = (F.size(s) > 0) & now.isNotNull()
+        return F.array_append(s, F.when(F.coalesce(begun, F.lit(False)), let(predict(now), lambda p: update(p, seen))).when(seen.isNotNull(), first).otherwise(hollow))
+
+    def backward(s: Column, own: Column) -> Column:
+        """s: smoothed place and speed of the frame behind, its prediction, and the places so far, last first."""
+        det = s["pa"] * s["pc"] - s["pb"] * s["pb"]
+        m = F.struct(*(x.alias(k) for x, k in ((own["a"] + own["b"], "m11"), (own["b"], "m12"), (own["b"] + own["c"], "m21"), (own["c"], "m22"), (det, "det"), (s["x"] - s["px"], "dx"), (s["v"] - s["pv"], "dv"))))
+
+        def back(g: Column) -> Column:
+            x = own["x"] + ((g["m11"] * s["pc"] - g["m12"] * s["pb"]) * g["dx"] + (g["m12"] * s["pa"] - g["m11"] * s["pb"]) * g["dv"]) / g["det"]
+            v = own["v"] + ((g["m21"] * s["pc"] - g["m22"] * s["pb"]) * g["dx"] + (g["m22"] * s["pa"] - g["m21"] * s["pb"]) * g["dv"]) / g["det"]
+            return F.struct(x.alias("x"), v.alias("v"))
+
+        made = F.when(s["px"].isNull(), F.struct(own["x"].alias("x"), own["v"].alias("v"))).otherwise(let(m, back))
+        ahead = (own["px"], own["pv"], own["pa"], own["pb"], own["pc"])
+        step = lambda g: F.struct(g["x"].alias("x"), g["v"].alias("v"), *(x.alias(k) for x, k in zip(ahead, fields[5:])), F.array_append(s["out"], g["x"]).alias("out")).cast(_BACK)
+        return F.when(own.isNull(), F.struct(*(s[k].alias(k) for k in ("x", "v", *fields[5:])), F.array_append(s["out"], F.lit(None).cast("double")).alias("out")).cast(_BACK)).otherwise(let(made, step))
+
+    start = F.struct(*(F.lit(None).cast("double").alias(k) for k in ("x", "v", *fields[5:])), F.array().cast("array<double>").alias("out")).cast(_BACK)
+    enough = F.size(F.filter(y, lambda x: x.isNotNull())) >= 2
+    made = let(F.aggregate(y, none, forward), lambda f: F.aggregate(F.reverse(f), start, backward, lambda s: F.reverse(s["out"])))
+    return F.when(enough, made).otherwise(F.transform(y, lambda _: F.lit(None).cast("double")))
+
 
-    out = df.select(*by, "frame", value).groupBy(*by).applyInPandas(run, fields)
-    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("value", "smoothed", "out")})
+_BACK = "struct<x: double, v: double, px: double, pv: double, pa: double, pb: double, pc: double, out: array<double>>"
+
+
+def replace_outliers(df: DataFrame, by: list[str], value: str, limit: float = 15.0) -> DataFrame:
+    """by, frame, value, smoothed, flagged, out: a value over limit from its smoothed one is replaced by it."""
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("frame", known.alias("value")))).alias("f"))
+    rows = rows.withColumn("s", smoothed(F.transform("f", lambda x: x["value"])))
+    rows = rows.select(*by, F.inline(F.zip_with("f", "s", lambda x, s: F.struct(x["frame"].alias("frame"), x["value"].alias("value"), s.alias("smoothed")))))
+    far = F.coalesce(F.abs(F.col("value") - F.col("smoothed")) > limit, F.lit(False))
+    return rows.withColumn("flagged", far).withColumn("out", F.when(F.col("flagged"), F.col("smoothed")).otherwise(F.col("value")))
 
 
 def pchip_slopes(t: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -125,45 +144,3 @@ def fill_gaps(df: DataFrame, by: list[str], value: str, vis: str, method: str =
         return pdf[[*by, "frame"]].assign(out=out, filled=filled)
 
     return df.select(*by, "frame", value, vis).groupBy(*by).applyInPandas(run, fields).withColumn("out", F.nanvl("out", F.lit(None).cast("double")))
-
-
-def composite_gain(speed: Column, vis: Column, area: Column, weights: tuple[float, float, float], speed_scale: float, area_scale: float) -> Column:
-    """Worth of a candidate: the weighted sum of its speed and area (each as a share of its scale, at most 1) and its visibility; missing parts count nothing."""
-    part = lambda v, scale: F.coalesce(F.least(F.lit(1.0), v / F.lit(float(scale))), F.lit(0.0))
-    return F.lit(float(weights[0])) * part(speed, speed_scale) + F.lit(float(weights[1])) * F.coalesce(vis, F.lit(0.0)) + F.lit(float(weights[2])) * part(area, area_scale)
-
-
-def track_and_rest(candidates: DataFrame, max_gap: int, low: float, high: float) -> tuple[DataFrame, DataFrame]:
-    """The candidates of longest_track, and the frames (clip_id, frame) of which none is in it."""
-    track = longest_track(candidates, max_gap, low, high)
-    inside = candidates.join(track, ["clip_id", "frame", "cand"], "left_semi")
-    return inside, candidates.select("clip_id", "frame").distinct().join(track, ["clip_id", "frame"], "left_anti")
-
-
-def longest_track(candidates: DataFrame, max_gap: int, low: float, high: float) -> DataFrame:
-    """clip_id, frame, cand of the longest chain of candidates whose speed between links lies in [low, high]; first of equals.
-
-    candidates: clip_id, frame, cand, x, gain. A chain's worth is the sum of its gains."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "cand"]).reset_index(drop=True)
-        t, x, gain = pdf["frame"].to_numpy(), pdf["x"].to_numpy(dtype=float, na_value=np.nan), pdf["gain"].to_numpy(dtype=float)
-        best, back = gain.copy(), np.full(len(t), -1)
-        first = np.searchsorted(t, t - max_gap)
-        for i in range(len(t)):
-            j = np.arange(first[i], np.searchsorted(t, t[i]))
-            if len(j):
-                speed = np.abs(x[i] - x[j]) / (t[i] - t[j])
-                j = j[(speed >= low) & (speed <= high)]
-                if len(j):
-                    k = j[np.argmax(best[j])]
-                    best[i], back[i] = best[k] + gain[i], k
-        keep = []
-        at = int(np.argmax(np.where(np.isfinite(x), best, -np.inf))) if len(t) else -1
-        while at >= 0:
-            keep.append(at)
-            at = int(back[at])
-        return pdf.loc[sorted(keep), ["clip_id", "frame", "cand"]]
-
-    kind = {f.name: f.dataType.simpleString() for f in candidates.schema}
-    return candidates.groupBy("clip_id").applyInPandas(run, ", ".join(f"{c} {kind[c]}" for c in ("clip_id", "frame", "cand")))

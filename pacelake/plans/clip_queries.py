@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import windows as N
 from ..functions.scalar import num
-from ..operators import admission, body, clip, ground, network, smoothing
+from ..operators import admission, body, clip, ground, network, tracks
 from ..sources import metadata
 from ..sources.tables import FPS, HEIGHT_PX, clips, frame_stats, ground_frames, pose, series, table
-from .gait_queries import SIDES, _flat_metrics, FLAT
+from .gait_queries import SIDES, _flat_metrics, FLAT, candidates
 from .registry import query, rounded
 
 CHAIN = ground.Chain(fps=FPS, height=HEIGHT_PX, toe_off="by_strike", strike="heel", velocity=5.0, leg_m=0.9, insert=True, gate=0.009)
@@ -295,11 +295,7 @@ def w17_gaps_of_places(spark, sf_dir):
 
 @query()
 def j13_n5_frames_off_the_track(spark, sf_dir):
-    e = series(spark, sf_dir)
-    speed, area = F.col("value") / num(50), F.col("value") * num(3)
-    gain = smoothing.composite_gain(speed, F.lit(0.8), area, (0.5, 0.3, 0.2), 10.0, 1000.0)
-    cand = e.select("clip_id", (F.floor(F.col("frame") / 2)).alias("frame"), (F.col("frame") % 2).cast("int").alias("cand"), F.col("value").alias("x"), gain.alias("gain"))
-    return smoothing.track_and_rest(cand, 3, 0.0, 60.0)[1]
+    return tracks.track_and_rest(candidates(spark, sf_dir), tracks.Band(0.0, 60.0, 3, 0.3), tracks.composite_gain((0.5, 0.3, 0.2)))[1]
 
 
 # reports --------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import windows as N
 from ..functions.scalar import num
-from ..operators import body, contacts, metrics, smoothing
+from ..operators import body, contacts, metrics, smoothing, tracks
 from ..sources.tables import FPS, HEIGHT_PX, STANDING, gait, pose, series, standing, table
 from .registry import query, rounded
 
@@ -177,9 +177,19 @@ def n4_kalman_outliers(spark, sf_dir):
 
 @query()
 def n5_j11_j13_longest_track(spark, sf_dir):
-    e = series(spark, sf_dir)
-    cand = e.select("clip_id", (F.floor(F.col("frame") / 2)).alias("frame"), (F.col("frame") % 2).cast("int").alias("cand"), F.col("value").alias("x"), num(1).alias("gain"))
-    return smoothing.longest_track(cand, 3, 0.0, 60.0)
+    return tracks.longest_track(candidates(spark, sf_dir), tracks.Band(0.0, 60.0, 3, 0.3)).select("clip_id", "frame", "cand")
+
+
+def candidates(spark, sf_dir):
+    """Two candidates a frame, from neighbouring frames of series."""
+    k = F.col("frame")
+    e = series(spark, sf_dir).select("clip_id", F.floor(k / 2).alias("frame"), (k % 2).cast("int").alias("cand"), F.col("value").alias("x"), (num(0.2) + (k % 9).cast("double") / num(10)).alias("vis"), (num(100) + F.coalesce("value", num(0)) * num(3)).alias("area"))
+    return e
+
+
+@query()
+def n5_composite_selection(spark, sf_dir):
+    return rounded(tracks.selection(candidates(spark, sf_dir), tracks.Band(5.0, 60.0, 3, 0.3), "composite", (0.5, 0.3, 0.2)))
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from oracle import DIR
 from pacelake.functions import windows as N
-from pacelake.operators import admission, body, clip, contacts, ground, metrics, network, smoothing
+from pacelake.operators import admission, body, clip, contacts, ground, metrics, network, tracks
 from pacelake.plans import QUERIES
 from pacelake.plans.clip_queries import CHAIN
 from pacelake.sources import metadata
@@ -365,21 +365,62 @@ def test_gaps_of_places_match_loops(spark):
     assert kinds == {True, False}
 
 
-def test_track_is_the_best_chain(spark):
+@pytest.mark.parametrize("method,weights", [("velocity", None), ("composite", (0.5, 0.3, 0.2)), ("composite", (2.0, 0.0, 0.1))])
+def test_track_is_the_best_chain(spark, method, weights):
     rng = np.random.default_rng(1)
-    rows = [(k, t, c, float(rng.integers(0, 60)), float(rng.integers(1, 4))) for k in range(6) for t in range(6) for c in range(2)]
-    df = spark.createDataFrame(rows, "clip_id long, frame long, cand int, x double, gain double")
-    inside, off = smoothing.track_and_rest(df, 2, 2.0, 15.0)
-    worth = {r["clip_id"]: r["g"] for r in inside.groupBy("clip_id").agg(F.sum("gain").alias("g")).collect()}
-    for k in range(6):
-        mine = [r for r in rows if r[0] == k]
-
-        def best(i, mine=mine):
-            a = mine[i]
-            return a[4] + max((best(j) for j, b in enumerate(mine) if 0 < b[1] - a[1] <= 2 and 2 <= abs(b[3] - a[3]) / (b[1] - a[1]) <= 15), default=0)
-
-        assert worth[k] == max(best(i) for i in range(len(mine)))
-    assert off.count() + inside.select("clip_id", "frame").distinct().count() == 36
+    rows = [(k, t, c, None if rng.random() < 0.1 else float(rng.integers(0, 60)), float(rng.integers(0, 10)) / 10, float(rng.integers(1, 9))) for k in range(8) for t in range(9) for c in range(2)]
+    rows += [(20, t, 0, 500.0 * t, 0.9, 1.0) for t in range(4)] + [(21, 0, 0, 1.0, 0.9, 1.0)]  # no edge at all, and one candidate
+    rows += [(22, t, c, 10.0 * t, 0.5, 2.0) for t in range(5) for c in range(2)]  # every choice is as good
+    df = spark.createDataFrame(rows, "clip_id long, frame long, cand int, x double, vis double, area double")
+    band = tracks.Band(2.0, 15.0, 2, 0.2)
+    got = {(r["clip_id"], r["frame"]): r for r in tracks.selection(df, band, method, weights).collect()}
+    assert len(got) == len({r[:2] for r in rows})
+    reasons = set()
+    for k in sorted({r[0] for r in rows}):
+        mine = sorted(r[1:] for r in rows if r[0] == k)
+        ok = [n for n in mine if n[2] is not None and n[3] >= 0.2]
+        most = max(n[4] for n in mine)
+
+        def gain(a, b):
+            speed = abs(b[2] - a[2]) / (b[0] - a[0])
+            if weights is None:
+                return 1.0
+            return weights[0] * min(1.0, max(0.0, 1 - abs(speed - 8.5) / 6.5)) + weights[1] * b[3] + weights[2] * (b[4] / most)
+
+        def chains(b, ok=ok):
+            """All chains that end at b, with their worth."""
+            yield 1.0, [b]
+            for a in ok:
+                if 0 < b[0] - a[0] <= 2 and 2 <= abs(b[2] - a[2]) / (b[0] - a[0]) <= 15:
+                    for worth, path in chains(a):
+                        yield worth + gain(a, b), [*path, b]
+
+        all_ = [x for b in ok for x in chains(b)]
+        best = max((w for w, _ in all_), default=0.0)
+        chosen = [got[k, t] for t in sorted({n[0] for n in mine}) if got[k, t]["cand"] is not None]
+        if best <= 1.0:
+            assert not chosen and {got[k, n[0]]["reason"] for n in mine} == {"no_valid_track"}
+            reasons.add("no_valid_track")
+            continue
+        path = [next(n for n in ok if n[:2] == (r["frame"], r["cand"])) for r in chosen]
+        assert 1.0 + sum(gain(a, b) for a, b in zip(path, path[1:])) == pytest.approx(best)
+        assert sum(r["score"] for r in chosen) == pytest.approx(best)
+        ends = min(p[-1][:2] for w, p in all_ if w == pytest.approx(best))
+        if k == 22:
+            assert [n[1] for n in path] == [0] * 5 and path[-1][:2] == ends
+        for i, r in enumerate(chosen):
+            assert r["reason"] == ("on_track" if i else "track_start")
+            assert (r["speed"] is None) == (i == 0) and (i == 0 or r["speed"] == pytest.approx(abs(path[i][2] - path[i - 1][2]) / (path[i][0] - path[i - 1][0])))
+        for t in {n[0] for n in mine} - {r["frame"] for r in chosen}:
+            r, own = got[k, t], [n for n in mine if n[0] == t]
+            n = sum(x[3] >= 0.2 for x in own)
+            assert (r["reason"], r["n_eligible"], r["score"]) == ("off_track", n, 0.0)
+            assert (r["vis"], r["area"]) == ((max(x[3] for x in own), max(x[4] for x in own)) if n else (0.0, 0.0))
+            reasons.add("off_track")
+    assert reasons == {"off_track", "no_valid_track"}
+    inside, off = tracks.track_and_rest(df, band, tracks.SELECTORS[method](weights))
+    assert {(r["clip_id"], r["frame"]) for r in inside.collect()} == {k for k, r in got.items() if r["cand"] is not None}
+    assert off.count() + inside.count() == len(got)
 
 
 def test_sensors_of_one_length(spark):

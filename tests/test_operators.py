@@ -65,10 +65,61 @@ def test_pchip_does_not_overshoot():
         assert (s <= np.maximum(y[k], y[k + 1]) + 1e-9).all() and (s >= np.minimum(y[k], y[k + 1]) - 1e-9).all()
 
 
-def test_kalman_follows_a_line_and_flags_a_leap():
+def kalman_rts(y: np.ndarray, q_pos: float = 0.1, q_vel: float = 2.8, r: float = 25.0) -> np.ndarray:
+    """Constant-velocity Kalman filter and Rauch-Tung-Striebel smoother of one series; NaN is missing. All NaN with under two values."""
+    out = np.full(len(y), np.nan)
+    known = np.flatnonzero(np.isfinite(y))
+    if len(known) < 2:
+        return out
+    t0 = int(known[0])
+    f, q = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([q_pos, q_vel])
+    x, p = np.array([y[t0], 0.0]), np.diag([r, 10 * q_vel])
+    states, covs, ahead = [x], [p], [p]
+    for v in y[t0 + 1 :]:
+        x, p = f @ x, f @ p @ f.T + q
+        ahead.append(p)
+        if np.isfinite(v):
+            gain = p[:, 0] / (p[0, 0] + r)
+            x = x + gain * (v - x[0])
+            p = p - np.outer(gain, p[0])
+        states.append(x)
+        covs.append(p)
+    smooth = [states[-1]]
+    for k in range(len(states) - 2, -1, -1):
+        g = covs[k] @ f.T @ np.linalg.inv(ahead[k + 1])
+        smooth.append(states[k] + g @ (smooth[-1] - f @ states[k]))
+    out[t0:] = [s[0] for s in reversed(smooth)]
+    return out
+
+
+def smooth_rows(spark, y):
+    df = spark.createDataFrame([(1, i, None if np.isnan(v) else float(v)) for i, v in enumerate(y)], "clip_id long, frame long, v double")
+    rows = smoothing.replace_outliers(df, ["clip_id"], "v", 15.0).orderBy("frame").collect()
+    return np.array([np.nan if r["smoothed"] is None else r["smoothed"] for r in rows]), [r["flagged"] for r in rows], [r["out"] for r in rows]
+
+
+def test_kalman_follows_a_line_and_flags_a_leap(spark):
     y = np.arange(40, dtype=float) * 5
-    np.testing.assert_allclose(smoothing.kalman_rts(y)[5:-5], y[5:-5], atol=1.5)
-    assert np.isnan(smoothing.kalman_rts(np.array([np.nan, 1.0, np.nan]))).all()
+    np.testing.assert_allclose(smooth_rows(spark, y)[0][5:-5], y[5:-5], atol=1.5)
+    assert np.isnan(smooth_rows(spark, np.array([np.nan, 1.0, np.nan]))[0]).all()
+    leap = y.copy()
+    leap[20] += 200
+    s, flagged, out = smooth_rows(spark, leap)
+    assert flagged[20] and out[20] == pytest.approx(s[20])
+
+
+def test_kalman_folds_are_the_matrix_recursion(spark):
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 17, 80):
+        y = np.cumsum(rng.normal(size=n) * 9)
+        y[rng.random(n) < 0.3] = np.nan
+        if n > 3:
+            y[:2] = np.nan
+        s, flagged, _ = smooth_rows(spark, y)
+        want = kalman_rts(y)
+        np.testing.assert_allclose(s, want, atol=1e-6)
+        with np.errstate(invalid="ignore"):
+            assert flagged == (np.abs(y - want) > 15.0).tolist()
 
 
 def test_peaks_suppress_from_the_highest(spark):
