@@ -108,7 +108,7 @@ def _joined(spans: Column) -> Column:
 
 
 def weighed_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", min_owners: int = 3, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Two saved tables. The rows: row_ (a key of each), doc_id and the columns of keep; and their spans: row_, kind_no, start, stop (code points), start_b, stop_b (bytes), copied."""
+    """Two tables. The rows, saved: row_ (a key of each), doc_id and the columns of keep; and their spans: row_, kind_no, start, stop (code points), start_b, stop_b (bytes), copied."""
     has = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, has(owner_col).alias("owner_"), has(repo_col).alias("repo_"), text_or_empty(text_col).alias("text_"))
     # one pass over the texts; what is written has lengths, hashes and the columns of keep
@@ -116,16 +116,16 @@ def weighed_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 
     # dealt by row once, as all windows go by rows; what stays in a text's row is its own
     each = found.where(F.size("all_") > 0).select("row_", "owner_", "repo_", F.inline("all_"))
-    spans = scratch.save(_placed(each.repartition("row_")), "places")
+    spans = _placed(each.repartition("row_"))
     # first distinct (hash, owner, repository), so that a hash in a third of all rows is small before it meets itself
     held = spans.select("hash", "owner_", "repo_").distinct()
     # a null owner or repository is one of its own; one column that is both is counted once
     owners = F.count_distinct(F.struct("owner_"))
     held_by = owners if owner_col == repo_col else F.greatest(owners, F.count_distinct(F.struct("repo_")))
     examples = scratch.save(held.groupBy("hash").agg(held_by.alias("n")).where(F.col("n") >= min_owners).select("hash", F.lit(True).alias("copied")), "examples")
-    # written first, so that both sides of the join are plain shuffles and a hot key can be split
+    # both sides of the join are plain shuffles, so that a hot key can be split
     weighed = spans.join(dealt(examples), "hash", "left").select("row_", "kind_no", "start", "stop", "start_b", "stop_b", F.col("copied").isNotNull().alias("copied"))
-    return found.drop("all_", "owner_", "repo_"), scratch.save(weighed, "spans")
+    return found.drop("all_", "owner_", "repo_"), weighed
 
 
 def scan(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", min_owners: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
