@@ -38,6 +38,8 @@ EVEN = 8
 SLICE = 4 << 20
 #: Another round follows one that has placed at least one in WORTH of its documents; else the rest begin new sequences, and the gaps wait for shorter ones.
 WORTH = 32
+#: Rows of a file of what a round leaves (some 40 bytes each): rounds are many, and their tables often small.
+FILE_ROWS = 250_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, key long, ids binary"
 _KINDS = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
@@ -145,16 +147,17 @@ class Packing:
         self.placed: list[DataFrame] = []
         self.rounds = 0
 
-    def place(self, pieces: DataFrame) -> None:
-        """Note where pieces (with seq) went, and update the gaps."""
-        pieces = self.scratch.save(pieces.select(*_OWN, "seq", F.lit(len(self.placed)).alias("round")), "placed")
+    def place(self, pieces: DataFrame, rows: int) -> None:
+        """Note where pieces (with seq, so many rows) went, and update the gaps."""
+        pieces = pieces.select(*_OWN, "seq", F.lit(len(self.placed)).alias("round"))
+        pieces = self.scratch.save(pieces.coalesce(-(-rows // FILE_ROWS) or 1), "placed")
         self.placed.append(pieces)
         used = pieces.groupBy("seq").agg(F.sum("length").alias("used"))
         if self.gaps is None:
             gaps = used.select("seq", (self.window - F.col("used")).alias("free"))
         else:
             gaps = self.gaps.join(used, "seq", "full_outer").select("seq", (F.coalesce("free", F.lit(self.window)) - F.coalesce("used", F.lit(0))).alias("free"))
-        self.gaps = self.scratch.save(gaps.where("free > 0"), "gaps")
+        self.gaps = self.scratch.save(gaps.where("free > 0").coalesce(-(-self.begun // FILE_ROWS) or 1), "gaps")
         self.scratch.drop("gaps", last=1)
         self.largest = self.gaps.agg(F.max("free").alias("m")).first()["m"] or 0
 
@@ -221,12 +224,12 @@ class Packing:
                 seq = F.when(fit == k, F.expr(f"{begun} + (at - {first}) div {k}")).otherwise(seq)
                 first, begun = first + n, begun + -(-n // k)
             self.begun = begun
-            self.place(rows.withColumn("seq", seq * 2))
+            self.place(rows.withColumn("seq", seq * 2), rank)
             return None
         first, last = F.expr(f"sum div {window}"), F.expr(f"(sum + length - 1) div {window}")
-        whole = first == last
-        self.place(rows.where(whole).withColumn("seq", (F.lit(self.begun) + first) * 2))
+        whole, begun = first == last, self.begun
         self.begun += -(-tokens // window)
+        self.place(rows.where(whole).withColumn("seq", (F.lit(begun) + first) * 2), rank)
         return rows.where(~whole).select(*_OWN)
 
 
@@ -256,7 +259,7 @@ def place_pieces(pieces: DataFrame, window: int, scratch: Scratch) -> DataFrame:
         while docs is not None:
             pairs, left, counts = state.match(docs, low, top)
             if pairs is not None:
-                state.place(pairs)
+                state.place(pairs, counts["paired"])
             if not counts["docs"]:
                 break
             if state.largest >= counts["least"] and counts["paired"] * WORTH >= counts["docs"]:
