@@ -40,6 +40,8 @@ SLICE = 4 << 20
 WORTH = 32
 #: Rows of a file of what a round leaves (some 40 bytes each): rounds are many, and their tables often small.
 FILE_ROWS = 250_000
+#: Least number of tasks of a round's sweep; each goes through several ranges where these are small.
+TASKS = 8
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, key long, ids binary"
 _KINDS = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
@@ -92,7 +94,7 @@ PAIR, DOCUMENT, GAP = 0, 1, 2
 
 
 def _sweep(rows: DataFrame) -> DataFrame:
-    """Pairs within each task's range, and what is left there: documents and gaps with their rank, documents with the lengths before them."""
+    """Pairs within each range (part, sorted), and what is left there: documents and gaps with their rank, documents with the lengths before them."""
     names = [x.split()[0] for x in _SWEPT.split(", ")]
 
     def run(batches):
@@ -109,7 +111,7 @@ def _sweep(rows: DataFrame) -> DataFrame:
         rank = np.where(kind == GAP, np.cumsum(kind == GAP), np.cumsum(kind == DOCUMENT)) - 1
         left = np.where(kind == DOCUMENT, size, 0)
         kept = pa.array(np.flatnonzero(kind >= 0))
-        made = {"kind": kind.astype(np.int32), "seq": seq, "part": np.full(len(kind), TaskContext.get().partitionId(), np.int32), "rank": rank, "before": np.cumsum(left) - left}
+        made = {"kind": kind.astype(np.int32), "seq": seq, "rank": rank, "before": np.cumsum(left) - left}
         out = pa.table([made[c] if c in made else table.column(c) for c in names], names).take(kept)
         yield from out.combine_chunks().to_batches(max_chunksize=50_000)
 
@@ -169,14 +171,16 @@ class Packing:
         none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("piece", "int"), ("start", "long"), ("ids_crc32", "long"), ("key", "long"))]
         return slot.select(size.cast("long").alias("size"), F.lit(True).alias("gap"), "seq", F.xxhash64("seq", "i").alias("tie"), *none, F.lit(None).cast("long").alias("length"))
 
-    def match(self, docs: DataFrame, low: int, top: int) -> tuple[DataFrame | None, DataFrame, dict]:
-        """One round: the pieces that got a gap (with seq; None if none did), those that did not (with the columns of _SWEPT), and the counts of the latter."""
+    def match(self, docs: DataFrame, n: int, low: int, top: int) -> tuple[DataFrame | None, DataFrame, dict]:
+        """One round of some n documents: the pieces that got a gap (with seq; None if none did), those that did not (with the columns of _SWEPT), and the counts of the latter."""
         self.rounds += 1
         rows = docs.select(F.col("length").alias("size"), F.lit(False).alias("gap"), F.lit(None).cast("long").alias("seq"), F.xxhash64("key").alias("tie"), *_OWN)
         if self.gaps is not None and self.largest > low:
             rows = rows.unionByName(self.slots(low, top))
         order = [F.col("size").desc(), F.col("gap").desc(), "tie"]
-        swept = self.scratch.save(_sweep(rows.repartitionByRange(*order).sortWithinPartitions(*order)), "swept")
+        # part is the number of the range, also where a task has several
+        ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        swept = self.scratch.save(_sweep(ranges).coalesce(max(TASKS, -(-(n + self.begun) // FILE_ROWS))), "swept")
         self.scratch.drop("swept", last=2)  # the round before may still be read
         of = lambda k: F.count_if(F.col("kind") == k)
         parts = swept.groupBy("part").agg(of(PAIR).alias("pairs"), of(DOCUMENT).alias("docs"), of(GAP).alias("gaps"), F.sum(F.when(F.col("kind") == DOCUMENT, F.col("length"))).alias("tokens"), F.min(F.when(F.col("kind") == DOCUMENT, F.col("length"))).alias("least")).collect()
@@ -250,14 +254,15 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, with_ids: b
 def place_pieces(pieces: DataFrame, window: int, scratch: Scratch) -> DataFrame:
     """The pieces (columns of _OWN, each shorter than a window) with sequence_id and offset. Read twice a band, so it should be a table."""
     state = Packing(pieces.sparkSession, window, scratch)
-    lengths = {r["length"] for r in pieces.select("length").distinct().collect()}  # no more than the window has
+    lengths = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # no more than the window has
     for low, top in bands(window):
-        own = [n for n in lengths if low < n <= top]
-        if not own:
+        n = sum(k for length, k in lengths.items() if low < length <= top)
+        if not n:
             continue
         docs = pieces.where((F.col("length") > low) & (F.col("length") <= top))
         while docs is not None:
-            pairs, left, counts = state.match(docs, low, top)
+            pairs, left, counts = state.match(docs, n, low, top)
+            n = counts["docs"]
             if pairs is not None:
                 state.place(pairs, counts["paired"])
             if not counts["docs"]:
