@@ -207,8 +207,10 @@ def calibrated(m: DataFrame, height_cm: float, sole_cm: float) -> DataFrame:
     return m.withColumn("leg_cm", S.px_to_cm(S.leg_length_px(c("foot"), c("shank"), c("thigh")), c("pixels_per_cm"))).drop("bare_foot")
 
 
-def combine_two(a: DataFrame, b: DataFrame, height: Column | float, share: float = 0.03) -> DataFrame:
-    """Two passes of one clip, frame by frame: their mean where both are and near each other; else the one with the better hips (the first on a tie)."""
+def combine_two(a: DataFrame, b: DataFrame, height: Column | float | DataFrame, share: float = 0.03) -> DataFrame:
+    """Two passes of one clip, frame by frame: their mean where both are and near each other; else the one with the better hips (the first on a tie).
+
+    height: of the body in pixels, or a table of clip_id and height_px; a clip without one has nothing near."""
     longest = lambda d: d.groupBy("clip_id").agg(F.max("frame").alias("last"))
     upto = longest(a).join(longest(b).withColumnRenamed("last", "last_b"), "clip_id").select("clip_id", F.least("last", "last_b").alias("last"))
     pair = a.join(b.select("clip_id", "frame", "lm", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("vis").alias("bvis")), ["clip_id", "frame", "lm"])
@@ -221,6 +223,8 @@ def combine_two(a: DataFrame, b: DataFrame, height: Column | float, share: float
         F.avg(F.when(hip, F.col("vis"))).alias("a_vis"),
         F.avg(F.when(hip, F.col("bvis"))).alias("b_vis"),
     )
+    if isinstance(height, DataFrame):
+        f, height = f.join(height.select("clip_id", "height_px"), "clip_id", "left"), F.col("height_px")
     near = num(share) * (height if isinstance(height, Column) else num(height))
     chosen = F.when(F.col("a_in") & F.col("b_in"), F.when(F.col("apart") <= near, "avg").when(F.bround("a_vis", 9) >= F.bround("b_vis", 9), "fwd").otherwise("rev")).when(F.col("a_in"), "fwd").when(F.col("b_in"), "rev").otherwise("none")
     f = f.select("clip_id", "frame", chosen.alias("chosen"))

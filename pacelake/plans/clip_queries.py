@@ -9,7 +9,8 @@ from ..functions import windows as N
 from ..functions.scalar import num
 from ..operators import admission, body, clip, ground, network, tracks
 from ..sources import metadata
-from ..sources.tables import FPS, HEIGHT_PX, clips, frame_stats, ground_frames, pose, series, table
+from ..sources.scratch import Scratch
+from ..sources.tables import FPS, HEIGHT_PX, clips, frame_stats, ground_frames, pose, series, table, walkers
 from .gait_queries import SIDES, _flat_metrics, FLAT, candidates
 from .registry import query, rounded
 
@@ -214,20 +215,30 @@ def x6_f3_f6_detection_report(spark, sf_dir):
     return rounded(ground.detection_report(ground.detect(ground_frames(spark, sf_dir), CHAIN)))
 
 
+def _paces():
+    k = F.col("clip_id")
+    return {"pace": F.when(k % 2 == 0, "800m").otherwise("easy"), "shoe": F.when(k % 3 == 0, "track_spike")}
+
+
 @query()
 def x10_clip_results(spark, sf_dir):
-    p = pose(spark, sf_dir)
-    p = p.unionByName(p.where("lm = 31").withColumn("lm", F.lit(32)))
-    k = F.col("clip_id")
-    out = clip.analyse(p, 175.0, ground.Chain(fps=FPS, height=HEIGHT_PX, toe_off="by_strike"), pace=F.when(k % 2 == 0, "800m").otherwise("easy"), shoe=F.when(k % 3 == 0, "track_spike"))
+    """All passes of walkers made one, and the result of each clip: most have every metric, some too few contacts."""
+    passes = Scratch(spark, "walkers").save(walkers(spark, sf_dir), "passes")
+    out = clip.analysed(passes, clip.Passes(175.0, FPS), ground.Chain(height=HEIGHT_PX, toe_off="by_strike"), **_paces())
     return rounded(out.withColumn("warnings", F.array_join("warnings", "; ")))
 
 
+@query()
+def x10_prepared_pass(spark, sf_dir):
+    one = clip.prepared(Scratch(spark, "walkers").save(walkers(spark, sf_dir), "passes"), clip.Passes(175.0, FPS))
+    return rounded(one.groupBy("clip_id", "frame").agg(F.count_if(F.col("x").isNotNull()).alias("n_known"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("vis").alias("vis")))
+
+
 @query()
 def x11_training_inputs(spark, sf_dir):
-    p = pose(spark, sf_dir)
-    p = p.unionByName(p.where("lm = 31").withColumn("lm", F.lit(32)))
-    made, _ = clip.training_rows(p, 1920, 175.0, F.lit("1500m"), length=60, least=48)
+    """Clips of 180 to 210 frames are padded to 210, longer ones cut, shorter ones left out."""
+    p = walkers(spark, sf_dir).where("pass = 'fwd'").drop("pass")
+    made, _ = clip.training_rows(p, 12000, 175.0, F.lit("1500m"), length=210, least=180)
     n = F.aggregate(F.flatten(F.flatten("input")), num(0), lambda s, x: s + F.abs(x))
     return rounded(made.select("clip_id", F.size("input").alias("n_frames"), n.alias("total"), "n_filled", "n_missing", "normalization", "pace"), 4)
 

@@ -136,7 +136,40 @@ def ground_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The tables in DuckDB's SQL, but standing and ground_frames.
+#: Heights of a walker's landmarks over the hips (up is less), those that go with a leg, and how far a place trails or leads.
+WALKER = {0: -350, 7: -344, 8: -344, 11: -258, 12: -258, 13: -140, 14: -140, 15: -20, 16: -20, 23: 0, 24: 0}
+WALKER_LEGS = {25: (0.5, 24.0), 26: (0.5, 24.0), 27: (1.0, 0.0), 28: (1.0, 0.0), 29: (1.03, -14.0), 30: (1.03, -14.0), 31: (1.045, 40.0), 32: (1.045, 40.0)}
+
+
+def walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, pass, frame, lm, x, y, vis: a body that walks over three frames for each of series, as four passes have seen it.
+
+    A leg is longest when its foot meets the ground, once in 40 to 48 frames, legs half a period apart. Passes differ by some pixels, miss frames, turn
+    the body over in some; some clips stand still for a while, and every ninth has a single pass."""
+    s = series(spark, sf_dir).select("clip_id", F.explode(F.sequence(F.col("frame") * 3, F.col("frame") * 3 + 2)).alias("frame"), F.coalesce("value", num(0)).alias("v"))
+    k, f = F.col("clip_id"), F.col("frame").cast("double")
+    landmarks = F.array(*(F.struct(F.lit(lm).alias("lm"), F.lit(float(share)).alias("share"), F.lit(float(lead)).alias("lead"), F.lit(float(up)).alias("up")) for lm, (share, lead, up) in (
+        {lm: (0.0, 0.0, y) for lm, y in WALKER.items()} | {lm: (share, lead, 0) for lm, (share, lead) in WALKER_LEGS.items()}).items()))
+    rows = s.withColumn("pass", F.explode(F.array(*map(F.lit, ("fwd", "rev", "seed_bwd", "seed_fwd"))))).select("*", F.inline(landmarks))
+    right = F.col("lm") % 2 == 0
+    period = num(40) + num(2) * (k % 5).cast("double")
+    t = f / period + F.when(right, num(0.5)).otherwise(num(0))
+    u = t - F.floor(t)
+    wave = num(4) * u * (num(1) - u)
+    leg = num(368) + num(72) * wave
+    no = F.when(F.col("pass") == "fwd", 0).when(F.col("pass") == "rev", 1).otherwise(2)
+    moved = F.when(k % 6 == 5, F.greatest(f - num(12), num(0))).otherwise(f)  # stands still at first
+    x = num(300) + num(33) * moved + F.col("lead") + F.when(F.col("share") > 0, num(60) * (u - num(0.5)) * F.col("share")).otherwise(num(0)) + F.col("v") / num(200) + no.cast("double") * num(2)
+    y = num(1000) + num(6) * wave + F.col("up") + F.col("share") * leg
+    turn = F.pmod(F.col("frame") * 7 + k * 3 + no * 5, F.lit(23))
+    y = F.when((turn == 3) & (no > 0), num(2000) - y).otherwise(y)
+    lost = ((turn == 11) | ((turn == 12) & (no < 2))) & (F.col("frame") > 2)
+    vis = num(0.55) + num(0.4) * u * F.when(no == 1, num(0.9)).otherwise(num(1))
+    rows = rows.where((F.col("pass") == "fwd") | (k % 9 != 8))
+    return rows.select("clip_id", "pass", "frame", "lm", F.when(~lost, x).alias("x"), F.when(~lost, y).alias("y"), F.when(lost, num(0)).otherwise(vis).alias("vis"))
+
+
+#: The tables in DuckDB's SQL, but standing, walkers and ground_frames.
 SQL = """
 series AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, event_type AS channel,
   CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events),

@@ -15,7 +15,7 @@ from pacelake.operators import admission, body, clip, contacts, ground, metrics,
 from pacelake.plans import QUERIES
 from pacelake.plans.clip_queries import CHAIN
 from pacelake.sources import metadata
-from pacelake.sources.tables import ground_frames, pose
+from pacelake.sources.tables import ground_frames, pose, walkers
 
 # signals, one number at a time ------------------------------------------------------------------------
 
@@ -448,13 +448,133 @@ def test_results_as_documents(spark, tmp_path):
     assert [x["version"] for x in metadata.read_results(bad).collect()] == [None, None]
 
 
-def test_clip_results_and_training_inputs(spark):
-    p = pose(spark, DIR)
-    p = p.unionByName(p.where("lm = 31").withColumn("lm", F.lit(32)))
-    made, results = clip.training_rows(p, 1920, 175.0, F.lit("800m"), length=50, least=48)
+def one_pass(g, height, ppc, fps=60.0):
+    """clip.prepared of one clip (pass, frame, lm, x, y, vis) in loops: dict of (frame, lm) to (x, y, vis)."""
+    at = {(r["pass"], r["frame"], r["lm"]): (r["x"], r["y"], r["vis"]) for r in g}
+    names = {r["pass"] for r in g}
+    lms, n = sorted({r["lm"] for r in g}), 1 + max(r["frame"] for r in g)
+    get = lambda p, t, lm: at.get((p, t, lm), (None, None, None))
+    hips = lambda p, t: (get(p, t, 23)[2] + get(p, t, 24)[2]) / 2
+    two = {}
+    for t in range(n):
+        if "rev" not in names:
+            two |= {(t, lm): get("fwd", t, lm) for lm in lms}
+            continue
+        a_in, b_in = (any(get(p, t, lm)[0] is not None for lm in (23, 24)) for p in ("fwd", "rev"))
+        apart = [math.dist(get("fwd", t, lm)[:2], get("rev", t, lm)[:2]) for lm in lms if get("fwd", t, lm)[0] is not None and get("rev", t, lm)[0] is not None]
+        near = bool(apart) and np.mean(apart) <= 0.03 * height
+        chosen = ("avg" if near else "fwd" if round(hips("fwd", t), 9) >= round(hips("rev", t), 9) else "rev") if a_in and b_in else "fwd" if a_in else "rev" if b_in else "none"
+        for lm in lms:
+            a, b = get("fwd", t, lm), get("rev", t, lm)
+            mix = lambda u, v: None if u is None or v is None else (u + v) / 2
+            two[t, lm] = {"avg": tuple(map(mix, a, b)), "fwd": a, "rev": b, "none": (None, None, 0.0)}[chosen]
+    if "seed_bwd" in names:
+        means = {s: np.mean([two[t, lm][2] for t in range(n) for lm in (11 + s, 23 + s, 25 + s, 27 + s)]) for s in (0, 1)}
+        side = 0 if means[0] >= means[1] else 1
+        q = [two[t, 23 + side][2] for t in range(n)]
+        lo, hi = int(0.2 * n), int(0.8 * n)
+        seen = [t for t in range(lo, hi) if q[t] >= 0.3]
+        anchor = n // 2 if lo >= hi else lo + (seen[0] - lo + seen[-1] - lo) // 2 if seen else max(range(lo, hi), key=lambda t: (q[t], -t))
+        if q[anchor] < 0.3:
+            runs, now = [], []
+            for t in range(n):
+                now = [*now, t] if q[t] >= 0.3 else []
+                runs.append(now)
+            best = max(runs, key=lambda r: (len(r), -r[0] if r else 0))
+            if best:
+                mid = best[0] + len(best) // 2
+                anchor = max((t for t in range(max(0, mid - 5), min(n, mid + 6))), key=lambda t: (q[t], -t))
+
+        def right(p, t):
+            pts = {lm: get(p, t, lm)[:2] for lm in (0, 11, 12, 23, 24, 25, 26, 27, 28)}
+            if any(v[0] is None for v in pts.values()):
+                return False
+            mid = lambda a: ((pts[a][0] + pts[a + 1][0]) / 2, (pts[a][1] + pts[a + 1][1]) / 2)
+            if not pts[0][1] < mid(11)[1] < mid(23)[1] < mid(25)[1]:
+                return False
+            longer = lambda a, b: max(math.dist(pts[a], pts[b]), math.dist(pts[a + 1], pts[b + 1]))
+            parts = ((math.dist(mid(11), mid(23)), 0.30, 0.20), (longer(23, 25), 0.245, 0.30), (longer(25, 27), 0.246, 0.30))
+            return all(abs(v / height - share) <= share * tol for v, share, tol in parts)
+
+        for t in range(n):
+            order = ["fwd", "rev", "seed_bwd" if t <= anchor else "seed_fwd"]
+            ok = [p for p in order if (p, t, 0) in at and right(p, t)]
+            best = max(ok, key=lambda p: (round(hips(p, t), 9), -order.index(p)), default=None)
+            for lm in lms:
+                two[t, lm] = get(best, t, lm) if best else (None, None, 0.0)
+    hip = []
+    for t in range(n):
+        known = [two[t, lm][0] for lm in (23, 24) if two[t, lm][0] is not None]
+        hip.append(np.mean(known) if known else None)
+    moved = [None if t == 0 or hip[t] is None or hip[t - 1] is None else abs(hip[t] - hip[t - 1]) for t in range(n)]
+    for t in range(n):
+        around = [m for m in moved[max(0, t - 2) : t + 3] if m is not None]
+        if hip[t] is None or not around or max(around) < 0.5 * ppc * 100 / fps:
+            two |= {(t, lm): (None, None, 0.0) for lm in lms}
+    out = dict(two)
+    for lm in lms:
+        known = [t for t in range(n) if two[t, lm][0] is not None and two[t, lm][1] is not None]
+        for a, b in zip(known, known[1:]):
+            if 1 < b - a <= 5 and min(two[a, lm][2], two[b, lm][2]) >= 0.5:
+                for t in range(a + 1, b):
+                    out[t, lm] = tuple(u + (v - u) * (t - a) / (b - a) for u, v in zip(two[a, lm], two[b, lm]))
+    return out
+
+
+def test_passes_made_one_match_loops(spark):
+    some = walkers(spark, DIR).where("clip_id in (0, 3, 5, 8, 11)").cache()
+    p = clip.Passes(175.0)
+    scales = {r["clip_id"]: r for r in clip.scale(some.where("pass = 'fwd'").drop("pass"), p).collect()}
+    got = {}
+    for r in clip.prepared(some, p).collect():
+        got.setdefault(r["clip_id"], {})[r["frame"], r["lm"]] = (r["x"], r["y"], r["vis"])
+    rows = {}
+    for r in some.collect():
+        rows.setdefault(r["clip_id"], []).append(r)
+    filled = masked = 0
+    for k, mine in rows.items():
+        want = one_pass(mine, scales[k]["height_px"], scales[k]["pixels_per_cm"])
+        assert set(got[k]) == set(want)
+        forward = {(r["frame"], r["lm"]): r["x"] for r in mine if r["pass"] == "fwd"}
+        for at, v in want.items():
+            assert got[k][at] == (pytest.approx(v) if v[0] is not None else (None, None, v[2])), (k, at)
+            filled += forward[at] is None and v[0] is not None
+            masked += forward[at] is not None and v[0] is None
+    assert filled > 100 and masked > 100
+
+
+def test_walkers_have_the_cadence_that_they_walk(spark):
+    some = walkers(spark, DIR).where("clip_id < 10").cache()
+    chain_ = ground.Chain(height=2160.0, toe_off="by_strike")
+    k = F.col("clip_id")
+    got = {r["clip_id"]: r for r in clip.analysed(some, clip.Passes(175.0), chain_, pace=F.when(k % 2 == 0, "800m").otherwise("easy"), shoe=F.when(k % 3 == 0, "track_spike")).collect()}
+    full = [r for r in got.values() if r["cadence_spm"] is not None]
+    assert len(got) == 10 and len(full) >= 6
+    for r in full:
+        assert r["cadence_spm"] == pytest.approx(60 * 60 / (20 + r["clip_id"] % 5), rel=0.02)
+        assert r["velocity_ms"] == pytest.approx(33 * 60 / 490.8, rel=0.02) and r["error"] is None
+        assert all(r[c] is not None for c in ("gct_ms", "stride_length_m", "step_length_m", "oscillation_cm", "flight_time_ms", "duty_factor", "running_economy_index", "pace_per_km"))
+        assert r["stride_length_m"] == pytest.approx(r["velocity_ms"] * 2 * 60 / r["cadence_spm"], rel=0.02)
+
+
+def test_hips_that_are_hardly_seen_give_no_speed(spark):
+    one = walkers(spark, DIR).where("clip_id = 3 and pass = 'fwd'").drop("pass")
+    dim = one.withColumn("vis", F.when(F.col("lm").isin(23, 24) & (F.col("frame") % 8 == 0), F.lit(0.39)).otherwise(F.col("vis")))
+    speed = lambda df: clip.clip_rows(df, 175.0, 2.5, 60.0).first()["speed"]
+    assert speed(one) == pytest.approx(33 * 60 / 490.8, rel=0.02) and speed(dim) is None  # no run of ten frames
+
+
+def test_training_inputs_are_padded_cropped_and_left_out(spark):
+    p = walkers(spark, DIR).where("pass = 'fwd'").drop("pass").cache()
+    n = {r["clip_id"]: r["n"] for r in p.groupBy("clip_id").agg((F.max("frame") + 1).alias("n")).collect()}
+    made, results = clip.training_rows(p, 12000, 175.0, F.lit("800m"), length=190, least=170)
     rows = {r["clip_id"]: r for r in made.collect()}
-    assert rows and all(len(r["input"]) == 50 and len(r["input"][0]) == 17 and len(r["input"][0][0]) == 3 and r["pace"] == 0.78 for r in rows.values())
-    assert {r["clip_id"] for r in results.select("clip_id").collect()} == set(rows) and {r["normalization"] for r in rows.values()} <= {"padded", "cropped"}
+    assert set(rows) == {k for k, v in n.items() if v >= 170} and set(rows) != set(n)
+    for k, r in rows.items():
+        assert len(r["input"]) == 190 and len(r["input"][0]) == 17 and len(r["input"][0][0]) == 3 and r["pace"] == 0.78
+        assert r["normalization"] == ("padded" if n[k] < 190 else "cropped")
+    assert {r["normalization"] for r in rows.values()} == {"padded", "cropped"}
+    assert {r["clip_id"] for r in results.select("clip_id").collect()} == set(rows)
 
 
 def test_metadata_errors(spark):
