@@ -35,7 +35,7 @@ CLOSING_ID = 0
 #: Documents above a window's EVEN-th part begin sequences by number, shorter ones by the sum of their lengths.
 EVEN = 8
 #: Bytes of text that are encoded at once: the more, the rarer a new word.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Another round follows one that has placed at least one in WORTH of its documents; else the rest begin new sequences, and the gaps wait for shorter ones.
 WORTH = 32
 #: Rows of a file of what a round leaves (some 40 bytes each): rounds are many, and their tables often small.

@@ -2,7 +2,7 @@
 
 The tokenizer's pattern takes a white-space character with what follows it or, where that is no space, ends a
 match behind it; it never looks back. So a text may be cut before the last white-space character of each run
-that something follows, and between a letter or digit and the marks after it, and each cut gives its own
+that something follows (in a run of two, before both), and between a letter or digit and the marks after it, and each cut gives its own
 ids. Arrow cuts and numbers the words of a slice of texts; each distinct one is encoded once and remembered.
 """
 
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from .packing import byte_letters
 
 #: Words that a worker remembers, some 150 bytes each, and the letters of the longest of them.
-REMEMBERED, REMEMBERED_LETTERS = 300_000, 100
+REMEMBERED, REMEMBERED_LETTERS = 400_000, 100
 #: Words that are encoded as one text, with the tokenizer's own special token between them, and such texts that are encoded at once.
 TOGETHER, CALLS = 1_000, 8
 #: White space of the pattern, as the inside of a class.
@@ -71,7 +71,12 @@ class ByteWords:
         odd = pc.match_substring(texts, CUT)
         for x in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, x))
-        marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), f"([{WHITE}][^{WHITE}])", f"{CUT}\\1")
+        # where no white space but spaces and line ends two at most stand together, each of them may begin a word
+        long = pc.match_substring_regex(texts, f"[{WHITE}]{{3}}|[{WHITE}]{{2}}\\z")
+        marked = pc.replace_substring(pc.replace_substring(pc.if_else(pc.or_(odd, long), "", texts), " ", f"{CUT} "), "\n", f"{CUT}\n")
+        if pc.any(long).as_py():
+            general = pc.replace_substring_regex(pc.if_else(pc.and_not(long, odd), texts, ""), f"([{WHITE}][^{WHITE}])", f"{CUT}\\1")
+            marked = pc.if_else(long, general, marked)
         lists = pc.split_pattern(marked, CUT)
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
         at = lists.offsets.to_numpy().astype(np.int64)
