@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import long as L
 from ..functions.scalar import num
 from ..sources.scratch import Scratch
-from ..sources.tables import FPS, HEIGHT_PX, gait, table
+from ..sources.tables import FPS, HEIGHT_PX, gait, pose, table
 from ..streaming.contacts import ROCKSDB, stream_contacts
-from .gait_queries import ANCHORS, CONTACTS, LERP, LEG, WINDOWS, _gauss
+from ..streaming.passes import combined_stream, gathered
+from .gait_queries import ANCHORS, COMBINE, CONTACTS, LERP, LEG, WINDOWS, _gauss
 from .registry import query, rounded
 
 #: Frames of a chunk: few, so that the tables at hand have many.
 SIZE = 512
+
+
+def _clock() -> Column:
+    """When a frame was taken: frames begin on the second day, as a stream takes what is of the first instant of all for late."""
+    return F.timestamp_millis((F.col("frame") * 1_000 / int(FPS)).cast("bigint") + 86_400_000)
+
+
 #: All events as one sequence, in the order of their numbers.
 ONE = "one AS (SELECT 0 AS sensor, event_id - (SELECT min(event_id) FROM events) AS frame, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"
 
@@ -74,7 +82,7 @@ def w23_long_contacts(spark, sf_dir):
 def n1_stream_contacts(spark, sf_dir):
     """The frames of all legs as a stream of files, and the contacts that it has written when it ends."""
     scratch = Scratch(spark, "stream")
-    at = F.timestamp_millis((F.col("frame") * 1_000 / int(FPS)).cast("bigint"))
+    at = _clock()
     frames = scratch.save(gait(spark, sf_dir).select(*LEG, "frame", at.alias("at"), "comp", "vis"), "frames")
     # a leg that is not looked at has a frame so late that all others end
     clock = frames.limit(1).select(F.lit(-1).cast(frames.schema["clip_id"].dataType).alias("clip_id"), F.lit("-").alias("leg"), F.lit(0).cast("bigint").alias("frame"), F.expr("timestamp_seconds(1000000000)").alias("at"), F.lit(None).cast("double").alias("comp"), num(0).alias("vis"))
@@ -92,3 +100,24 @@ def n1_stream_contacts(spark, sf_dir):
     finally:
         spark.conf.set(ROCKSDB[0], kept)
     return spark.read.parquet(f"{scratch.folder}/out").select(*LEG, "frame", "toe_off")
+
+
+@query(f"{COMBINE} SELECT p.clip_id, p.frame, lm, chosen, round(CASE chosen WHEN 'avg' THEN (x + bx) / 2e0 WHEN 'fwd' THEN x WHEN 'rev' THEN bx END, 6) AS x, round(CASE chosen WHEN 'avg' THEN (y + by_) / 2e0 WHEN 'fwd' THEN y WHEN 'rev' THEN by_ END, 6) AS y, round(coalesce(CASE chosen WHEN 'avg' THEN (vis + bvis) / 2e0 WHEN 'fwd' THEN vis WHEN 'rev' THEN bvis END, 0e0), 6) AS vis FROM p JOIN c USING (clip_id, frame)")
+def c1_j1_stream_combine(spark, sf_dir):
+    """The two passes of c1_j1_j3_combine_two as two streams of files; the frames that both have."""
+    scratch = Scratch(spark, "stream")
+    at = _clock()
+    a = pose(spark, sf_dir).withColumn("at", at)
+    moved = (F.col("x") + num(10) * (F.col("frame") % 5).cast("double")).alias("x")
+    b = a.where("frame % 11 <> 3").select("clip_id", "frame", "at", "lm", moved, "y", F.when(F.col("frame") % 3 == 0, num(0.5)).otherwise(F.col("vis")).alias("vis"))
+    streams = []
+    for name, df in (("a", a), ("b", b)):
+        frames = gathered(df)
+        folder = f"{scratch.folder}/{name}"
+        frames.repartition(3).write.parquet(folder)
+        streams.append(spark.readStream.schema(frames.schema).parquet(folder))
+    out = combined_stream(*streams, 500.0)
+    writer = out.writeStream.format("parquet").option("path", f"{scratch.folder}/out").option("checkpointLocation", f"{scratch.folder}/state")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{scratch.folder}/out").where("complete")
+    return rounded(got.select("clip_id", "frame", "chosen", F.inline("points")))
