@@ -108,7 +108,7 @@ def _joined(spans: Column) -> Column:
 
 
 def weighed_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", min_owners: int = 3, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Two tables. The rows, saved: row_ (a key of each), doc_id and the columns of keep; and their spans: row_, kind_no, start, stop (code points), start_b, stop_b (bytes), copied."""
+    """Two tables. The rows, saved: row_ (a key of each), doc_id, the columns of keep, and some_ (whether the row may have spans); and their spans: row_, kind_no, start, stop (code points), start_b, stop_b (bytes), copied."""
     has = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, has(owner_col).alias("owner_"), has(repo_col).alias("repo_"), text_or_empty(text_col).alias("text_"))
     # one pass over the texts; what is written has lengths, hashes and the columns of keep
@@ -125,7 +125,7 @@ def weighed_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     examples = scratch.save(held.groupBy("hash").agg(held_by.alias("n")).where(F.col("n") >= min_owners).select("hash", F.lit(True).alias("copied")), "examples")
     # both sides of the join are plain shuffles, so that a hot key can be split
     weighed = spans.join(dealt(examples), "hash", "left").select("row_", "kind_no", "start", "stop", "start_b", "stop_b", F.col("copied").isNotNull().alias("copied"))
-    return found.drop("all_", "owner_", "repo_"), weighed
+    return found.withColumn("some_", F.size("all_") > 0).drop("all_", "owner_", "repo_"), weighed
 
 
 def scan(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "source", min_owners: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -181,7 +181,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", owner_col: str = "source", r
 
     between = let(F.struct(F.col("original.text").cast("binary").alias("data"), F.col("masks").alias("masks")), cut)
     hit = F.col("masks").isNotNull()
-    out = found.join(masks, "row_", "left").select("original", F.when(hit, F.array_join(between, mask)).otherwise(F.col("original.text")).alias("clean"), hit.alias("hit"))
+    # a row without matches goes past the join, so that few texts are shuffled
+    out = found.where("some_").join(masks, "row_", "left").unionByName(found.where("not some_").withColumn("masks", F.lit(None).cast(masks.schema["masks"].dataType)))
+    out = out.select("original", F.when(hit, F.array_join(between, mask)).otherwise(F.col("original.text")).alias("clean"), hit.alias("hit"))
 
     def column(c: str) -> Column:
         if c == "text":
