@@ -272,13 +272,18 @@ def manifest_report(docs: DataFrame) -> DataFrame:
     return manifest(docs, tampered=(at, {"text": lowered(F.col("text"))})).checked().withColumnRenamed("id", "doc_id")
 
 
+def crc32_sql(text: str) -> str:
+    """SQL of the CRC-32 of an ASCII text, byte by byte and bit by bit."""
+    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {bits}), 4294967295)"
+
+
 def oracle(group_levels: int = 6, top_levels: int = 3) -> str:
     """SQL of manifest_report for groups of at most FANOUT ** group_levels rows, FANOUT ** top_levels of them."""
     field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
     own = " || ".join(field(c) for c in COLUMNS)
     low = " || ".join(field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" if c == "text" else c) for c in COLUMNS)
-    bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
-    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {bits}), 4294967295)"
+    crc = crc32_sql("doc_id::VARCHAR")
     parts = [
         f"leaves AS (SELECT doc_id, coalesce('=' || source, '') AS g, sha256({own}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({low}) END AS other FROM documents)",
         "d0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, coalesce(other, leaf) AS f, '' AS p FROM leaves)",

@@ -92,5 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op4_minhash_dedup": minhash_dedup.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
+    "op12_turn_repair": turn_repair.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }

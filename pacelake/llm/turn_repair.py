@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, dealt, small_batches
+from .merkle import crc32_sql
 
 #: Grammar states as bits: nothing yet, after system, after user, after assistant.
 START, SYSTEM, USER, ASSISTANT = STATES = (1, 2, 4, 8)
@@ -415,3 +416,43 @@ def damaged(rows: DataFrame) -> DataFrame:
 def repair_report(rows: DataFrame) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of damaged conversations."""
     return _repair(damaged(rows), False).drop("lines")
+
+
+def oracle() -> str:
+    """SQL of repair_report: the cheapest, then least, audit for each state after each row, row by row."""
+    number = {q: i for i, q in enumerate(STATES)}
+    inserted = []
+    for q in STATES:  # none, one or two turns before a row or at the end
+        at, lines = q, []
+        for _ in range(3):
+            inserted.append(f"({number[q]}, {number[at]}, {len(lines)}, [{', '.join(repr(x) for x in lines)}]::VARCHAR[])")
+            role, at = NEXT[at]
+            lines.append(f"{role}:")
+    given = [f"({number[q]}, '{role}', {number[to]})" for q, (role, to) in NEXT.items()]
+    kept = [f"({number[q]}, '{x}', {number[to]})" for (q, x), to in AFTER.items()]
+    mark = lambda c: f"coalesce({c}::VARCHAR, ' ')"
+    crc = crc32_sql(f"{mark('conv_id')} || ':' || {mark('turn')}")
+    return rf"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, {mark('role')} AS role, {mark('text')} AS text, {crc} % 20 AS act FROM conversations),
+r AS (SELECT conv_id, turn, CASE act WHEN 4 THEN 'user' ELSE role END AS role, CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE act WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS i FROM r),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault,
+  i > 0 AND lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+ins(q, qi, k, own) AS (VALUES {', '.join(inserted)}), given(qi, role, q2) AS (VALUES {', '.join(given)}), kept(qi, initial, q2) AS (VALUES {', '.join(kept)}),
+w AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM f UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines FROM (
+    SELECT w.conv_id, w.i + 1 AS i, a.q, w.cost + {INSERT} * ins.k + a.cost AS cost, w.audit || repeat('I', ins.k) || a.letter AS audit, w.lines || ins.own || a.own AS lines
+    FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i JOIN ins ON ins.q = w.q JOIN LATERAL (
+      SELECT ins.qi AS q, {DELETE} AS cost, 'D' AS letter, []::VARCHAR[] AS own
+      UNION ALL SELECT kept.q2, CASE f.fault WHEN 3 THEN {CUT} ELSE 0 END, 'K', [f.role || ':' || f.text] FROM kept WHERE kept.qi = ins.qi AND kept.initial = left(f.role, 1) AND f.fault NOT IN (1, 2)
+      UNION ALL SELECT given.q2, CASE f.fault WHEN 3 THEN {RENAME + CUT} ELSE {RENAME} END, 'R', [given.role || ':' || f.text] FROM given WHERE given.qi = ins.qi AND f.fault NOT IN (1, 2)) a ON true)
+  QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id),
+e AS (SELECT n.*, w.cost + {INSERT} * ins.k AS cost, w.audit || repeat('I', ins.k) AS audit, w.lines || ins.own AS lines FROM n JOIN w ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.n JOIN ins ON ins.q = w.q AND ins.qi IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY n.conv_id ORDER BY w.cost + {INSERT} * ins.k, w.audit || repeat('I', ins.k)) = 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+ORACLE = oracle()
