@@ -489,7 +489,7 @@ def test_bpe_in_small_blocks(monkeypatch):
             assert [i for b in e.blocks(t) for i in b] == enc.encode_ordinary(t)
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op3_embedding_dedup", "op4_minhash_dedup", "op6_chat_format"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op3_embedding_dedup", "op4_minhash_dedup", "op6_chat_format", "op12_turn_repair", "op13_merkle_manifest"])
 def test_query_matches_sql(spark, name):
     same(queries.QUERIES[name](spark, DIR).toPandas(), connect().sql(queries.ORACLE_SQL[name]).df())
 
