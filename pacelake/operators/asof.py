@@ -1,9 +1,9 @@
 """As-of joins of two tables: for each row of one the nearest row of the other, in time and with the same keys.
 
 Both tables are stacked and range-sorted once, by key and time. A task finds for each left row the last right row before
-it and the next one behind it within its own range; what a range has at its ends is carried to the ranges beside it, so a
-key of any size is spread over as many tasks as it fills. The driver gets the keys at the ends of each range, never
-rows; what is carried is at most one row a range.
+it and the next one behind it in chunks of its range, so that it holds one chunk, however long the range; what a chunk has at its ends is carried to the chunks
+beside it, also into other ranges, so a key of any size is spread over as many tasks as it fills. The driver gets the keys at the ends of each chunk, never
+rows; what is carried is at most one row a chunk.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from pyspark.sql.types import StructField, StructType
 
 from ..sources.scratch import Scratch
 
+#: Rows that a task holds at a time, at least (the last batch of a chunk comes on top).
+CHUNK = 50_000
+
+
 def as_number(df: DataFrame, column: str) -> Column:
     """The column's times as bigint (days or microseconds for dates and timestamps) or double; NULL and NaN are NULL."""
     kind, c = dict(df.dtypes)[column], F.col(f"`{column}`")
@@ -37,22 +41,30 @@ def as_number(df: DataFrame, column: str) -> Column:
 
 
 def _nearest_rows(rows: DataFrame, back: bool, ahead: bool, right: StructType):
-    """Rows of the left table with b_ and f_, the right rows before and behind; and a row for each task with what its ends hold."""
+    """Rows of the left table with b_ and f_, the right rows before and behind; and rows for each chunk with what its ends hold. part_ ascends over the chunks of all ranges."""
     kind = rows.schema["at_"].dataType
     out = StructType(
         [
             *rows.select("key_", "at_", "left_").schema.fields,
             *(StructField(c, StructType([StructField("at", kind), StructField("row", right)])) for c in ("b_", "f_")),
-            *StructType.fromDDL("part_ int, first_run_ boolean, last_run_ boolean, edge_ boolean, n_runs_ long").fields,
+            *StructType.fromDDL("part_ bigint, first_run_ boolean, last_run_ boolean, edge_ boolean, n_runs_ long").fields,
         ]
     )
     names = [f.name for f in out.fields]
 
     def run(batches):
-        held = list(batches)
-        n = sum(map(len, held))
-        if not n:
-            return
+        held, n, part = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n >= CHUNK:
+                yield from of_chunk(held, n, part)
+                held, n, part = [], 0, part + 1
+        if n:
+            yield from of_chunk(held, n, part)
+
+    def of_chunk(held, n, part):
         t = pa.Table.from_batches(held).combine_chunks()
         key, at, is_right, right_rows = (t.column(c).combine_chunks() for c in ("key_", "at_", "is_right_", "right_"))
         side = is_right.to_numpy(zero_copy_only=False)
@@ -72,14 +84,14 @@ def _nearest_rows(rows: DataFrame, back: bool, ahead: bool, right: StructType):
             return pair.take(pa.array(np.where(mask, 0, index), pa.int64(), mask=mask))
 
         def emit(rows_: np.ndarray, b, f, edge: bool) -> pa.Table:
-            m, part = len(rows_), TaskContext.get().partitionId()
-            flags = [pa.array(np.full(m, part, np.int32)), pa.array(run_no[rows_] == 0), pa.array(run_no[rows_] == run_no[-1]), pa.array(np.full(m, edge)), pa.array(np.full(m, run_no[-1] + 1, np.int64))]
+            m = len(rows_)
+            flags = [pa.array(np.full(m, part, np.int64)), pa.array(run_no[rows_] == 0), pa.array(run_no[rows_] == run_no[-1]), pa.array(np.full(m, edge)), pa.array(np.full(m, run_no[-1] + 1, np.int64))]
             taken = t.select(["key_", "at_", "left_"]).take(pa.array(rows_))
             return pa.table([*taken.columns, b, f, *flags], names)
 
         left = np.flatnonzero(~side)
         yield from emit(left, at_places(before[left], back), at_places(behind[left], ahead), False).combine_chunks().to_batches(max_chunksize=10_000)
-        # the ends of this task: the first right row of its first key, the last one of its last
+        # the ends of this chunk: the first right row of its first key, the last one of its last
         for row, b, f in ((np.array([0]), np.array([-1]), behind[:1]), (np.array([n - 1]), before[-1:], np.array([-1]))):
             yield from emit(row, at_places(b, back), at_places(f, ahead), True).combine_chunks().to_batches()
 
@@ -87,11 +99,11 @@ def _nearest_rows(rows: DataFrame, back: bool, ahead: bool, right: StructType):
 
 
 def _carried(ends: list, ahead: bool) -> list[tuple[int, int]]:
-    """For each task whose rows may look beyond it: the task whose end has what they find there."""
+    """For each chunk whose rows may look beyond it: the chunk whose end has what they find there."""
     by_part: dict[int, dict[str, tuple]] = {}
     for e in ends:
         own = by_part.setdefault(e["part_"], {"n": e["n_runs_"]})
-        # the first row has f_ and the last one b_; a task of one row has both kinds, told apart by what they have
+        # the first row has f_ and the last one b_; a chunk of one row has both kinds, told apart by what they have
         if e["first"]:
             own["first"] = (e["key_"], own.get("first", (None, False))[1] or e["has_f"])
         if e["last"]:
@@ -174,8 +186,8 @@ def asof_join(
     for wanted, column, look, run in ((back, "b_", False, "first_run_"), (ahead, "f_", True, "last_run_")):
         pairs = _carried(edges, look) if wanted else []
         if pairs:
-            # at most one row a task
-            sources = spark.createDataFrame(pairs, "part_ int, source_ int")
+            # at most one row a chunk
+            sources = spark.createDataFrame(pairs, "part_ bigint, source_ bigint")
             ends = found.where(F.col("edge_") & F.col(column).isNotNull()).select(F.col("part_").alias("source_"), F.col(column).alias("carried_"))
             found_left = found_left.join(F.broadcast(sources.join(ends, "source_").select("part_", "carried_")), "part_", "left")
             found_left = found_left.withColumn(column, F.coalesce(column, F.when(F.col(run), F.col("carried_")))).drop("carried_")
