@@ -73,7 +73,9 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_on: tup
             fine = fine & F.col(f"`{c}`").isNotNull()
         return df.where(fine).withColumn("own_", _levels(F.col("start_"), F.col("stop_"), unit))
 
-    l_, r = side(left, [c for c in left.columns if c not in by], left_on), side(right, own, right_on)
+    # each side is written once, as its levels are asked for before its cells, and both are needed in all cells
+    l_ = scratch.save(side(left, [c for c in left.columns if c not in by], left_on), "left")
+    r = scratch.save(side(right, own, right_on), "right")
     # the levels of each side: as many as doublings between the shortest and the longest interval
     levels = lambda df: sorted(x["own_"] for x in df.select("own_").distinct().collect())
     of_left, of_right = levels(l_), levels(r)
