@@ -93,8 +93,7 @@ def preprocess(pose: DataFrame, width: float, max_gap: int = 3, discount: float
     both_known = x.isNotNull() & y.isNotNull()
     rows = rows.withColumns({"x": F.when(both_known, x), "y": F.when(both_known, y)})
     by = ["clip_id", "kp"]
-    rows = fill_short_gaps(rows, by, "x", "vis", "fx", max_gap, discount).withColumnRenamed("status", "status_")
-    rows = fill_short_gaps(rows, by, "y", "vis", "fy", max_gap, discount)
+    rows = fill_short_gaps(rows, by, "x", "vis", "fx", max_gap, discount, {"y": "fy"})
     out = centred(rows.select("clip_id", "frame", "kp", c("fx").alias("x"), c("fy").alias("y"), c("fx_vis").alias("vis"), "status", "swapped", "mirrored"))
     missing = c("status") == 2
     zero = lambda v: F.when(missing, num(0)).otherwise(c(v)).alias(v)
