@@ -86,8 +86,7 @@ def n1_stream_contacts(spark, sf_dir):
     frames = scratch.save(gait(spark, sf_dir).select(*LEG, "frame", at.alias("at"), "comp", "vis"), "frames")
     # a leg that is not looked at has a frame so late that all others end
     clock = frames.limit(1).select(F.lit(-1).cast(frames.schema["clip_id"].dataType).alias("clip_id"), F.lit("-").alias("leg"), F.lit(0).cast("bigint").alias("frame"), F.expr("timestamp_seconds(1000000000)").alias("at"), F.lit(None).cast("double").alias("comp"), num(0).alias("vis"))
-    folder = f"{scratch.folder}/in"
-    frames.coalesce(4).write.parquet(folder)
+    folder = f"{scratch.folder}/{scratch.saved}-frames"  # the stream reads what was written, and what is added
     kept = spark.conf.get(ROCKSDB[0])
     spark.conf.set(*ROCKSDB)
     try:
