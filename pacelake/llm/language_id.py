@@ -42,7 +42,7 @@ KNOWN_SCORE = 5 / DIMENSIONS**0.5
 #: With fewer letters a known text scores as low as that by itself, so only those below SHORT_SCORE go.
 ENOUGH, SHORT_SCORE = 40, 0.02
 #: Bytes of text that are worked on at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -60,34 +60,21 @@ def _letters() -> np.ndarray:
     return np.random.Generator(np.random.Philox(key=20240229)).choice(np.array([-1, 1], dtype=np.int8), (SYMBOLS, DIMENSIONS))
 
 
-class GramVectors:
-    """Vectors of trigrams, made when first met and kept as bytes (1 KB each); cleared beyond a limit."""
-
-    def __init__(self, limit: int = 40_000):
-        self.limit = limit
-        self.codes = np.empty(0, dtype=np.int64)
-        self.vectors = np.empty((0, DIMENSIONS), dtype=np.int8)
-
-    def bundle(self, counts: np.ndarray, codes: np.ndarray, block: int = 4_096) -> np.ndarray:
-        """counts (texts by codes) times the vectors of codes, a block of codes at a time. codes: sorted, distinct."""
-        if len(self.codes) + len(codes) > self.limit:
-            self.__init__(self.limit)
-        new = np.setdiff1d(codes, self.codes, assume_unique=True)
-        if len(new):
-            a, b, c = new // SYMBOLS**2, new // SYMBOLS % SYMBOLS, new % SYMBOLS
-            letters = _letters()
-            made = np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
-            codes_, vectors = np.r_[self.codes, new], np.vstack([self.vectors, made])
-            order = np.argsort(codes_)
-            self.codes, self.vectors = codes_[order], vectors[order]
-        at = np.searchsorted(self.codes, codes)
-        out = np.zeros((len(counts), DIMENSIONS), dtype=np.float32)
-        for s in range(0, len(at), block):
-            out += counts[:, s : s + block].astype(np.float32) @ self.vectors[at[s : s + block]].astype(np.float32)
-        return out
-
-
-_grams = GramVectors()
+@lru_cache(maxsize=1)
+def _placed() -> list[np.ndarray]:
+    """Vectors of the letters at the first, second and third place of a trigram."""
+    return [np.roll(_letters(), shift, axis=1) for shift in (2, 1, 0)]
+
+
+def bundle(counts: np.ndarray, codes: np.ndarray, block: int = 1_024) -> np.ndarray:
+    """counts (texts by codes) times the vectors of the trigrams, which are made a block of codes at a time; sums of whole numbers, so exact in any order."""
+    first, second, third = _placed()
+    out = np.zeros((len(counts), DIMENSIONS), dtype=np.float32)
+    for s in range(0, len(codes), block):
+        code = codes[s : s + block]
+        vectors = first[code // SYMBOLS**2] * second[code // SYMBOLS % SYMBOLS] * third[code % SYMBOLS]
+        out += counts[:, s : s + block].astype(np.float32) @ vectors.astype(np.float32)
+    return out
 
 
 def profiles(texts: list[str | None]) -> np.ndarray:
@@ -114,7 +101,7 @@ def profiles_and_letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
     place = np.zeros(SYMBOLS**3, dtype=np.int32)
     place[seen] = np.arange(len(seen), dtype=np.int32)
     counts = np.bincount(doc.astype(np.int64) * len(seen) + place[code], minlength=len(texts) * len(seen)).reshape(len(texts), len(seen))
-    return _grams.bundle(counts, seen), counts.sum(1)
+    return bundle(counts, seen), counts.sum(1)
 
 
 def train_row(id_col: str = "doc_id") -> Column:
@@ -162,7 +149,6 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, id_col: s
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in texts:
             yield judged(text)
-        _grams.__init__(_grams.limit)  # the worker may go on to other work
 
     def judged(text: pd.Series) -> pd.DataFrame:
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"])

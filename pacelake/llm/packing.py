@@ -43,11 +43,13 @@ SHARD_PIECES = 512
 #: A shard of very short pieces grows until it fills so many windows.
 SHARD_WINDOWS = 8
 #: Words that a worker remembers, some 150 bytes each, and the letters of the longest of them.
-REMEMBERED, REMEMBERED_LETTERS = 200_000, 100
+REMEMBERED, REMEMBERED_LETTERS = 60_000, 100
 #: Words that are encoded in one call, with a bar between them; a word with a bar in it is encoded alone.
 TOGETHER, BAR = 1_000, "|"
 #: Calls that are made at once; their results take some 100 bytes a token.
 CALLS = 8
+#: Bytes of text that are encoded at once: the more text, the rarer a new word, and the more memory for what is made of them.
+SLICE = 1 << 20
 K1, B = 1.2, 0.75
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -226,7 +228,7 @@ def _tokenize(rows: DataFrame, tokenizer_path: str, window: int, with_ids: bool)
         order = [mix64(np.arange(tok.size, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(40) for s in (1, 2)]
         docs = rest_tokens = 0
         for batch in batches:
-            for piece in slices(batch, "text", 2 << 20):  # the more text, the rarer a new word
+            for piece in slices(batch, "text", SLICE):
                 ids, at = tok.encode(piece.column(1))
                 sizes = np.diff(at)
                 rest = sizes % window
