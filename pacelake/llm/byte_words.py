@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .packing import byte_letters
+from .word_merges import byte_letters
 
 #: Words that a worker remembers, some 150 bytes each, and the letters of the longest of them.
 REMEMBERED, REMEMBERED_LETTERS = 400_000, 100

@@ -19,13 +19,13 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
 import unicodedata
 import zlib
 from itertools import islice
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, slices, small_batches
+from .word_merges import LONGEST, WordMerges
 from .words import split_words
 
 WINDOW = 2048
@@ -61,13 +62,6 @@ def plain_letters(limit: int = 0x530) -> str:
     return "".join(x for x in letters if unicodedata.category(x) == "Ll" and unicodedata.is_normalized("NFC", x) and x.lower() == x)
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones stand for themselves, the rest follow from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
-
-
 def suffixes(words: pa.Array, cut: np.ndarray) -> pa.Array:
     """What follows the first cut bytes of each large string."""
     at = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
@@ -84,10 +78,10 @@ def strings(column: pa.Array) -> list[str]:
 
 
 class WordTokenizer:
-    """Ids of texts under a tokenizer that never joins across white space: each distinct word is encoded once and remembered.
+    """Ids of texts under a tokenizer that never joins across white space: each distinct word of a slice is encoded once.
 
-    A word of plain small letters is one pre-token that no normaliser changes, so the tokenizer's model
-    takes it at once; every other word goes through the whole tokenizer."""
+    A word of plain small letters is one pre-token that no normaliser changes, so it only needs the model's merges, which
+    are done for all such words together; every other word goes through the whole tokenizer and is remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,18 +96,23 @@ class WordTokenizer:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(added), re.I) if added else None
         letters = plain_letters()
-        self.plain = re.compile(f"[{letters}]+")
-        shown = byte_letters()
-        self.shown = {ord(x): "".join(shown[b] for b in x.encode()) for x in letters if not x.isascii()}
+        self.plain = rf"\A[{letters}]+\z"
         # the short way is taken only if it gives what the whole tokenizer gives for words of every plain letter
         probe = [letters[i : i + 3] for i in range(len(letters))] + ["the", "and", "tion"]
-        if self.size > 1 << 31 or [self.one(w) for w in probe] != [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]:
-            self.plain = re.compile(r"(?!)")
-
-    def one(self, word: str) -> bytes:
-        """Ids of a word of plain letters."""
-        tokens = self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.shown))
-        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        try:
+            self.merges = WordMerges(json.loads(self.tokenizer.to_str())["model"])
+            ids, at, n = self.merges.encode(pa.array(probe, pa.large_string()))
+            if [ids[a : a + k].tolist() for a, k in zip(at, n)] != [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]:
+                self.merges = None
+        except ValueError:
+            self.merges = None
+
+    def merged(self, words: pa.Array) -> np.ndarray:
+        """Whether the merges alone give the ids of a word."""
+        if self.merges is None:
+            return np.zeros(len(words), dtype=bool)
+        fits = pc.less_equal(pc.binary_length(words), LONGEST)
+        return pc.and_(pc.match_substring_regex(words, self.plain), fits).to_numpy(zero_copy_only=False)
 
     def holds_added(self, words: pa.Array) -> pa.Array:
         """Whether a word holds the content of an added token, in any case."""
@@ -123,19 +122,11 @@ class WordTokenizer:
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each word."""
-        plain, tokenize, shown = self.plain.fullmatch, self.tokenizer.model.tokenize, self.shown
         out: dict[str, bytes] = {}
-        rest: list[str] = []
-        for w in words:
-            if plain(w):
-                ids = [t.id for t in tokenize(w if w.isascii() else w.translate(shown))]
-                out[w] = pack_ids(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(w)
         special = self.added.search if self.added else lambda w: None
-        alone = [w for w in rest if BAR in w or special(w)] if self.bar is not None else rest
+        alone = [w for w in words if BAR in w or special(w)] if self.bar is not None else words
         out |= {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False))}
-        many = [w for w in rest if w not in out]
+        many = [w for w in words if w not in out]
         runs = [many[i : i + TOGETHER] for i in range(0, len(many), TOGETHER)]
         encoded = (e for k in range(0, len(runs), CALLS) for e in self.tokenizer.encode_batch_fast([f" {BAR} ".join(r) for r in runs[k : k + CALLS]], add_special_tokens=False))
         for run, e in zip(runs, encoded):
@@ -185,12 +176,20 @@ class WordTokenizer:
         bare = pc.if_else(pc.and_not(pc.match_substring_regex(bare, r"[a-z0-9]\z"), whole), bare, lower)
         marks = suffixes(lower, pc.binary_length(bare).to_numpy(zero_copy_only=False)).dictionary_encode()
         bare = bare.dictionary_encode()
-        both = self.remembered(strings(bare.dictionary) + strings(marks.dictionary))
-        sizes = np.fromiter(map(len, both), dtype=np.int64, count=len(both)) // 4
-        blob = np.frombuffer(b"".join(both), dtype="<u4")
+        parts = pa.concat_arrays([bare.dictionary, marks.dictionary])
+        short = self.merged(parts)
+        other = self.remembered(strings(parts.filter(pa.array(~short))))
+        starts, sizes = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        sizes[~short] = np.fromiter(map(len, other), dtype=np.int64, count=len(other)) // 4
+        starts[~short] = np.cumsum(sizes[~short]) - sizes[~short]
+        blob = np.frombuffer(b"".join(other), dtype="<u4")
+        if short.any():
+            ids, at, sizes[short] = self.merges.encode(parts.filter(pa.array(short)))
+            starts[short] = at + len(blob)
+            blob = np.r_[blob, ids]
         # the ids of each distinct word: of its two parts; one more word is the end of a text
         of_word = np.c_[bare.indices.to_numpy(zero_copy_only=False), marks.indices.to_numpy(zero_copy_only=False) + len(bare.dictionary)]
-        blob, ends = _spread(blob, sizes, np.cumsum(sizes) - sizes, of_word.reshape(-1))
+        blob, ends = _spread(blob, sizes, starts, of_word.reshape(-1))
         blob, size = np.r_[blob, np.uint32(CLOSING_ID)], np.r_[np.diff(np.r_[0, ends[1::2]]), 1]
         docs = len(words.bounds) - 1
         code = np.insert(words.code, words.bounds[1:], len(of_word))
