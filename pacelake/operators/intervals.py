@@ -5,18 +5,21 @@ meet at the higher one of their levels: the longer one in its own cells, the sho
 there. So a short interval never pays for the length of a long one, nor a long one for being cut into short cells. A
 pair may share several cells; it counts in the one where the later of both begins, and in no other.
 
-Cells with many intervals on both sides are dealt as a grid of blocks, each a task's work of its own.
+Cells with many intervals on both sides are dealt as a grid of blocks, each a task's work of its own. Where far more pairs
+than rows lie in cells, the shorter intervals of a block are one row with an array, which each of the longer ones opens.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch, if_few
 
 #: Intervals of one side that a block of a crowded cell holds.
 BLOCK = 2_048
+#: Pairs that share a cell for each row in the cells, above which blocks are arrays.
+MANY_PAIRS = 32
 
 
 def _levels(start: Column, stop: Column, unit: float) -> Column:
@@ -40,19 +43,32 @@ def _met(longer: DataFrame, shorter: DataFrame, by: list[str], unit: float, bloc
     longer, shorter = scratch.save(longer, "longer"), scratch.save(shorter, "shorter")
     # cells with more of both sides than a block holds
     n = longer.groupBy(*keys).agg(F.count("*").alias("n_a")).join(shorter.groupBy(*keys).agg(F.count("*").alias("n_b")), keys)
+    seen, n_a, n_b = Observation(), F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    n = n.observe(seen, F.sum(n_a * n_b).alias("pairs"), F.sum(n_a + n_b).alias("rows"))
     crowded = n.where((F.col("n_a") > block) | (F.col("n_b") > block)).select(*keys, F.ceil(F.col("n_a") / block).cast("int").alias("rows_"), F.ceil(F.col("n_b") / block).cast("int").alias("columns_"))
     crowded = if_few(scratch.save(crowded, "crowded"))
 
     def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         df = df.join(crowded, keys, "left").withColumns({"rows_": F.coalesce("rows_", F.lit(1)), "columns_": F.coalesce("columns_", F.lit(1))})
-        df = df.withColumn(mine, F.pmod(F.xxhash64("row_", "start_", "stop_"), F.col(own)).cast("int"))
-        return df.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("rows_", "columns_")
-
-    a = dealt(longer, "rows_", "columns_", "i_", "j_").select(*keys, "i_", "j_", F.col("row_").alias("a"), F.col("start_").alias("a_start"), F.col("stop_").alias("a_stop"))
-    b = dealt(shorter, "columns_", "rows_", "j_", "i_").select(*keys, "i_", "j_", F.col("row_").alias("b"), F.col("start_").alias("b_start"), F.col("stop_").alias("b_stop"))
-    pairs = a.join(b, [*keys, "i_", "j_"])
-    here = F.col("cell_") == _cell(F.greatest("a_start", "b_start"), F.col("level_"), unit)
-    return pairs.where((F.col("a_start") <= F.col("b_stop")) & (F.col("b_start") <= F.col("a_stop")) & here)
+        # by the row's own number, so that equal rows go to all blocks too
+        df = df.withColumn(mine, F.pmod(F.xxhash64("no_"), F.col(own)).cast("int"))
+        df = df.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("rows_", "columns_")
+        return df.withColumn("here_", F.col("cell_") == _cell(F.col("start_"), F.col("level_"), unit))
+
+    places = ("start_", "stop_", "here_", "row_")
+    a = dealt(longer, "rows_", "columns_", "i_", "j_").select(*keys, "i_", "j_", *(F.col(c).alias("a_" + c) for c in places))
+    b = dealt(shorter, "columns_", "rows_", "j_", "i_").select(*keys, "i_", "j_", F.struct(*(F.col(c).alias("b_" + c) for c in places)).alias("b"))
+    block_of = [*keys, "i_", "j_"]
+    if (seen.get["pairs"] or 0) > MANY_PAIRS * (seen.get["rows"] or 0):
+        # a pair costs no more than its own row; the number of partitions is named, as their bytes say nothing of their pairs
+        parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        a, b = a.repartition(parts, *block_of), b.repartition(parts, *block_of).groupBy(*block_of).agg(F.collect_list("b").alias("b"))
+        pairs = a.join(b, block_of).select(*by, *(f"a_{c}" for c in places), F.inline("b"))
+    else:
+        pairs = a.join(b, block_of).select(*by, *(f"a_{c}" for c in places), "b.*")
+    # the later one begins in this cell, so that no other cell has the pair
+    met = pairs.where((F.col("a_start_") <= F.col("b_stop_")) & (F.col("b_start_") <= F.col("a_stop_")) & (F.col("a_here_") | F.col("b_here_")))
+    return met.select(*by, F.col("a_row_").alias("a"), F.col("b_row_").alias("b"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_on: tuple[str, str], right_on: tuple[str, str], unit: float = 1, prefix: str = "right_", block: int = BLOCK) -> DataFrame:
@@ -71,7 +87,7 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_on: tup
         fine = (F.col("start_") <= F.col("stop_")) & (F.abs("start_") < float("inf")) & (F.abs("stop_") < float("inf"))
         for c in by:
             fine = fine & F.col(f"`{c}`").isNotNull()
-        return df.where(fine).withColumn("own_", _levels(F.col("start_"), F.col("stop_"), unit))
+        return df.where(fine).withColumns({"own_": _levels(F.col("start_"), F.col("stop_"), unit), "no_": F.monotonically_increasing_id()})
 
     # each side is written once, as its levels are asked for before its cells, and both are needed in all cells
     l_ = scratch.save(side(left, [c for c in left.columns if c not in by], left_on), "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import contacts
 from ..operators.asof import asof_join
 from ..operators.intervals import interval_join
+from ..sources.scratch import Scratch
 from ..sources.tables import FPS, HEIGHT_PX, gait, series, table
 from .gait_queries import CONTACTS, LEG
 from .registry import query
@@ -78,6 +79,7 @@ def j5_interval_contacts_of_the_corpus(spark, sf_dir):
     """Contacts of any two clips, or of both legs, that share frames of a common clock."""
     c = contacts.coarse_contacts(gait(spark, sf_dir), HEIGHT_PX, FPS)
     k = c.select(*LEG, (F.expr(_CLOCK) + F.col("frame")).alias("start"), (F.expr(_CLOCK) + F.col("toe_off")).alias("stop"))
+    k = Scratch(spark, "contacts").save(k, "contacts")  # both sides of the join
     other = k.select(F.col("clip_id").alias("other_clip"), F.col("leg").alias("other_leg"), F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
     out = interval_join(k, other, [], ("start", "stop"), ("b_start", "b_stop")).where("clip_id <> other_clip or leg < other_leg")
     return out.select(*LEG, "start", "other_clip", "other_leg", (F.least("stop", "b_stop") - F.greatest("start", "b_start")).alias("shared"))
